@@ -7,7 +7,7 @@ import importlib
 from almanack.catalog.registry import ORACLES, QUERIES
 
 MODULES = [
-    "filters", "aggregates", "ordering",
+    "filters", "aggregates", "ordering", "joins",
 ]
 
 

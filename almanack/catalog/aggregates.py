@@ -77,7 +77,7 @@ def line_events(c):
 @query("a8_events_by_type", f"""
 WITH {ITEMS}, n AS (SELECT source_name, count(*) AS n FROM items GROUP BY 1)
 SELECT {EFFECTIVE} AS source_type, CAST(sum(coalesce(n.n, 0)) AS BIGINT) AS n_events FROM reg LEFT JOIN n ON reg.scraper_source_name = n.source_name
-WHERE status <> 'x' GROUP BY 1""", "reg")
+GROUP BY 1""", "reg")
 def _(c):
     joined = source_counts(c.registry(), line_events(c))
     return joined.groupBy(f.effective_type().alias("source_type")).agg(F.sum("n_events").alias("n_events"))
@@ -166,11 +166,7 @@ SELECT DISTINCT source, 'failed' AS issue FROM d WHERE NOT coalesce(success, tru
 UNION ALL SELECT DISTINCT source, 'zero' FROM d WHERE coalesce(success, true) AND coalesce(events_processed, 0) = 0
 UNION ALL SELECT source, 'missing' FROM w WHERE source NOT IN (SELECT source FROM d) AND source NOT IN ('signup_1', 'view_9')""", "runs")
 def _(c):
-    runs = c.runs().where(F.col("ran_at") <= F.lit("2024-02-01").cast("timestamp_ntz"))
-    o = a.run_outcomes(runs, REF, hours=3)
-    issues = F.array_compact(F.array(F.when(F.col("failed"), F.lit("failed")), F.when(F.col("zero"), F.lit("zero")),
-                                     F.when(~F.col("ran") & ~F.col("source").isin(EXEMPT), F.lit("missing"))))
-    return o.select("source", F.explode(issues).alias("issue"))
+    return a.run_health(c.runs(), REF, EXEMPT, hours=3)
 
 
 @query("a20_run_health_counts", f"""
@@ -201,9 +197,9 @@ def _(c):
 
 
 @query("a24_recipient_batches", """
-SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 500) AS BIGINT) AS batch FROM place WHERE status = 'active' AND lang = 'zh'""", "place")
+SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 500) AS BIGINT) AS batch FROM place WHERE status = 'active'""", "place")
 def _(c):
-    return batches(c.places().where("status = 'active' AND lang = 'zh'").select("id"), ["id"], 500).select("id", "batch")
+    return batches(c.places().where("status = 'active'").select("id"), ["id"], 500).select("id", "batch")
 
 
 @query("a25_usage_cost", """

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from almanack.functions.base import blank, has_text, instant, percent_half_up
 from almanack.operators.joins import first_by
 
-ONE = F.lit(1)
 
 
 def count_rows(name: str = "n") -> Column:
-    return F.count(ONE).alias(name)
+    return F.count(F.lit(1)).alias(name)
 
 
 def since(c: str, ref, days: int) -> Column:
@@ -64,7 +63,7 @@ def monthly_hist(df: DataFrame, ref, months: int = 12, c: str = "start_date") ->
 
 def share_of_max(hist: DataFrame, n: str = "n") -> DataFrame:
     """Bar length in percent of the longest bar; a histogram has one row per month."""
-    top = F.greatest(F.max(n).over(Window.partitionBy()), ONE)
+    top = F.greatest(F.max(n).over(Window.partitionBy()), F.lit(1))
     return hist.withColumn("pct", percent_half_up(F.col(n), top))
 
 
@@ -80,7 +79,7 @@ def _run_sums(when: Column | None = None) -> list[Column]:
     pick = (lambda c: c) if when is None else (lambda c: F.when(when, c))
     zero = lambda c, t: F.coalesce(F.sum(pick(F.col(c))), F.lit(0)).cast(t)
     return [
-        F.count(pick(ONE)).alias("runs"),
+        F.count(pick(F.lit(1))).alias("runs"),
         zero("events_processed", "long").alias("events"),
         zero("tokens_in", "long").alias("tokens_in"),
         zero("tokens_out", "long").alias("tokens_out"),
@@ -210,9 +209,9 @@ def run_outcomes(runs: DataFrame, ref, hours: int = 24, days: int = 7) -> DataFr
     )
 
 
-def run_health(runs: DataFrame, ref, exempt: Sequence[str] = ()) -> DataFrame:
+def run_health(runs: DataFrame, ref, exempt: Sequence[str] = (), hours: int = 24) -> DataFrame:
     """Issue rows (failed, zero, missing); exempt sources are never reported as missing."""
-    o = run_outcomes(runs, ref)
+    o = run_outcomes(runs, ref, hours)
     issues = F.array_compact(
         F.array(
             F.when(F.col("failed"), F.lit("failed")),

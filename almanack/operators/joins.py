@@ -169,18 +169,10 @@ ANCHORS = (1, 2, 4, 8, 16)
 
 
 def _grams(c: Column) -> Column:
-    """Distinct (length, gram) keys of a name, as strings."""
-    parts = [
-        F.when(
-            F.length(c) >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(c) - F.lit(n - 1), F.lit(1))),
-                lambda i, n=n: F.substring(c, i, F.lit(n)),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in ANCHORS
-    ]
-    return F.array_distinct(F.concat(*parts))
+    """Distinct grams of a name at every anchor length, read in one pass per length."""
+    return F.array_distinct(
+        F.concat(*[F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in ANCHORS])
+    )
 
 
 def _anchor(term: Column) -> Column:
