@@ -187,19 +187,20 @@ def _anchor(term: Column) -> Column:
 def _substring_hits(terms: DataFrame, events: DataFrame, first: int) -> DataFrame:
     """For each (source_name, term): the ``first`` smallest event ids whose name contains it.
 
-    The join is on (source, gram), so it is an equi-join; the LIKE test is a re-check. Terms
-    are distinct, so copies of a report share one lookup.
+    The join is on (source, gram), so it is an equi-join, and only ids travel with the grams.
+    Candidate pairs then meet the name once for the exact test. Terms are distinct, so copies
+    of a report share one lookup.
     """
     keyed = terms.withColumn("_gram", _anchor(F.col("term")))
     names = events.where(F.col("name_ja") != "").select(
         "source_name", "id", "is_report", F.lower("name_ja").alias("_name")
     )
-    wanted = keyed.select("source_name", "_gram").distinct()
-    grams = names.withColumn("_gram", F.explode(_grams(F.col("_name")))).join(
-        wanted, ["source_name", "_gram"], "left_semi"
-    )
+    grams = names.select("source_name", "id", F.explode(_grams(F.col("_name"))).alias("_gram"))
+    pairs = grams.join(keyed, ["source_name", "_gram"]).select("source_name", "term", "id")
     pattern = F.concat(F.lit("%"), F.replace(F.col("term"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
-    hits = grams.join(keyed, ["source_name", "_gram"]).where(F.like(F.col("_name"), pattern))
+    wild = F.col("term").rlike("[%_]")
+    found = F.when(wild, F.like(F.col("_name"), pattern)).otherwise(F.col("_name").contains(F.col("term")))
+    hits = pairs.join(names.drop("source_name"), "id").where(found)
     w = Window.partitionBy("source_name", "term").orderBy("id")
     return hits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= first)
 
