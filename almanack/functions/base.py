@@ -48,6 +48,11 @@ def empty_to_null(c: Column | str) -> Column:
     return F.nullif(col(c), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``; keeps nested rules small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strings(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
