@@ -7,7 +7,7 @@ import importlib
 from almanack.catalog.registry import ORACLES, QUERIES
 
 MODULES = [
-    "filters", "aggregates", "ordering", "joins", "resolve", "dates", "text",
+    "filters", "aggregates", "ordering", "joins", "resolve", "dates", "text", "enrich", "sources",
 ]
 
 

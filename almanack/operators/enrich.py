@@ -278,13 +278,21 @@ FIELD_COLUMNS = {
 }
 
 
+# Columns emptied for re-annotation when a field is wrong and no value is given.
+REFILL = {
+    "name": ["name_zh", "name_en"],
+    "description": ["description_zh", "description_en"],
+    "price": ["is_paid", "price_info"],
+}
+
+
 def chosen_labels() -> Column:
     """Admin choice, else user suggestion, else null."""
     some = lambda c: F.when(F.size(c) > 0, F.col(c))
     return F.coalesce(some("correct_category"), some("suggested_category"))
 
 
-def confirm(events: DataFrame, reports: DataFrame, refill: dict[str, Sequence[str]]) -> DataFrame:
+def confirm(events: DataFrame, reports: DataFrame, refill: dict[str, Sequence[str]] = REFILL) -> DataFrame:
     """Event state after confirmed reports, one report per event.
 
     ``reports`` has id (of the event), report_types, correct_category, suggested_category,
