@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from almanack.catalog.registry import query
 from almanack.functions.places import venue_tokens, venues_overlap
 from almanack.functions.similarity import norm_name, ratio
 from almanack.operators import resolve as r
+from almanack.plans.broadcast import broadcast
+from almanack.plans.daily import daily_batch, merge_decisions
 
 RANKS = {"src0": 1, "src1": 2, "src2": 3, "src3": 3, "src4": 5}
 
@@ -98,3 +101,42 @@ SELECT id, md5(CASE WHEN raw_title <> '' AND NOT contains(coalesce(description_e
 def _(c):
     p = F.coalesce(F.col("description_en"), F.lit(""))
     return c.docs().select("id", F.md5(r.append_desc(p, F.col("raw_title"), F.col("source_name"))).alias("text_md5"))
+
+
+# -- messages and the daily batch --------------------------------------------------------------
+
+HEAD = {"zh": ("週報", "【本週】", "【下月】"), "ja": ("週間", "【今週】", "【来月】"), "en": ("Weekly", "【This Week】", "【Next Month】")}
+FOOT = {"zh": "完", "ja": "以上", "en": "end"}
+TITLE = "coalesce(nullif(CASE lang WHEN 'zh' THEN name_zh WHEN 'ja' THEN name_ja ELSE name_en END, ''), nullif(name_zh, ''), nullif(name_ja, ''), nullif(name_en, ''), '?')"
+
+
+@query("h49_broadcast_messages", f"""
+WITH w AS (SELECT *, row_number() OVER (ORDER BY start_date, id) AS pos FROM doc WHERE is_active AND start_date >= TIMESTAMP '2024-01-05' QUALIFY pos <= 7),
+ m AS (SELECT *, row_number() OVER (ORDER BY start_date, id) AS pos FROM doc WHERE is_active AND start_date >= TIMESTAMP '2024-02-05' QUALIFY pos <= 3),
+ l AS (SELECT unnest(['zh', 'ja', 'en']) AS lang), D AS (SELECT '%-m/%-d' AS f),
+ wl AS (SELECT l.lang, string_agg('• ' || {TITLE} || '　' || strftime(start_date + INTERVAL 9 HOURS, '%-m/%-d') || chr(10) || '  https://x.example.org/r/' || CAST(id AS STRING), chr(10) ORDER BY pos) AS t FROM (SELECT * EXCLUDE (lang) FROM w) w2, l GROUP BY 1),
+ ml AS (SELECT l.lang, string_agg('• ' || {TITLE} || '（' || strftime(start_date + INTERVAL 9 HOURS, '%-m/%-d') || CASE WHEN end_date IS NOT NULL AND strftime(end_date + INTERVAL 9 HOURS, '%-m/%-d') <> strftime(start_date + INTERVAL 9 HOURS, '%-m/%-d') THEN '–' || strftime(end_date + INTERVAL 9 HOURS, '%-m/%-d') ELSE '' END || '）' || chr(10) || '  https://x.example.org/r/' || CAST(id AS STRING), chr(10) ORDER BY pos) AS t FROM (SELECT * EXCLUDE (lang) FROM m) m2, l GROUP BY 1)
+SELECT wl.lang, CASE wl.lang WHEN 'zh' THEN '週報' WHEN 'ja' THEN '週間' ELSE 'Weekly' END || chr(10) || '1/25 ～ 1/31' || chr(10) || chr(10) || CASE wl.lang WHEN 'zh' THEN '【本週】' WHEN 'ja' THEN '【今週】' ELSE '【This Week】' END || chr(10) || wl.t
+ || chr(10) || chr(10) || CASE wl.lang WHEN 'zh' THEN '【下月】' WHEN 'ja' THEN '【来月】' ELSE '【Next Month】' END || chr(10) || ml.t || chr(10) || chr(10) || CASE wl.lang WHEN 'zh' THEN '完' WHEN 'ja' THEN '以上' ELSE 'end' END AS message FROM wl JOIN ml ON wl.lang = ml.lang""", "doc")
+def _(c):
+    d = c.docs().where("is_active").drop("lang")
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+
+    def picks(since, n):
+        top = d.where(F.col("start_date") >= at(since)).orderBy("start_date", "id").limit(n)
+        return top.withColumn("pos", F.row_number().over(Window.orderBy("start_date", "id")))
+
+    return broadcast(picks("2024-01-05", 7), picks("2024-02-05", 3), "2024-01-25 12:00:00", "https://x.example.org", HEAD, FOOT)
+
+
+@query("daily_merge_decisions")
+def _(c):
+    return merge_decisions(titled(c), RANKS, ["src18", "src19"])
+
+
+@query("daily_batch")
+def _(c):
+    d = titled(c).withColumns({"force_rescrape": F.lit(False), "scraped_at": F.lit(None).cast("timestamp_ntz")})
+    target, landed = d.where("lang IN ('en', 'fr')"), d.where("lang IN ('fr', 'de', 'es')")
+    out = daily_batch(target, landed, "2024-01-25 12:00:00", ranks=RANKS, news_sources=["src18", "src19"])
+    return out.select("id", "source_name", "is_active", "annotation_status", F.size("secondary_source_urls").alias("n_urls"))

@@ -66,10 +66,11 @@ def _(c):
 SELECT 'T & <' || CAST(event_id AS STRING) AS title, 'https://n.example.org/' || CAST(event_id AS STRING) AS link, strftime(ts, '%Y-%m-%d %H:%M:%S') AS published FROM events""")
 def _(c):
     sid = F.col("event_id").cast("string")
-    item = F.concat(F.lit("<item><title>T &amp; &lt;"), sid, F.lit("</title><link>https://n.example.org/"), sid, F.lit("</link><pubDate>"),
-                    F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"))
     path = shared_path(c.spark, "feeds")
-    c.table("events").select(item.alias("value")).write.text(path)
+    c.table("events").select(
+        F.concat(F.lit("T & <"), sid).alias("title"), F.concat(F.lit("https://n.example.org/"), sid).alias("link"),
+        F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")).alias("pubDate"),
+    ).write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
     land = feeds.land_feed(c.spark, path)
     return land.select("title", "link", F.date_format(feeds.feed_time(F.col("pubDate")), "yyyy-MM-dd HH:mm:ss").alias("published"))
 
