@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,6 +28,9 @@ TRADEMARK_TEXT = "(r)"
 SUBTITLE = r"(?U)[－—\-][^－—\-]{2,}[－—\-]\s*$"
 SPACES = r"(?U)\s+"
 
+# Marks single-character tokens.
+SINGLE = "\x00"
+
 
 def norm_name(c: Column) -> Column:
     """Name key: trademark signs spelled out, subtitle and all white space dropped, lower case."""
@@ -36,12 +40,37 @@ def norm_name(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, SPACES, ""))
 
 
-def sequence_ratio(a: str, b: str, floor: float = 0.0) -> float:
-    """The ratio, or 0.0 when a cheap upper bound is already below ``floor``."""
-    m = SequenceMatcher(None, a, b)
-    if floor and (m.real_quick_ratio() < floor or m.quick_ratio() < floor):
+def bigrams(name: str) -> Counter:
+    return Counter(zip(name, name[1:]))
+
+
+def sequence_ratio(a: str, b: str, floor: float = 0.0, count=bigrams) -> float:
+    """The ratio, or 0.0 when too few shared bigrams already rule out ``floor``."""
+    if floor and not _plausible(a, b, floor, count):
         return 0.0
-    return m.ratio()
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by bit-parallel addition."""
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        masks[ch] = masks.get(ch, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    v = full
+    for ch in b:
+        u = v & masks.get(ch, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(a) - v.bit_count()
+
+
+def _plausible(a: str, b: str, floor: float, count) -> bool:
+    """False when shared bigrams or the common subsequence, both upper bounds, rule out ``floor``."""
+    total = len(a) + len(b)
+    need = shared_bigrams(total, floor)
+    if need > 0 and (count(a) & count(b)).total() < need:
+        return False
+    return common_length(a, b) >= floor * total / 2 - 1e-9
 
 
 def ratio(a: Column, b: Column, floor: float = 0.0) -> Column:
@@ -49,14 +78,30 @@ def ratio(a: Column, b: Column, floor: float = 0.0) -> Column:
 
     @F.pandas_udf("double")
     def apply(x: pd.Series, y: pd.Series) -> pd.Series:
+        count = lru_cache(maxsize=10_000)(bigrams)
         return pd.Series(
-            [None if p is None or q is None else sequence_ratio(p, q, floor) for p, q in zip(x, y)],
+            [None if p is None or q is None else sequence_ratio(p, q, floor, count) for p, q in zip(x, y)],
             dtype="float64",
         )
 
     return apply(a, b)
 
 
+def both_ratios(a: Column, b: Column, floor: float) -> Column:
+    """struct(ab, ba): the ratio in both argument orders, with one bigram test for the pair."""
+
+    @F.pandas_udf("ab double, ba double")
+    def apply(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        count = lru_cache(maxsize=10_000)(bigrams)
+        out = [
+            (sequence_ratio(p, q), sequence_ratio(q, p)) if _plausible(p, q, floor, count) else (0.0, 0.0)
+            for p, q in zip(x, y)
+        ]
+        return pd.DataFrame(out, columns=["ab", "ba"], dtype="float64")
+
+    return apply(a, b)
+
+
 def shared_bigrams(total: int, threshold: float) -> int:
     """Fewest bigrams two similar names of ``total`` characters can share."""
     matched = math.ceil(threshold * total / 2 - 1e-9)
@@ -80,8 +125,11 @@ def prefix_size(length: int, threshold: float) -> int:
     return max(0, (length - 1) - need + 1)
 
 
-def name_tokens(name: str, threshold: float, common: dict[str, int]) -> list[str]:
-    """Index tokens of one name: its rarest bigrams, numbered by occurrence."""
+def name_tokens(name: str, threshold: float, common: dict[str, int]) -> list[tuple[str, int]]:
+    """Index tokens of one name with their place: its rarest bigrams, numbered by occurrence.
+
+    Characters of very short names are placed at -1, outside the order.
+    """
     seen: Counter = Counter()
     grams = []
     for i in range(len(name) - 1):
@@ -89,15 +137,32 @@ def name_tokens(name: str, threshold: float, common: dict[str, int]) -> list[str
         seen[g] += 1
         grams.append((common.get(g, 0), g, seen[g]))
     grams.sort()
-    out = [f"{g}{n}" for _, g, n in grams[: prefix_size(len(name), threshold)]]
+    out = [(f"{g}{n}", i) for i, (_, g, n) in enumerate(grams[: prefix_size(len(name), threshold)])]
     if len(name) <= short_limit(threshold):
-        out += [f"\x00{ch}" for ch in set(name)] or ["\x00"]
+        out += [(SINGLE + ch, -1) for ch in set(name)] or [(SINGLE, -1)]
     return out
 
 
 def index_tokens(name: Column, threshold: float, common: dict[str, int]) -> Column:
+    """Tokens of a name column as an array in index order, single characters last."""
+
     @F.pandas_udf("array<string>")
     def apply(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: name_tokens(v, threshold, common))
+        return s.map(lambda v: [t for t, _ in name_tokens(v, threshold, common)])
 
     return apply(name)
+
+
+def token_place(tok: Column, pos: Column) -> Column:
+    return F.when(tok.startswith(SINGLE), F.lit(-1)).otherwise(pos)
+
+
+def may_share_enough(len_a: Column, at_a: Column, len_b: Column, at_b: Column, threshold: float) -> Column:
+    """False when a first shared token this deep leaves too few bigrams to share.
+
+    The first shared token of a similar pair always passes, so no pair is lost.
+    """
+    total = len_a + len_b
+    need = 3 * F.ceil(F.lit(threshold) * total / 2 - F.lit(1e-9)) - total - 1
+    left = F.least(len_a - 1 - at_a, len_b - 1 - at_b)
+    return (at_a < 0) | (left >= need)

@@ -164,14 +164,14 @@ def not_merged(df: DataFrame, merged: DataFrame, url: str = "source_url", urls:
 
 
 # Anchor lengths of the substring join. A search term is keyed by a prefix of its longest
-# literal run; names emit their grams of these lengths only.
+# literal run, so at most these five lengths occur; names emit grams of occurring lengths only.
 ANCHORS = (1, 2, 4, 8, 16)
 
 
-def _grams(c: Column) -> Column:
-    """Distinct grams of a name at every anchor length, read in one pass per length."""
+def _grams(c: Column, lengths: Sequence[int]) -> Column:
+    """Distinct grams of a name at the given lengths, read in one pass per length."""
     return F.array_distinct(
-        F.concat(*[F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in ANCHORS])
+        F.concat(*[F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths])
     )
 
 
@@ -195,7 +195,10 @@ def _substring_hits(terms: DataFrame, events: DataFrame, first: int) -> DataFram
     names = events.where(F.col("name_ja") != "").select(
         "source_name", "id", "is_report", F.lower("name_ja").alias("_name")
     )
-    grams = names.select("source_name", "id", F.explode(_grams(F.col("_name"))).alias("_gram"))
+    lengths = [x["n"] for x in keyed.select(F.length("_gram").alias("n")).distinct().collect()]
+    if not lengths:
+        return names.where(F.lit(False)).withColumns({"term": F.lit(""), "_rn": F.lit(0)})
+    grams = names.select("source_name", "id", F.explode(_grams(F.col("_name"), lengths)).alias("_gram"))
     pairs = grams.join(keyed, ["source_name", "_gram"]).select("source_name", "term", "id")
     pattern = F.concat(F.lit("%"), F.replace(F.col("term"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
     wild = F.col("term").rlike("[%_]")

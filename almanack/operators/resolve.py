@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanack.functions.base import let
 from almanack.functions.places import venue_tokens
-from almanack.functions.similarity import index_tokens, norm_name, ratio
+from almanack.functions.similarity import both_ratios, index_tokens, may_share_enough, norm_name, token_place
 from almanack.session import durable
 
 # Source ranks (lower wins), the rank of all others, and the news sources.
@@ -59,9 +60,13 @@ def mergeable(df: DataFrame) -> DataFrame:
 
 
 def name_classes(df: DataFrame, block: Column, name: str = "name_ja") -> DataFrame:
-    """Distinct (block, normalised name) with a short key; made durable, as it is read often."""
+    """Distinct (block, normalised name) with a short key; made durable, as it is read often.
+
+    The distinct rows are spread evenly, since the work per name in Python is the costly part.
+    """
     classes = df.select(block.alias("block"), norm_name(F.col(name)).alias("norm")).distinct()
-    return durable(classes.withColumn("cid", F.sha2("norm", 256)).withColumn("len", F.length("norm")))
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return durable(classes.withColumn("cid", F.sha2("norm", 256)).withColumn("len", F.length("norm")).repartition(spread))
 
 
 def _common(classes: DataFrame) -> dict[str, int]:
@@ -78,35 +83,31 @@ def near_classes(classes: DataFrame, threshold: float = SIMILAR, days: int = 0)
     days, the later side stays in its own, so each pair meets once per shared token.
     """
     common = _common(classes)
-    keyed = classes.select("block", "cid", "len", F.explode(index_tokens(F.col("norm"), threshold, common)).alias("tok"))
+    numbered = classes.withColumn("n", F.monotonically_increasing_id())  # fixed: classes are durable
+    tokens = F.posexplode(index_tokens(F.col("norm"), threshold, common)).alias("_p", "tok")
+    keyed = durable(
+        numbered.select("block", "n", "len", tokens).select("block", "n", "len", "tok", token_place(F.col("tok"), F.col("_p")).alias("at"))
+    )
     if days:
         bucket = F.floor(F.unix_date("block") / F.lit(days + 1))
         left = keyed.withColumn("_k", F.explode(F.array(bucket, bucket + 1)))
         right = keyed.withColumn("_k", bucket)
     else:
         left, right = keyed.withColumn("_k", F.col("block")), keyed.withColumn("_k", F.col("block"))
-    a = left.select("_k", "tok", F.col("block").alias("block_a"), F.col("cid").alias("cid_a"), F.col("len").alias("len_a"))
-    b = right.select("_k", "tok", F.col("block").alias("block_b"), F.col("cid").alias("cid_b"), F.col("len").alias("len_b"))
-    fits = 2 * F.least("len_a", "len_b") >= F.lit(threshold) * (F.col("len_a") + F.col("len_b")) - F.lit(1e-9)
-    ordered = (F.col("block_a") == F.col("block_b")) & (F.col("cid_a") < F.col("cid_b"))
+    side = lambda d, s: d.select("_k", "tok", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "n", "len", "at")])
+    # A sort-merge join is asked for: exploded tokens outgrow the size Spark estimates for them.
+    total = F.col("len_a") + F.col("len_b")
+    fits = 2 * F.least("len_a", "len_b") >= F.lit(threshold) * total - F.lit(1e-9)
+    deep = may_share_enough(F.col("len_a"), F.col("at_a"), F.col("len_b"), F.col("at_b"), threshold)
+    ordered = (F.col("block_a") == F.col("block_b")) & (F.col("n_a") < F.col("n_b"))
     if days:
         gap = F.datediff("block_b", "block_a")
         ordered = ordered | ((gap >= 1) & (gap <= days))
-    pairs = (
-        a.join(b, ["_k", "tok"])
-        .where(fits & ordered)
-        .select("block_a", "cid_a", "block_b", "cid_b")
-        .distinct()
-    )
-    names = lambda s: classes.select(F.col("block").alias(f"block_{s}"), F.col("cid").alias(f"cid_{s}"), F.col("norm").alias(f"norm_{s}"))
-    full = pairs.join(names("a"), ["block_a", "cid_a"]).join(names("b"), ["block_b", "cid_b"])
-    scored = full.withColumns(
-        {
-            "sim_ab": ratio(F.col("norm_a"), F.col("norm_b"), threshold),
-            "sim_ba": ratio(F.col("norm_b"), F.col("norm_a"), threshold),
-        }
-    )
-    return scored.where(F.greatest("sim_ab", "sim_ba") >= threshold)
+    pairs = side(left, "a").join(side(right, "b").hint("merge"), ["_k", "tok"]).where(fits & ordered & deep).select("n_a", "n_b").distinct()
+    names = lambda s: numbered.select(*[F.col(c).alias(f"{c}_{s}") for c in ("n", "block", "cid", "norm")])
+    full = pairs.join(names("a"), "n_a").join(names("b"), "n_b").drop("n_a", "n_b")
+    scored = full.withColumn("_s", both_ratios(F.col("norm_a"), F.col("norm_b"), threshold))
+    return scored.withColumns({"sim_ab": F.col("_s.ab"), "sim_ba": F.col("_s.ba")}).drop("_s").where(F.greatest("sim_ab", "sim_ba") >= threshold)
 
 
 def similar_pairs(df: DataFrame, block: Column, name: str = "name_ja", source: str = "source_name", threshold: float = SIMILAR) -> DataFrame:
@@ -236,8 +237,9 @@ def assign_primary(
     )
 
 
-# Levels of the day grid used by the interval join: blocks of 1, 2, 4, ... days.
-DAY_LEVELS = 16
+# Levels of the day grid used by the interval join: blocks of 1, 2, 4, ... 256 days. Longer
+# periods take several of the largest blocks.
+DAY_LEVELS = 8
 
 
 def _covering(lo: Column, hi: Column) -> Column:
@@ -282,10 +284,11 @@ def match_news(
         official.where(F.col("start_date").isNotNull())
         .select(
             F.struct(source_rank(F.col("source_name"), ranks).alias("rank"), F.col("start_date").alias("start"), F.col("id").alias("id")).alias("best"),
-            F.explode(venue_tokens(F.col("location_name"))).alias("tok"),
-            _covering(day("start_date") - lookback, day(end)).alias("_b"),
+            venue_tokens(F.col("location_name")).alias("_toks"),
+            let(F.struct((day("start_date") - lookback).alias("lo"), day(end).alias("hi")), lambda p: _covering(p["lo"], p["hi"])).alias("_b"),
         )
-        .select("best", "tok", F.explode("_b").alias("_b"))
+        .select("best", "_toks", F.explode("_b").alias("_b"))
+        .select("best", "_b", F.explode("_toks").alias("tok"))
         .groupBy("tok", "_b.lv", "_b.ix")
         .agg(F.min("best").alias("best"))
     )
