@@ -60,8 +60,8 @@ def saved_by(user, saves: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def name_top(top: DataFrame, names: DataFrame, key: str = "event_id") -> DataFrame:
-    """Attach names to an already limited ranking; its row count is the limit, so it is broadcast."""
-    return names.join(F.broadcast(top), names["id"] == top[key]).drop(key)
+    """Attach names to an already limited ranking; Spark knows its size from the limit."""
+    return names.join(top, names["id"] == top[key]).drop(key)
 
 
 def source_counts(sources: DataFrame, events: DataFrame, name: str = "scraper_source_name") -> DataFrame:
