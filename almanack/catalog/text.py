@@ -117,7 +117,7 @@ def _(c):
 
 @query("h16_prices", r"""
 SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN NULL WHEN o_orderpriority = '1-URGENT' THEN '¥0 / ¥' || CAST(o_custkey AS STRING) || '（税込）' ELSE '¥' || CAST(o_custkey AS STRING) || '（税込） / ￥9,' || CAST(o_custkey AS STRING) END AS price,
- CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderpriority <> '1-URGENT' END AS paid FROM orders""")
+ CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderpriority <> '1-URGENT' AND o_custkey <> 0 END AS paid FROM orders""")
 def _(c):
     k = F.col("o_custkey").cast("string")
     t = F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None)).when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("前売 ¥0 当日 ¥"), k, F.lit("（税込）"))).otherwise(
