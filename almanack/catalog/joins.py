@@ -120,18 +120,22 @@ def _(c):
     return j.with_parent(rows, names, F.left("text", F.lit(40))).drop("parent_event_id")
 
 
+def turns(c):
+    """Later turns of a conversation are children of its first one."""
+    return c.table("conversations").select(
+        "conv_id", "turn", F.col("turn").alias("start_date"), F.col("conv_id").alias("id"), (F.col("role") == "assistant").alias("is_active"),
+        F.when(F.col("turn") > 0, F.col("conv_id")).alias("parent_event_id"))
+
+
 @query("c11_children", """
 SELECT conv_id, turn FROM conversations WHERE turn > 0 AND role = 'assistant'""")
 def _(c):
-    t = c.table("conversations").select(
-        "conv_id", "turn", F.col("turn").alias("start_date"), F.col("conv_id").alias("id"), (F.col("role") == "assistant").alias("is_active"),
-        F.when(F.col("turn") > 0, F.col("conv_id")).alias("parent_event_id"))
-    return j.children(t).select("conv_id", "turn")
+    return j.children(turns(c)).select("conv_id", "turn")
 
 
-@query("c11_children_of_one", "SELECT id FROM doc WHERE is_active AND parent_event_id = 7", "doc")
+@query("c11_children_of_one", "SELECT conv_id, turn FROM conversations WHERE conv_id = 0 AND turn > 0 AND role = 'assistant'")
 def _(c):
-    return j.children(c.docs(), 7).select("id")
+    return j.children(turns(c), 0).select("conv_id", "turn")
 
 
 @query("c12_users_roles", """
