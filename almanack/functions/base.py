@@ -53,6 +53,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def char_grams(c: Column, n: int) -> Column:
+    """All runs of n characters, repeats included; linear in the length of the text."""
+    def runs(chars: Column) -> Column:
+        last = F.size(chars) - (n - 1)
+        return F.when(last >= 1, F.transform(
+            F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), "")))
+
+    return F.coalesce(let(F.split(c, ""), runs), F.array().cast("array<string>"))
+
+
 def strings(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 

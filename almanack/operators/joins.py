@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanack.functions.base import has_text, instant
+from almanack.functions.base import char_grams, has_text, instant
 from almanack.functions.titles import bracketed, report_fragment
 from almanack.functions.urls import host_or_raw
 
@@ -169,10 +169,8 @@ ANCHORS = (1, 2, 4, 8, 16)
 
 
 def _grams(c: Column, lengths: Sequence[int]) -> Column:
-    """Distinct grams of a name at the given lengths, read in one pass per length."""
-    return F.array_distinct(
-        F.concat(*[F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths])
-    )
+    """Grams of a name at the given lengths, read in one pass per length; repeats included."""
+    return F.concat(*[char_grams(c, n) for n in lengths])
 
 
 def _anchor(term: Column) -> Column:
@@ -199,10 +197,13 @@ def _substring_hits(terms: DataFrame, events: DataFrame, first: int) -> DataFram
     if not lengths:
         return names.where(F.lit(False)).withColumns({"term": F.lit(""), "_rn": F.lit(0)})
     grams = names.select("source_name", "id", F.explode(_grams(F.col("_name"), lengths)).alias("_gram"))
-    pairs = grams.join(keyed, ["source_name", "_gram"]).select("source_name", "term", "id")
-    pattern = F.concat(F.lit("%"), F.replace(F.col("term"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    pairs = grams.join(keyed, ["source_name", "_gram"]).select("source_name", "term", "id").distinct()
+    # Wildcard terms: each piece is found leftmost in turn, in atomic groups, so the test is linear.
+    pieces = F.filter(F.split(F.col("term"), "%+"), lambda x: x != "")
+    quoted = lambda x: F.concat(F.lit("(?>.*?\\Q"), F.replace(x, F.lit("_"), F.lit("\\E.\\Q")), F.lit("\\E)"))
+    pattern = F.concat(F.lit("(?s)^"), F.array_join(F.transform(pieces, quoted), ""))
     wild = F.col("term").rlike("[%_]")
-    found = F.when(wild, F.like(F.col("_name"), pattern)).otherwise(F.col("_name").contains(F.col("term")))
+    found = F.when(wild, F.regexp_like(F.col("_name"), pattern)).otherwise(F.col("_name").contains(F.col("term")))
     hits = pairs.join(names.drop("source_name"), "id").where(found)
     w = Window.partitionBy("source_name", "term").orderBy("id")
     return hits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= first)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanack.functions.base import let
+from almanack.functions.base import char_grams, let
 from almanack.functions.places import venue_tokens
 from almanack.functions.similarity import both_ratios, index_tokens, may_share_enough, norm_name, token_place
 from almanack.session import durable
@@ -70,7 +70,7 @@ def name_classes(df: DataFrame, block: Column, name: str = "name_ja") -> DataFra
 
 
 def _common(classes: DataFrame) -> dict[str, int]:
-    grams = classes.select(F.explode(F.regexp_extract_all("norm", F.lit("(?s)(?=(..))"), F.lit(1))).alias("g"))
+    grams = classes.select(F.explode(char_grams(F.col("norm"), 2)).alias("g"))
     top = grams.groupBy("g").count().orderBy(F.col("count").desc(), "g").limit(COMMON_BIGRAMS)
     return {r["g"]: r["count"] for r in top.collect()}
 
