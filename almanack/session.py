@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,10 +33,19 @@ def build_session(app: str = "almanack", master: str | None = None, **conf: str)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a private one only where none is named."""
+    """The shared folder named by the session.
+
+    Where none is named, a folder below the user's home on the default file system: the one that
+    a cluster's executors share. With a default file system that is local, only a local session
+    has it in common with its executors, so anything else is an error.
+    """
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if not named:
-        named = tempfile.mkdtemp(prefix="almanack-")
+        files = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())
+        if files.getUri().getScheme() == "file" and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+        home = "file:/tmp" if files.getUri().getScheme() == "file" else files.getHomeDirectory().toString()
+        named = f"{home}/almanack-{spark.sparkContext.applicationId}"
         spark.conf.set(CHECKPOINT_KEY, named)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)

@@ -5,7 +5,9 @@ import pytest
 import __spark_entry__ as entry
 from tests.oracle import compare, connect
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from almanack.catalog import all_oracles, all_queries
+
+QUERIES, SQL = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -33,4 +35,5 @@ def test_entry(spark):
 
 def test_names():
     assert set(SQL) <= set(QUERIES)
-    assert not [n for n in QUERIES if "pipeline" in n or n.startswith("op")]
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
