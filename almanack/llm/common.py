@@ -21,11 +21,13 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet below the shared folder and read it from there.
 
     Later stages start from files that every executor can open, so a lost executor costs the
-    tasks that it ran and never a recomputation of what came before.
+    tasks that it ran and never a recomputation of what came before. Spark drops the shuffle
+    files of a finished job only when the driver's garbage is collected; that is asked for here.
     """
     spark = df.sparkSession
     path = shared_path(spark, "llm")
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
