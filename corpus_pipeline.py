@@ -4,22 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanack.llm import packing, simhash
+from almanack.llm import packing, simhash, suffixes, toxicity
 from almanack.llm.common import settle, table
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier, fitted on this input's labelled rows, accepts."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near-duplicates."""
     return simhash.drop_near_duplicates(docs)
 
 
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the 100-byte strings that occur earlier in the corpus."""
+    return suffixes.without_repeats(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its token ids and its place in a sequence."""
     return packing.packed_documents(docs)
 
 
 STAGES = [
+    ("toxicity", clean),
     ("simhash_near_dedup", near_duplicates),
+    ("suffix_array_dedup", cut_repeats),
     ("best_fit_packing", pack),
 ]
 
