@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanack.llm import packing, sharding, simhash, suffixes, toxicity
+from almanack.llm import packing, sharding, simhash, suffixes, toxicity, winnowing
 from almanack.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixes.drop_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.edits(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        winnowing.fingerprint(F.col("hashes")).alias("fingerprint"),
+        winnowing.fingerprint(F.col("edited_hashes")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
