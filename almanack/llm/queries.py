@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanack.llm import packing, sharding, simhash, suffixes, toxicity, winnowing
+from almanack.llm import extraction, packing, sharding, simhash, suffixes, toxicity, warc, winnowing
 from almanack.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,16 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
         winnowing.fingerprint(F.col("edited_hashes")).alias("edited_fingerprint"),
         "near_edited", "near_next",
     )
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    records = warc.read_records(manifest, data=False)
+    return records.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.main_texts(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
