@@ -16,6 +16,7 @@ import hashlib
 import heapq
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import xxhash
@@ -76,55 +77,52 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
-class Folder:
-    """Column expressions for one rank file."""
+def fold_words(word: Column, tokens: list[bytes]) -> Column:
+    """The ids of ``word`` (binary, not empty).
 
-    def __init__(self, tokens: list[bytes]):
-        self.tokens = F.split(F.lit(",".join(t.hex().upper() for t in tokens)), ",")
-        self.slots = F.split(F.lit(",".join(map(str, slot_table(tokens)))), ",").cast("array<int>")
+    Each literal stands in the expression once, bound to a variable: tasks get one copy.
+    """
+    digits = F.split(F.lit(",".join(t.hex().upper() for t in tokens)), ",")
+    slots = F.split(F.lit(",".join(map(str, slot_table(tokens)))), ",").cast("array<int>")
+    return _let(digits, lambda t: _let(slots, lambda s: _Fold(t, s).encode(word)))
+
+
+class _Fold:
+    """Column expressions over the two rank arrays."""
+
+    def __init__(self, tokens: Column, slots: Column):
+        self.tokens, self.slots = tokens, slots
 
     def rank(self, key: Column) -> Column:
-        """The rank of a token in hexadecimal digits, ``NONE`` if it has none."""
+        """The rank of a token in hexadecimal digits, ``NONE`` if it has none. ``key`` is read several times: pass a variable."""
         low = (1 << SLOT_BITS) - 1
-        found = _let(
-            F.xxhash64(key),
-            lambda h: F.filter(
-                F.transform(F.array(h.bitwiseAND(low), F.shiftrightunsigned(h, 32).bitwiseAND(low)), lambda s: F.get(self.slots, s.cast("int"))),
-                lambda r: F.get(self.tokens, r) == key,
-            ),
-        )
-        return F.coalesce(F.get(found, 0), F.lit(NONE))
+        slot = lambda h: F.get(self.slots, h.bitwiseAND(low).cast("int"))
+        one, two = slot(F.xxhash64(key)), slot(F.shiftrightunsigned(F.xxhash64(key), 32))
+        return F.when(F.get(self.tokens, one) == key, one).when(F.get(self.tokens, two) == key, two).otherwise(F.lit(NONE))
 
     def _merge(self, state: Column, low: Column) -> Column:
         parts, ranks = state["parts"], state["ranks"]
-        none, most = F.array().cast("array<int>"), F.lit(1 << 20)
+        empty, most = F.array().cast("array<string>"), F.lit(1 << 20)
 
         def at(p: Column) -> Column:
             merged = F.get(self.tokens, low)
-            p = p.cast("int")
+            pairs = F.concat(
+                F.when(p > 1, F.array(F.concat(F.get(parts, p - 2), merged))).otherwise(empty),
+                F.when(p + 1 < F.size(parts), F.array(F.concat(merged, F.get(parts, p + 1)))).otherwise(empty),
+            )
             return F.struct(
                 F.concat(F.slice(parts, 1, p - 1), F.array(merged), F.slice(parts, p + 2, most)).alias("parts"),
-                F.concat(
-                    F.slice(ranks, 1, F.greatest(p - 2, F.lit(0))),
-                    F.transform(F.when(p > 1, F.array(F.concat(F.get(parts, p - 2), merged))).otherwise(F.array().cast("array<string>")), self.rank),
-                    F.transform(F.when(p + 1 < F.size(parts), F.array(F.concat(merged, F.get(parts, p + 1)))).otherwise(F.array().cast("array<string>")), self.rank),
-                    F.slice(ranks, p + 2, most),
-                    none,
-                ).alias("ranks"),
+                F.concat(F.slice(ranks, 1, F.greatest(p - 2, F.lit(0))), F.transform(pairs, self.rank), F.slice(ranks, p + 2, most)).alias("ranks"),
             )
 
-        return _let(F.array_position(ranks, low), at)
+        return _let(F.array_position(ranks, low).cast("int"), at)
 
     def encode(self, word: Column) -> Column:
-        """The ids of ``word`` (binary, not empty)."""
-        digits = F.hex(word)
-        parts = F.transform(F.sequence(F.lit(0), F.octet_length(word) - 1), lambda i: F.substring(digits, 2 * i + 1, F.lit(2)))
-
         def fold(parts: Column) -> Column:
-            pairs = F.transform(F.slice(parts, 2, F.size(parts)), lambda b, i: self.rank(F.concat(F.get(parts, i), b)))
+            pairs = F.transform(F.slice(parts, 2, F.size(parts)), lambda b, i: F.concat(F.get(parts, i), b))
             state = F.aggregate(
                 F.slice(parts, 2, F.size(parts)),
-                F.struct(parts.alias("parts"), pairs.alias("ranks")),
+                F.struct(parts.alias("parts"), F.transform(pairs, self.rank).alias("ranks")),
                 lambda s, _: _let(
                     F.coalesce(F.array_min(s["ranks"]), F.lit(NONE)),
                     lambda low: F.when(low == NONE, s).otherwise(self._merge(s, low)),
@@ -132,8 +130,11 @@ class Folder:
             )
             return F.transform(state["parts"], self.rank)
 
-        whole = self.rank(digits)
-        return F.when(whole != NONE, F.array(whole)).otherwise(_let(parts, fold))
+        def ids(digits: Column) -> Column:
+            parts = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.substring(digits, i, F.lit(2)))
+            return F.when(self.rank(digits) != NONE, F.array(self.rank(digits))).otherwise(_let(parts, fold))
+
+        return _let(F.hex(word), ids)
 
 
 # ---- long words -----------------------------------------------------------------------------
@@ -194,7 +195,9 @@ def _joined(name: str):
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         _, ranks = _vocabulary(name)
         spread = zstandard.ZstdDecompressor()
-        known = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist()))
+        ids = words.column("ids").combine_chunks()
+        flat, at = ids.values.to_numpy().astype("<u4").tobytes(), (ids.offsets.to_numpy() * 4).tolist()
+        known = {w: flat[i:j] for w, i, j in zip(words.column("word").to_pylist(), at, at[1:])}
         docs, out = texts.column("doc_id").combine_chunks(), []
         for packed in texts.column("packed"):
             parts = pretokens(spread.decompress(packed.as_py()).decode("utf-8", "surrogatepass"))
@@ -213,25 +216,41 @@ def encode_texts(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     Each match of the pattern is encoded by itself, without special tokens. A null or empty text
     has no ids. Rows are independent, so repeated or null ids need no rule.
     """
-    folder = Folder(load_ranks(ranks))
     texts = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = texts.select("part", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))).alias("word"))
+    found = texts.select("part", F.explode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("word"))
     held = settle(found.where(F.octet_length("word") <= LONGEST).distinct())
     distinct = settle(held.select("word").distinct())
-    ids = F.aggregate(
-        folder.encode(F.col("word").cast("binary")),
-        F.unhex(F.lit("")),
-        lambda all_, i: F.concat(all_, _little(i)),
-    )
-    encoded = settle(distinct.select("word", ids.alias("ids")))
+    encoded = settle(distinct.select("word", fold_words(F.col("word").cast("binary"), load_ranks(ranks)).alias("ids")))
     words = held.join(encoded, "word").select("part", "word", "ids")
     packed = texts.mapInArrow(_squeezed, "part int, doc_id long, packed binary")
     return packed.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_joined(ranks), "doc_id long, ids binary")
 
 
-def _little(i: Column) -> Column:
-    digits = F.lpad(F.hex(i), 8, "0")
-    return F.unhex(F.concat(*(F.substring(digits, k, 2) for k in (7, 5, 3, 1))))
+class _Decoder:
+    """Token bytes end to end, with where each begins and how long it is."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.sizes = np.array([len(t) for t in tokens])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def decode(self, ids: list[bytes]) -> list[bytes]:
+        """Each list of ids to the bytes of its tokens, put together for all lists at once."""
+        every = np.frombuffer(b"".join(ids), "<u4")
+        sizes = self.sizes[every]
+        ends = np.cumsum(sizes)
+        data = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[every] - ends + sizes, sizes)].tobytes()
+        stops = np.r_[0, ends][np.cumsum([len(b) // 4 for b in ids])].tolist()
+        return [data[i:j] for i, j in zip([0, *stops], stops)]
+
+
+_DECODERS: dict[str, _Decoder] = {}
+
+
+def _decoder(name: str) -> _Decoder:
+    if name not in _DECODERS:
+        _DECODERS[name] = _Decoder(_vocabulary(name)[0])
+    return _DECODERS[name]
 
 
 def decode_ids(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
@@ -239,8 +258,10 @@ def decode_ids(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
 
     @F.pandas_udf("binary")
     def back(ids):
-        tokens, _ = _vocabulary(ranks)
-        return ids.map(lambda b: None if b is None else b"".join(map(tokens.__getitem__, memoryview(b).cast("I"))), na_action=None)
+        import pandas as pd
+
+        decoded = _decoder(ranks).decode([b or b"" for b in ids])
+        return pd.Series([None if b is None else d for b, d in zip(ids, decoded)], dtype=object)
 
     return encoded.withColumn("decoded", back("ids"))
 
@@ -249,10 +270,9 @@ def round_trips(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encoded, decoded, and digested in one pass over the ids."""
 
     def run(batches):
-        tokens, _ = _vocabulary(ranks)
-        for batch in slices(batches, "ids"):
+        for batch in slices(batches, "ids", 2 << 20):
             ids = batch.column("ids").to_pylist()
-            back = (b"".join(map(tokens.__getitem__, memoryview(b).cast("I"))) for b in ids)
+            back = _decoder(ranks).decode(ids)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array([len(b) // 4 for b in ids], pa.int64()),
