@@ -240,7 +240,7 @@ class _Decoder:
         sizes = self.sizes[every]
         ends = np.cumsum(sizes)
         data = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[every] - ends + sizes, sizes)].tobytes()
-        stops = np.r_[0, ends][np.cumsum([len(b) // 4 for b in ids])].tolist()
+        stops = np.r_[0, ends][np.cumsum([len(b) // 4 for b in ids], dtype=np.int64)].tolist()
         return [data[i:j] for i, j in zip([0, *stops], stops)]
 
 

@@ -52,7 +52,7 @@ _TOGETHER = 4096
 def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
     """Polynomial hashes modulo 2**64 of all ``width``-byte strings, built by doubling."""
     out, have, done = None, _BYTES[data], 1
-    power, at = np.array(_BASE), 0
+    power, at = np.array([_BASE]), 0
     left = width
     while left:
         if left & 1:
