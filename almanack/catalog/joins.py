@@ -96,7 +96,7 @@ NAMED = "CASE WHEN lang IN ('en', 'fr') THEN '「' || {w} || '」 トークイ
 
 
 @query("c9_find_parent", rf"""
-WITH r0 AS (SELECT id, source_name, lang, {NAMED.format(w=W3[1])} AS nm FROM doc WHERE n_chars < 600),
+WITH r0 AS (SELECT id, source_name, lang, {NAMED.format(w=W3[1])} AS nm FROM doc),
  r1 AS (SELECT *, trim(regexp_extract(nm, '[『「](.+?)[』」]', 1)) AS b, trim(regexp_replace(nm, '\s*(トークイベント|イベント)?\s*レポート[^\n]*$', '')) AS base FROM r0),
  r AS (SELECT id, source_name, CASE WHEN length(b) >= 3 THEN lower(b) END AS t1,
    CASE WHEN length(base) >= 4 THEN lower(CASE WHEN length(trim(regexp_split_to_array(base, '\s*[-－—]\s*')[-1])) < 4 THEN base ELSE trim(regexp_split_to_array(base, '\s*[-－—]\s*')[-1]) END) END AS t2 FROM r1),
@@ -106,18 +106,18 @@ WITH r0 AS (SELECT id, source_name, lang, {NAMED.format(w=W3[1])} AS nm FROM doc
 SELECT r.id, arg_min(p.parent_id, p.s) AS parent_id FROM r LEFT JOIN p ON p.id = r.id GROUP BY r.id""", "doc")
 def _(c):
     d = c.docs()
-    reports = d.where("n_chars < 600").withColumn("name_ja", F.expr(NAMED.format(w=W3[0])))
+    reports = d.withColumn("name_ja", F.expr(NAMED.format(w=W3[0])))
     return j.find_parent(reports, d.withColumn("name_ja", F.col("raw_title")))
 
 
 @query("c10_parent_label", """
-SELECT k.conv_id, k.turn, left(p.text, 40) AS parent_name FROM conversations k LEFT JOIN conversations p ON k.turn > 0 AND p.conv_id = k.conv_id AND p.turn = 0""")
+SELECT k.conv_id, k.turn, p.text AS parent_name FROM conversations k LEFT JOIN conversations p ON k.turn > 0 AND p.conv_id = k.conv_id AND p.turn = 0""")
 def _(c):
     t = c.table("conversations")
     key = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit("/"), turn.cast("string"))
     rows = t.select("conv_id", "turn", F.when(F.col("turn") > 0, key(F.lit(0))).alias("parent_event_id"))
     names = t.select(key(F.col("turn")).alias("id"), "text")
-    return j.with_parent(rows, names, F.left("text", F.lit(40))).drop("parent_event_id")
+    return j.with_parent(rows, names, F.col("text")).drop("parent_event_id")
 
 
 def turns(c):
@@ -148,10 +148,10 @@ def _(c):
 
 
 @query("c13_reports_with_event", """
-SELECT l.doc_id AS event_id, l.toxic, d.source_name, left(d.raw_title, 30) AS title FROM labels l LEFT JOIN doc d ON d.id = l.doc_id""", "doc")
+SELECT l.doc_id AS event_id, l.toxic, d.source_name, d.raw_title AS title FROM labels l LEFT JOIN doc d ON d.id = l.doc_id""", "doc")
 def _(c):
     reports = c.table("labels").withColumnRenamed("doc_id", "event_id")
-    d = c.docs().withColumn("title", F.left("raw_title", F.lit(30)))
+    d = c.docs().withColumn("title", F.col("raw_title"))
     return j.reports_with_event(reports, d, ["source_name", "title"]).select("event_id", "toxic", "event.source_name", "event.title")
 
 

@@ -69,10 +69,10 @@ def _(c):
 
 @query("w7_distinct_ordered", r"""
 SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: row(list_position(w, x), x))), lambda y: y[2]), '/') AS words
-FROM (SELECT doc_id, list_concat(string_split(split_part(text, chr(10), 1), ' '), string_split(lang || ' ' || source, ' ')) AS w FROM documents)""")
+FROM (SELECT doc_id, list_concat(string_split(text, ' '), string_split(lang || ' ' || source, ' ')) AS w FROM documents)""")
 def _(c):
     d = c.table("documents")
-    first = F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " ")
+    first = F.split("text", " ")
     second = F.split(F.concat("lang", F.lit(" "), "source"), " ")
     return d.select("doc_id", F.array_join(o.distinct_ordered(first, second), "/").alias("words"))
 

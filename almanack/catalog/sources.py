@@ -22,18 +22,18 @@ def _(c):
 
 def snapshot(c):
     path = shared_path(c.spark, "snapshots")
-    tables = {"documents": c.table("documents"), "labels": c.table("labels"), "orders": c.table("orders").where("o_totalprice < 0")}
+    tables = {"documents": c.table("documents"), "labels": c.table("labels"), "orders": c.table("orders"), "none": c.table("orders").where("false")}
     return path, sinks.write_snapshot(tables, path)
 
 
 @query("s4_snapshot_manifest", """
-SELECT 'documents' AS "table", count(*) AS row_count FROM documents UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_totalprice < 0""")
+SELECT 'documents' AS "table", count(*) AS row_count FROM documents UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'none', 0""")
 def _(c):
     return snapshot(c)[1].select("table", "row_count")
 
 
 @query("s5_snapshot_verify", """
-SELECT 'labels' AS "table", 'error' AS level, 'missing columns: score' AS finding UNION ALL SELECT 'orders', 'warning', 'empty table' UNION ALL SELECT 'pages', 'error', 'missing table'""")
+SELECT 'labels' AS "table", 'error' AS level, 'missing columns: score' AS finding UNION ALL SELECT 'none', 'warning', 'empty table' UNION ALL SELECT 'pages', 'error', 'missing table'""")
 def _(c):
     path, _m = snapshot(c)
     need = {"documents": ["doc_id", "text"], "labels": ["doc_id", "score"], "orders": ["o_orderkey"], "pages": ["url"]}
@@ -97,10 +97,10 @@ def _(c):
     return c.spark.read.parquet(path).withColumn("cost_usd", F.col("cost_usd").cast("double")).drop("ran_at")
 
 
-@query("s13_append", "SELECT event_type, event_id FROM events WHERE event_type IN ('view', 'click')")
+@query("s13_append", "SELECT event_type, event_id FROM events")
 def _(c):
     path = shared_path(c.spark, "clicks")
-    for kind in ("view", "click"):
+    for kind in ("view", "click", "purchase", "signup", "error"):
         sinks.append(c.table("events").where(F.col("event_type") == kind).select("event_type", "event_id"), path)
     return c.spark.read.schema("event_type string, event_id long").parquet(path)
 
@@ -112,7 +112,7 @@ class StreamCarriers(Carriers):
 
     def table(self, name):
         if name == "events":
-            return st.read_feed(self.spark, self.sf_dir, SCHEMAS["events"], "events.parquet")
+            return st.read_feed(self.spark, f"{self.sf_dir}/events.parquet", SCHEMAS["events"])
         return super().table(name)
 
 
@@ -168,7 +168,7 @@ def _(c):
     body = (F.when(F.col("event_type") == "click", F.when(k < 50, "lang:zh").when(k < 90, "lang:en").otherwise("lang:xx"))
             .when(F.col("event_type") == "purchase", F.when(k < 60, "k1, k2").when(k < 80, "k3").otherwise("??")).when(F.col("event_type") == "view", F.when(k < 30, "日本語").otherwise("hello")))
     src = ev.select("user_id", "id", F.col("start_date").alias("at"), F.element_at(kind, F.col("event_type")).alias("kind"), body.alias("body"))
-    table = st.VersionedTable(c.spark, shared_path(c.spark, "subscribers"), st.SUBSCRIBERS)
+    table = st.KeptTable(c.spark, shared_path(c.spark, "subscribers"), st.SUBSCRIBERS, ["user_id"])
     last = st.stream_subscribers(src, table, LABELS, shared_path(c.spark, "state", "subscribers"))
     return table.read(last).select("user_id", "status", "language", F.array_join("tags", ",").alias("tags"))
 
@@ -181,12 +181,12 @@ def _(c):
     class Orders(Carriers):
         def table(self, name):
             if name == "orders":
-                return st.read_feed(self.spark, self.sf_dir, SCHEMAS["orders"], "orders.parquet")
+                return st.read_feed(self.spark, f"{self.sf_dir}/orders.parquet", SCHEMAS["orders"])
             return super().table(name)
 
     start = existing(c)
     layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in start.schema)
-    table = st.VersionedTable(c.spark, shared_path(c.spark, "ingest"), layout)
+    table = st.KeptTable(c.spark, shared_path(c.spark, "ingest"), layout, ["source_name", "source_id"])
     table.write(0, start)
     stream = incoming(Orders(c.spark, c.sf_dir))
     last = st.stream_ingest(stream, table, shared_path(c.spark, "state", "ingest"))

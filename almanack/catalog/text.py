@@ -272,9 +272,9 @@ def _(c):
 
 
 @query("h37_strip_report", r"""
-SELECT id, trim(left(raw_title, 60)) AS t, nullif(CASE WHEN length(trim(left(raw_title, 60))) >= 4 THEN source_name || 'zz' END, '') AS fragment FROM doc""", "doc")
+SELECT id, trim(raw_title) AS t, nullif(CASE WHEN length(trim(raw_title)) >= 4 THEN source_name || 'zz' END, '') AS fragment FROM doc""", "doc")
 def _(c):
-    head = F.left("raw_title", F.lit(60))
+    head = F.col("raw_title")
     t = F.concat(head, F.lit(" トー クイベント レポ ート 第2回"))
     u = F.concat(head, F.lit(" － "), F.col("source_name"), F.lit("zz 開催報告"))
     frag = F.regexp_replace(titles.report_fragment(F.regexp_replace(u, "開催", "")), "^ +", "")

@@ -65,8 +65,7 @@ def name_classes(df: DataFrame, block: Column, name: str = "name_ja") -> DataFra
     The distinct rows are spread evenly, since the work per name in Python is the costly part.
     """
     classes = df.select(block.alias("block"), norm_name(F.col(name)).alias("norm")).distinct()
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return durable(classes.withColumn("cid", F.sha2("norm", 256)).withColumn("len", F.length("norm")).repartition(spread))
+    return durable(classes.withColumn("cid", F.sha2("norm", 256)).withColumn("len", F.length("norm")).hint("rebalance"))
 
 
 def _common(classes: DataFrame) -> dict[str, int]:
@@ -164,30 +163,32 @@ def _meet(directed: DataFrame, first: DataFrame, second: DataFrame, cond: Column
     )
 
 
-def _settle(edges: DataFrame, max_rounds: int) -> DataFrame:
+def _settle(edges: DataFrame) -> DataFrame:
     """Ids that stay active: a row is out as soon as an active earlier row reaches it.
 
-    Each round decides every row whose earlier neighbours are all decided; state is written to
-    shared storage between rounds.
+    Each round decides every row whose earlier neighbours are all decided. Only open rows and
+    the edges that lead to them are carried on; a round decides at least the first open row of
+    each day, so the rounds end by themselves.
     """
-    nodes = edges.select(F.col("x").alias("n")).unionByName(edges.select(F.col("y").alias("n"))).distinct()
-    state = durable(nodes.withColumn("st", F.lit("open")))
-    for _ in range(max_rounds):
-        seen = (
-            edges.join(state.select(F.col("n").alias("x"), F.col("st").alias("sx")), "x")
-            .groupBy(F.col("y").alias("n"))
-            .agg(F.max(F.col("sx") == "active").alias("hit"), F.max(F.col("sx") == "open").alias("wait"))
-        )
-        now = (
-            F.when(F.col("st") != "open", F.col("st"))
-            .when(F.coalesce("hit", F.lit(False)), F.lit("out"))
-            .when(F.coalesce("wait", F.lit(False)), F.lit("open"))
-            .otherwise(F.lit("active"))
-        )
-        state = durable(state.join(seen, "n", "left").select("n", now.alias("st")))
-        if state.where("st = 'open'").isEmpty():
-            return state.where("st = 'active'").select("n")
-    raise RuntimeError(f"primary choice did not settle in {max_rounds} rounds")
+    open_edges = edges
+    waiting = edges.select(F.col("y").alias("n")).distinct()
+    active = durable(edges.select(F.col("x").alias("n")).distinct().join(waiting, "n", "left_anti"))
+    done = [active]
+    while not active.isEmpty():
+        hit = durable(open_edges.join(active.select(F.col("n").alias("x")), "x", "left_semi").select(F.col("y").alias("n")).distinct())
+        gone_x, gone_y = hit.select(F.col("n").alias("x")), hit.select(F.col("n").alias("y"))
+        just = active.select(F.col("n").alias("x"))
+        # rows that were hit are out: what leads to them, and from them, is settled
+        open_edges = durable(open_edges.join(gone_y, "y", "left_anti").join(just, "x", "left_anti"))
+        free = open_edges.join(gone_x, "x", "left_anti")
+        heads = open_edges.select(F.col("y").alias("n")).unionByName(free.select(F.col("x").alias("n"))).distinct()
+        active = durable(heads.join(free.select(F.col("y").alias("n")).distinct(), "n", "left_anti"))
+        open_edges = free
+        done.append(active)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
 
 
 def assign_primary(
@@ -196,7 +197,6 @@ def assign_primary(
     order: Sequence[str] = ("start_date",),
     ranks: dict[str, int] | None = None,
     threshold: float = SIMILAR,
-    max_rounds: int = 1000,
 ) -> DataFrame:
     """Merge decisions (primary_id, secondary_id, sim), as a sequential scan in order makes them.
 
@@ -216,7 +216,7 @@ def assign_primary(
     )
     no_worse = F.col("rank_x") <= F.col("rank_y")
     edges = durable(_meet(directed, heads, heads, no_worse).select(F.col("id_x").alias("x"), F.col("id_y").alias("y")).distinct())
-    active = _settle(edges, max_rounds)
+    active = _settle(edges)
     linked = edges.select(F.col("y").alias("n")).distinct()
     free = heads.join(linked, heads["id"] == linked["n"], "left_anti")
     standing = free.unionByName(heads.join(active, heads["id"] == active["n"], "left_semi"))
@@ -307,34 +307,42 @@ def match_news(
 def audit_pairs(df: DataFrame, days: int = 3, threshold: float = AUDIT_SIMILAR, k: int = 50) -> DataFrame:
     """The k most similar cross-source row pairs at most ``days`` apart; ties by ids.
 
-    Rows whose URL is already merged are left out first. Of each class and source only the
-    first k ids can be in the result, and of the class pairs only those that reach the k-th
-    best similarity, so the row pairs formed at the end stay small.
+    Rows whose URL is already merged are left out first. A pair is (earlier row, later row) by
+    start and id. A row is a *starter* towards a class if a later row of another source exists
+    there, which the two latest sources of the class tell. Every starter has a pair, so only the
+    k first starters by similarity and id, with all that tie with the last of them, can be in the
+    result; only they meet rows. One small read of the k-th starter happens here.
     """
     merged = df.select(F.explode("secondary_source_urls").alias("source_url")).where("source_url <> ''").distinct()
-    rows = df.join(merged, "source_url", "left_anti").select(
+    open_rows = df.join(merged, "source_url", "left_anti")
+    rows = durable(open_rows.select(
         "id", F.to_date("start_date").alias("block"), F.struct("start_date", "id").alias("ord"),
         F.sha2(norm_name(F.col("name_ja")), 256).alias("cid"), F.col("source_name").alias("src"),
+    ))
+    near = durable(near_classes(name_classes(open_rows, F.to_date("start_date")), threshold, days).select("block_a", "cid_a", "block_b", "cid_b", "sim_ab", "sim_ba"))
+    way = lambda x, y, sim: [F.col(f"block_{x}").alias("bx"), F.col(f"cid_{x}").alias("cx"), F.col(f"block_{y}").alias("by"), F.col(f"cid_{y}").alias("cy"), F.col(sim).alias("sim")]
+    latest = rows.groupBy("block", "cid", "src").agg(F.max("ord").alias("last"))
+    nth = F.row_number().over(Window.partitionBy("block", "cid").orderBy(F.desc("last")))
+    tops = latest.withColumn("_n", nth).where("_n <= 2").groupBy("block", "cid").agg(
+        F.max(F.when(F.col("_n") == 1, F.struct("last", "src"))).alias("one"), F.max(F.when(F.col("_n") == 2, F.col("last"))).alias("two"))
+    own = tops.where("two IS NOT NULL").select(F.col("block").alias("bx"), F.col("cid").alias("cx"), F.col("block").alias("by"), F.col("cid").alias("cy"), F.lit(1.0).alias("sim"))
+    directed = (
+        near.select(*way("a", "b", "sim_ab"))
+        .unionByName(near.where("block_a = block_b").select(*way("b", "a", "sim_ba")))
+        .where(F.col("sim") >= threshold).unionByName(own)
     )
-    classes = name_classes(df.join(merged, "source_url", "left_anti"), F.to_date("start_date"))
-    near = near_classes(classes, threshold, days).select("block_a", "cid_a", "block_b", "cid_b", "sim_ab", "sim_ba")
-    own = rows.groupBy("block", "cid").agg(F.min("src").alias("lo"), F.max("src").alias("hi")).where("lo <> hi").select(
-        F.col("block").alias("block_a"), F.col("cid").alias("cid_a"), F.col("block").alias("block_b"), F.col("cid").alias("cid_b"),
-        F.lit(1.0).alias("sim_ab"), F.lit(1.0).alias("sim_ba"))
-    pairs = durable(near.unionByName(own))
-    w = Window.partitionBy("block", "cid", "src").orderBy("ord")
-    heads = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
-    side = lambda s: heads.select(*[F.col(c).alias(f"{c}_{s}") for c in heads.columns])
-    met = pairs.join(side("a"), ["block_a", "cid_a"]).join(side("b"), ["block_b", "cid_b"]).where("src_a <> src_b")
-    same_class = (F.col("block_a") == F.col("block_b")) & (F.col("cid_a") == F.col("cid_b"))
-    a_first = F.col("ord_a") < F.col("ord_b")
-    met = met.where(~same_class | a_first)
-    out = met.select(
-        F.when(a_first, F.col("sim_ab")).otherwise(F.col("sim_ba")).alias("sim"),
-        F.when(a_first, F.col("id_a")).otherwise(F.col("id_b")).alias("id_a"),
-        F.when(a_first, F.col("id_b")).otherwise(F.col("id_a")).alias("id_b"),
-    )
-    return out.where(F.col("sim") >= threshold).orderBy(F.col("sim").desc(), "id_a", "id_b").limit(k)
+    x = rows.select(F.col("block").alias("bx"), F.col("cid").alias("cx"), F.col("id").alias("id_a"), F.col("ord").alias("ox"), F.col("src").alias("sx"))
+    y = rows.select(F.col("block").alias("by"), F.col("cid").alias("cy"), F.col("id").alias("id_b"), F.col("ord").alias("oy"), F.col("src").alias("sy"))
+    ends = tops.select(F.col("block").alias("by"), F.col("cid").alias("cy"), "one", "two")
+    until = F.when(F.col("one.src") != F.col("sx"), F.col("one.last")).otherwise(F.col("two"))
+    starters = directed.join(x, ["bx", "cx"]).join(ends, ["by", "cy"]).where(F.col("ox") < until).drop("one", "two")
+    best = [F.col("sim").desc(), F.col("id_a")]
+    first = starters.select("sim", "id_a").orderBy(*best).limit(k).collect()
+    if len(first) == k and k:
+        sim, last = first[-1]
+        starters = starters.where((F.col("sim") > sim) | ((F.col("sim") == sim) & (F.col("id_a") <= last)))
+    met = starters.join(y, ["by", "cy"]).where((F.col("ox") < F.col("oy")) & (F.col("sx") != F.col("sy")))
+    return met.select("sim", "id_a", "id_b").orderBy(*best, "id_b").limit(k)
 
 
 # The block that a merged description adds.
@@ -343,8 +351,8 @@ APPENDED = "\n\n---\n別来源補足 ({})\n{}"
 
 def append_desc(primary: Column, secondary: Column, label: Column) -> Column:
     """Primary text plus a labelled block, unless the secondary is empty or already contained."""
-    head, middle, tail = "\n\n---\n別来源補足 (", ")\n", ""
-    grown = F.concat(primary, F.lit(head), label, F.lit(middle), secondary, F.lit(tail))
+    before, between, after = APPENDED.split("{}")
+    grown = F.concat(primary, F.lit(before), label, F.lit(between), secondary, F.lit(after))
     return F.when((secondary != "") & ~primary.contains(secondary), grown).otherwise(primary)
 
 
@@ -353,31 +361,41 @@ def apply_merge(events: DataFrame, pairs: DataFrame) -> DataFrame:
 
     All secondaries of a primary are applied in order. Only a first merge adds text and
     re-queues the row, so a second run changes nothing but inactive flags already set.
+
+    Secondaries are reduced before they meet their primary: to the first of each URL and of each
+    text (a later equal text would be contained already), combined before the shuffle. What a
+    primary's row gathers is its own value, a list of distinct URLs and of distinct texts.
     """
     tidy = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    urls = F.coalesce("secondary_source_urls", F.array().cast("array<string>"))
     s = events.select(
-        F.col("id").alias("secondary_id"),
-        F.struct(
-            F.struct("start_date", "id").alias("ord"), F.col("source_url").alias("url"), F.col("official_url").alias("official"),
-            tidy("raw_description").alias("text"), F.col("source_name").alias("label"),
-        ).alias("sec"),
+        F.col("id").alias("secondary_id"), F.struct("start_date", "id").alias("ord"), F.col("source_url").alias("url"),
+        F.nullif("official_url", F.lit("")).alias("official"), tidy("raw_description").alias("text"), F.col("source_name").alias("label"),
+    )
+    secs = pairs.select(F.col("primary_id").alias("id"), "secondary_id").join(s, "secondary_id").drop("secondary_id")
+    had = events.select("id", urls.alias("_had")).join(pairs.select(F.col("primary_id").alias("id")).distinct(), "id", "left_semi")
+    known = had.select("id", F.explode("_had").alias("url")).distinct().withColumn("_old", F.lit(True))
+    marked = secs.join(known, ["id", "url"], "left").withColumn("fresh", F.col("_old").isNull()).drop("_old")
+    whole = marked.groupBy("id").agg(
+        F.min_by("official", F.when(F.col("official").isNotNull(), F.col("ord"))).alias("_official"), F.max("fresh").alias("_fresh"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ord", *c))), lambda x: x.dropFields("ord"))
+    lists = marked.groupBy("id", "url").agg(F.min("ord").alias("ord")).groupBy("id").agg(in_order(["url"]).alias("_urls"))
+    texts = (
+        marked.where("fresh AND text <> ''").groupBy("id", "text").agg(F.min("ord").alias("ord"), F.min_by("label", "ord").alias("label"))
+        .groupBy("id").agg(in_order(["text", "label"]).alias("_texts"))
     )
-    gathered = pairs.join(s, "secondary_id").groupBy(F.col("primary_id").alias("id")).agg(F.array_sort(F.collect_list("sec")).alias("_secs"))
     lost = pairs.select(F.col("secondary_id").alias("id")).distinct().withColumn("_lost", F.lit(True))
-    urls = F.coalesce("secondary_source_urls", F.array().cast("array<string>"))
-    fresh = F.filter("_secs", lambda x: ~F.array_contains(urls, x["url"]))
     base = tidy("raw_description")
-    text = F.aggregate(fresh, base, lambda acc, x: append_desc(acc, x["text"], x["label"]))
-    officials = F.filter(F.transform("_secs", lambda x: F.nullif(x["official"], F.lit(""))), lambda x: x.isNotNull())
-    primary = F.col("_secs").isNotNull()
+    text = F.aggregate(F.coalesce("_texts", F.array().cast("array<struct<text:string,label:string>>")), base, lambda acc, x: append_desc(acc, x["text"], x["label"]))
+    primary = F.col("_urls").isNotNull()
     return (
-        events.join(gathered, "id", "left").join(lost, "id", "left")
+        events.join(whole, "id", "left").join(lists, "id", "left").join(texts, "id", "left").join(lost, "id", "left")
         .withColumns(
             {
-                "secondary_source_urls": F.when(primary, F.array_distinct(F.concat(urls, F.transform("_secs", lambda x: x["url"])))).otherwise(F.col("secondary_source_urls")),
-                "official_url": F.when(primary, F.coalesce(F.nullif("official_url", F.lit("")), F.try_element_at(officials, F.lit(1)), F.col("official_url"))).otherwise(F.col("official_url")),
+                "secondary_source_urls": F.when(primary, F.array_distinct(F.concat(urls, F.transform("_urls", lambda x: x["url"])))).otherwise(F.col("secondary_source_urls")),
+                "official_url": F.when(primary, F.coalesce(F.nullif("official_url", F.lit("")), F.col("_official"), F.col("official_url"))).otherwise(F.col("official_url")),
                 "raw_description": F.when(primary & (text != base), text).otherwise(F.col("raw_description")),
-                "annotation_status": F.when(primary & (F.size(fresh) > 0), F.lit("pending")).otherwise(F.col("annotation_status")),
+                "annotation_status": F.when(primary & F.col("_fresh"), F.lit("pending")).otherwise(F.col("annotation_status")),
                 "is_active": F.col("is_active") & F.col("_lost").isNull(),
             }
         )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,10 +15,17 @@ KEYS = ("source_name", "source_id")
 
 
 def last_per_key(incoming: DataFrame, keys: Sequence[str] = KEYS, order: str | None = None) -> DataFrame:
-    """One incoming row per key: the last in ``order``."""
-    if order is None:
-        return incoming.dropDuplicates(list(keys))
-    return first_by(incoming, list(keys), F.col(order).desc())
+    """One incoming row per key: the last in ``order``; among equals, and without an order, the
+    largest by all columns in turn, so that a retry picks the same row.
+
+    Rows with a null in the key can't be matched again and are left out.
+    """
+    keys = list(keys)
+    rows = incoming.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    # maps have no order; as text they have
+    plain = [F.to_json(c) if "map<" in t else F.col(c) for c, t in rows.dtypes if c not in keys]
+    ranked = ([F.col(order).desc()] if order else []) + [c.desc_nulls_last() for c in plain]
+    return first_by(rows, keys, *ranked) if ranked else rows.dropDuplicates(keys)
 
 
 def classify(

@@ -90,15 +90,22 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 FINDING = "`table` string, level string, finding string"
 
 
-def verify_snapshot(spark: SparkSession, path: str, required: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Findings of a snapshot check: missing tables, counts, digests, columns, empty tables."""
+def verify_snapshot(spark: SparkSession, path: str, required: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Findings of a snapshot check: missing tables, counts, digests, columns, empty tables.
+
+    Every table of the manifest is checked, and those of ``required`` for their columns too.
+    """
     known = read_manifest(spark, path)
+    listed = {r["table"]: [] for r in known.select("table").distinct().collect()}
+    required = listed | dict(required or {})
     found = spark.createDataFrame([], FINDING)
     fixed: list[tuple[str, str, str]] = []
     for name, columns in required.items():
         try:
             df = spark.read.parquet(os.path.join(path, name))
-        except AnalysisException:
+        except AnalysisException as lost:
+            if lost.getCondition() != "PATH_NOT_FOUND":
+                raise
             fixed.append((name, "error", "missing table"))
             continue
         lost = sorted(set(columns) - set(df.columns))

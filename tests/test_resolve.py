@@ -107,6 +107,47 @@ def test_audit_pairs(spark, days, k):
     assert got == want
 
 
+@pytest.mark.parametrize("k", [1, 2, 5, 40, 2000])
+def test_audit_many_copies(spark, k):
+    """Copies at mixed hours, whose ids and starts disagree in order."""
+    rng = random.Random(3)
+    names = ["Lantern Festival of the North", "Lantern Festival of the Nortx", "Something else altogether"]
+    df, rows = table(spark, 5, 3, days=1)
+    rows = [
+        tuple({**dict(zip(df.columns, rows[0])), "id": i, "source_name": rng.choice("abc"), "source_id": f"s{i}", "source_url": f"u{i}", "name_ja": rng.choice(names),
+               "start_date": dt.datetime(2024, 5, rng.choice([1, 1, 2]), rng.randint(0, 3)), "secondary_source_urls": []}.values())
+        for i in rng.sample(range(100), 70)
+    ]
+    df = spark.createDataFrame(rows, df.schema)
+    at = {c: df.columns.index(c) for c in ("id", "source_name", "start_date")}
+    norm = norms(spark, rows)
+    order = sorted(rows, key=lambda x: (x[at["start_date"]], x[at["id"]]))
+    pairs = []
+    for i, a in enumerate(order):
+        for b in order[i + 1:]:
+            if a[at["source_name"]] != b[at["source_name"]]:
+                s = SequenceMatcher(None, norm[a[0]], norm[b[0]]).ratio()
+                if s >= 0.8:
+                    pairs.append((s, a[0], b[0]))
+    want = sorted(pairs, key=lambda p: (-p[0], p[1], p[2]))[:k]
+    assert [(x["sim"], x["id_a"], x["id_b"]) for x in r.audit_pairs(df, days=1, k=k).collect()] == want
+
+
+def test_merge_of_very_many_secondaries(spark):
+    """One primary, 100,000 secondaries with few texts: what it gathers is distinct."""
+    n = 100_000
+    day = F.lit("2024-05-01").cast("timestamp_ntz")
+    rows = spark.range(n + 1).select(
+        "id", F.concat(F.lit("s"), F.col("id") % 3).alias("source_name"), F.concat(F.lit("u"), F.col("id") % 50).alias("source_url"), day.alias("start_date"),
+        F.lit(None).cast("string").alias("official_url"), F.concat(F.lit("text "), F.col("id") % 4).alias("raw_description"),
+        F.lit("annotated").alias("annotation_status"), F.array().cast("array<string>").alias("secondary_source_urls"), F.lit(True).alias("is_active"),
+    )
+    pairs = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("primary_id"), F.col("id").alias("secondary_id"))
+    out = {x["id"]: x for x in r.apply_merge(rows, pairs).where("id < 3").collect()}
+    assert len(out[0]["secondary_source_urls"]) == 50 and out[0]["secondary_source_urls"][:2] == ["u1", "u2"]
+    assert out[0]["raw_description"].count("---") == 3 and out[0]["is_active"] and not out[2]["is_active"]
+
+
 def test_audit_leaves_out_merged_urls(spark):
     df, rows = table(spark, 12, 60, days=1)
     df = df.withColumn("secondary_source_urls", F.when(F.col("id") == 0, F.array(F.lit("u1"), F.lit("u2"))).otherwise(F.col("secondary_source_urls")))
