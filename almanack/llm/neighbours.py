@@ -159,6 +159,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.fill_diagonal(better, False)
         for i, known in enumerate(block.column("known").to_pylist()):
             better[i] &= ~np.isin(member, known)
+        if n > LIST + 1:  # the best of them; the others meet again in other lists, and links are counted in full later
+            best = np.argpartition(np.where(better, -s, 3.0), LIST, axis=1)[:, :LIST]
+            chosen = np.zeros_like(better)
+            np.put_along_axis(chosen, best, True, axis=1)
+            better &= chosen
         i, j = np.nonzero(better)
         if len(i):
             yield pa.RecordBatch.from_arrays([pa.array(member[i]), pa.array(member[j]), pa.array(s[i, j])], ["u", "v", "s"])
