@@ -218,10 +218,12 @@ def encode_texts(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """
     texts = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = texts.select("part", F.explode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("word"))
-    held = settle(found.where(F.octet_length("word") <= LONGEST).distinct())
-    distinct = settle(held.select("word").distinct())
-    encoded = settle(distinct.select("word", fold_words(F.col("word").cast("binary"), load_ranks(ranks)).alias("ids")))
-    words = held.join(encoded, "word").select("part", "word", "ids")
+    held = found.where(F.octet_length("word") <= LONGEST).distinct()
+    # a word once, with the partitions that hold it: nothing is joined back by word
+    by_word = held.groupBy("word").agg(F.collect_list("part").alias("parts"))
+    ids = fold_words(F.col("word").cast("binary"), load_ranks(ranks))
+    encoded = settle(settle(by_word).select("word", "parts", ids.alias("ids")))
+    words = encoded.select(F.explode("parts").alias("part"), "word", "ids")
     packed = texts.mapInArrow(_squeezed, "part int, doc_id long, packed binary")
     return packed.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_joined(ranks), "doc_id long, ids binary")
 

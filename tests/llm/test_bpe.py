@@ -58,3 +58,8 @@ def test_documents(docs, no_docs):
 def test_words_left_to_the_heap(docs, monkeypatch, longest):
     monkeypatch.setattr(bpe, "LONGEST", longest)
     assert sorted(r.n_tokens for r in bpe.round_trips(docs).collect()) == sorted(len(LIBRARY.encode_ordinary(t or "")) for _, t in ROWS)
+
+
+def test_texts_without_words(spark):
+    df = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_tokens, r.decoded_sha256) for r in bpe.round_trips(df).collect()) == [(i, 0, hashlib.sha256(b"").hexdigest()) for i in (1, 2)]
