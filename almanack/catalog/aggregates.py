@@ -10,7 +10,7 @@ from almanack.catalog.registry import query
 from almanack.operators import aggregates as a
 from almanack.operators import filters as f
 from almanack.operators.joins import source_counts
-from almanack.operators.numbering import batches
+from almanack.operators.numbering import batches, recipient_batches
 
 
 T = f"TIMESTAMP '{REF}'"
@@ -202,6 +202,12 @@ def _(c):
     return batches(c.places().where("status = 'active'").select("id"), ["id"], 500).select("id", "batch")
 
 
+@query("a24_language_batches", """
+SELECT lang, CAST(floor((row_number() OVER (PARTITION BY lang ORDER BY id) - 1) / 500) AS BIGINT) AS batch, id FROM place WHERE status = 'active' AND lang IN ('zh', 'en', 'ja')""", "place")
+def _(c):
+    return recipient_batches(c.places().where("status = 'active'"), ["zh", "en", "ja"], 500)
+
+
 @query("a25_usage_cost", """
 SELECT source, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out,
  CAST(round_even(CAST(sum(tokens_in) * 0.15 + sum(tokens_out) * 0.60 AS DECIMAL(30,4)) / 1000000, 6) AS DOUBLE) AS cost_usd FROM runs GROUP BY source""", "runs")

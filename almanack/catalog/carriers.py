@@ -61,6 +61,8 @@ LISTING_DOC = [
     ("n_chars", "n_chars"),
 ]
 
+FROM_LABELS = {"category", "is_paid", "is_active", "annotation_status"}
+
 LISTING_EVENT = [
     ("id", "event_id"),
     ("source_name", "event_type || '_' || CAST(CAST(floor(k / 10) AS INT) AS STRING)"),
@@ -144,6 +146,11 @@ class Carriers:
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
+    def plain_docs(self) -> DataFrame:
+        """Listings without the columns that labels decide; no join."""
+        base = self.table("documents").withColumn("title", F.expr(TITLE[0]))
+        return base.selectExpr(*_exprs([x for x in LISTING_DOC if x[0] not in FROM_LABELS], 0))
+
     def docs(self) -> DataFrame:
         base = (
             self.table("documents")

@@ -229,6 +229,5 @@ def _(c):
 @query("h6_date_in_range", f"""
 SELECT id, coalesce(CAST(updated_at AS DATE) BETWEEN CAST(start_date AS DATE) - 1 AND CAST(end_date AS DATE), false) AS inside, coalesce(DATE '2024-01-20' BETWEEN CAST(start_date AS DATE) - 10 AND CAST(end_date AS DATE), false) AS fixed FROM ev""", "ev")
 def _(c):
-    day = lambda x: F.to_date(x)
-    inside = lambda v, back: F.coalesce(v.between(F.date_sub(day("start_date"), back), day("end_date")), F.lit(False))
-    return c.events().select("id", inside(day("updated_at"), 1).alias("inside"), inside(F.lit("2024-01-20").cast("date"), 10).alias("fixed"))
+    inside = lambda v, back: d.date_in_range(v, F.col("start_date"), F.col("end_date"), back)
+    return c.events().select("id", inside(F.col("updated_at"), 1).alias("inside"), inside(F.lit("2024-01-20").cast("date"), 10).alias("fixed"))

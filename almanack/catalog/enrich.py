@@ -98,8 +98,8 @@ def _(c):
 @query("e7_fill_translations", """
 SELECT id, coalesce(nullif(name_zh, ''), 'tz') AS name_zh, CASE WHEN original_language = 'en' THEN name_en ELSE coalesce(nullif(name_en, ''), 'te') END AS name_en, coalesce(nullif(name_ja, ''), name_ja) AS name_ja FROM doc""", "doc")
 def _(c):
-    land = c.docs().select("id", F.lit("tz").alias("name_zh"), F.lit("te").alias("name_en"), F.lit(None).cast("string").alias("name_ja"))
-    return e.fill_translations(c.docs(), land, ["name"]).select("id", "name_zh", "name_en", "name_ja")
+    land = c.plain_docs().select("id", F.lit("tz").alias("name_zh"), F.lit("te").alias("name_en"), F.lit(None).cast("string").alias("name_ja"))
+    return e.fill_translations(c.plain_docs(), land, ["name"]).select("id", "name_zh", "name_en", "name_ja")
 
 
 @query("e9_backfill_place", """
@@ -169,7 +169,7 @@ def _(c):
 @query("e15_init_layers", """
 SELECT id, coalesce(name_ja, name_zh, name_en) AS raw_title, md5(coalesce(description_ja, description_zh, description_en)) AS text_md5, 'annotated' AS status, '2024-01-25' AS at FROM doc""", "doc")
 def _(c):
-    bare = c.docs().withColumns({"raw_title": F.lit(None).cast("string"), "raw_description": F.lit(None).cast("string")})
+    bare = c.plain_docs().withColumns({"raw_title": F.lit(None).cast("string"), "raw_description": F.lit(None).cast("string")})
     out = e.init_layers(bare, REF)
     return out.select("id", "raw_title", F.md5("raw_description").alias("text_md5"), F.col("annotation_status").alias("status"), F.date_format("annotated_at", "yyyy-MM-dd").alias("at"))
 

@@ -45,20 +45,20 @@ SELECT id FROM doc WHERE lower(coalesce(name_ja,'')) LIKE '%tion of%' OR lower(c
  OR lower(coalesce(name_en,'')) LIKE '%tion of%' OR lower(coalesce(description_ja,'')) LIKE '%tion of%'
  OR lower(coalesce(description_zh,'')) LIKE '%tion of%' OR lower(coalesce(description_en,'')) LIKE '%tion of%'""", "doc")
 def _(c):
-    return f.search(c.docs(), [*NAMES, "description_ja", "description_zh", "description_en"], "TION of").select("id")
+    return f.search(c.plain_docs(), [*NAMES, "description_ja", "description_zh", "description_en"], "TION of").select("id")
 
 
 @query("f2_keyword_search_wildcard", """
 SELECT id FROM doc WHERE coalesce(name_ja,'') ILIKE '%th_re%for%' OR coalesce(name_en,'') ILIKE '%th_re%for%'""", "doc")
 def _(c):
-    return f.search(c.docs(), ["name_ja", "name_en"], "th_re%for").select("id")
+    return f.search(c.plain_docs(), ["name_ja", "name_en"], "th_re%for").select("id")
 
 
 @query("f3_admin_search", """
 SELECT id FROM doc WHERE contains(lower(coalesce(nullif(name_en,''), nullif(name_ja,''), nullif(name_zh,''), '（未命名）')), 'en the')
  OR contains(lower(raw_title), 'en the')""", "doc")
 def _(c):
-    return f.search_admin(c.docs(), "en THE", "en").select("id")
+    return f.search_admin(c.plain_docs(), "en THE", "en").select("id")
 
 
 @query("f4_category_one", "SELECT id FROM doc WHERE list_contains(category, 'books_media')", "doc")
@@ -148,38 +148,38 @@ def _(c):
 SELECT id FROM doc WHERE contains(coalesce(raw_title,''), 'tion of') OR contains(coalesce(raw_title,''), 'Lesle')
  OR contains(raw_description, 'tion of') OR contains(raw_description, 'Lesle')""", "doc")
 def _(c):
-    return f.relevant(c.docs(), ["raw_title", "raw_description"], ["tion of", "Lesle"]).select("id")
+    return f.relevant(c.plain_docs(), ["raw_title", "raw_description"], ["tion of", "Lesle"]).select("id")
 
 
 @query("f14_relevance_guarded", """
 SELECT id FROM doc WHERE contains(regexp_replace(raw_title, 'the[a-z]|[a-z]the', '', 'g'), 'the')""", "doc")
 def _(c):
-    return f.relevant_guarded(c.docs(), "raw_title", ["the"], "the[a-z]|[a-z]the").select("id")
+    return f.relevant_guarded(c.plain_docs(), "raw_title", ["the"], "the[a-z]|[a-z]the").select("id")
 
 
 @query("f15_two_set_filter", """
 SELECT id FROM doc WHERE regexp_matches(raw_title, 'tion|ment') AND regexp_matches(raw_title, 'the|und|les')""", "doc")
 def _(c):
-    return f.relevant_both(c.docs(), "raw_title", "tion|ment", "the|und|les").select("id")
+    return f.relevant_both(c.plain_docs(), "raw_title", "tion|ment", "the|und|les").select("id")
 
 
 @query("f16_reject_patterns", """
 SELECT id FROM doc WHERE NOT (contains(raw_title, 'http') OR contains(raw_title, ' | ')) AND NOT regexp_matches(raw_title, 'thea|tion.*ment')
  AND NOT contains(source_name, 'src1')""", "doc")
 def _(c):
-    return f.reject(c.docs(), "raw_title", ["http", " | "], "thea|tion.*ment", "source_name", ["src1"]).select("id")
+    return f.reject(c.plain_docs(), "raw_title", ["http", " | "], "thea|tion.*ment", "source_name", ["src1"]).select("id")
 
 
 @query("f17_reject_context", """
 SELECT id FROM doc WHERE NOT regexp_matches(concat_ws(chr(10), raw_title, raw_description), '(?s)ment.*@|@.*tion')""", "doc")
 def _(c):
-    return f.reject_context(c.docs(), ["raw_title", "raw_description"], "ment.*@|@.*tion").select("id")
+    return f.reject_context(c.plain_docs(), ["raw_title", "raw_description"], "ment.*@|@.*tion").select("id")
 
 
 @query("f18_reject_place", """
 SELECT id FROM doc WHERE NOT regexp_matches(raw_title, 'in (the|le|der)') AND NOT coalesce(regexp_matches(location_name, '中山|大阪'), false)""", "doc")
 def _(c):
-    return f.reject_place(c.docs(), "raw_title", "in (the|le|der)", "location_name", "中山|大阪").select("id")
+    return f.reject_place(c.plain_docs(), "raw_title", "in (the|le|der)", "location_name", "中山|大阪").select("id")
 
 
 @query("f19_multi_signal", """
@@ -191,7 +191,7 @@ def _(c):
 @query("f20_two_phase", """
 SELECT id FROM doc WHERE contains(raw_title, 'ähne') OR contains(raw_title, 'tionch') OR contains(raw_description, 'ähne') OR contains(raw_description, 'tionch')""", "doc")
 def _(c):
-    return f.relevant_two_phase(c.docs(), "raw_title", "raw_description", ["ähne", "tionch"]).select("id")
+    return f.relevant_two_phase(c.plain_docs(), "raw_title", "raw_description", ["ähne", "tionch"]).select("id")
 
 
 @query("f21_fresh", """
@@ -270,7 +270,7 @@ def _(c):
 
 @query("f30_required_fields", "SELECT id FROM doc WHERE trim(coalesce(name_zh, '')) <> '' AND start_date IS NOT NULL", "doc")
 def _(c):
-    return f.require(c.docs(), ["name_zh"]).where(F.col("start_date").isNotNull()).select("id")
+    return f.require(c.plain_docs(), ["name_zh"]).where(F.col("start_date").isNotNull()).select("id")
 
 
 LISTING_SQL = f"""
@@ -308,12 +308,21 @@ def _(c):
     return facet_counts(e, ListingSpec(annotation="pending", source="view_3"), REF)
 
 
+@query("a6_facet_all_switches", f"""
+SELECT source_name, count(*) AS n FROM doc WHERE is_active AND annotation_status = 'annotated' AND list_has_any(category, ['movie', 'tech'])
+ AND contains(lower(raw_title), 'th')
+ AND start_date >= TIMESTAMP '2024-01-03' AND start_date <= TIMESTAMP '2024-02-20 23:59:59' AND is_paid = false GROUP BY source_name""", "doc")
+def _(c):
+    spec = ListingSpec(q="th", categories="movie,tech", time_mode="past", from_="2024-01-03", to="2024-02-20", paid="free", annotation="annotated", source="src3")
+    return facet_counts(c.docs(), spec, REF)
+
+
 @query("h1_localised_values", """
 SELECT id, coalesce(nullif(name_zh,''), nullif(name_ja,''), nullif(name_zh,''), nullif(name_en,''), '（未命名）') AS name_for_zh,
  md5(coalesce(nullif(description_en,''), nullif(description_ja,''), nullif(description_zh,''))) AS description_for_en_md5,
  location_name AS place_for_ja FROM doc""", "doc")
 def _(c):
-    return c.docs().select("id", localized_name("zh").alias("name_for_zh"),
+    return c.plain_docs().select("id", localized_name("zh").alias("name_for_zh"),
                            F.md5(localized_description("en")).alias("description_for_en_md5"),
                            localized_place("location_name", "ja").alias("place_for_ja"))
 
@@ -321,4 +330,4 @@ def _(c):
 @query("h2_broadcast_title", """
 SELECT id, coalesce(nullif(name_ja,''), nullif(name_zh,''), nullif(name_ja,''), nullif(name_en,''), '?') AS title FROM doc""", "doc")
 def _(c):
-    return c.docs().select("id", broadcast_title("ja").alias("title"))
+    return c.plain_docs().select("id", broadcast_title("ja").alias("title"))

@@ -77,7 +77,7 @@ WITH m AS (SELECT 'https://x.example.org/' || CAST(id + 1 AS STRING) AS url FROM
 SELECT id FROM doc WHERE 'https://x.example.org/' || CAST(id AS STRING) NOT IN (SELECT url FROM m)""", "doc")
 def _(c):
     url = lambda k: F.concat(F.lit("https://x.example.org/"), k.cast("string"))
-    d = c.docs().withColumn("source_url", url(F.col("id")))
+    d = c.plain_docs().withColumn("source_url", url(F.col("id")))
     merged = d.where("lang = 'de'").select(F.array(url(F.col("id") + 1)).alias("secondary_source_urls"))
     return j.not_merged(d, merged).select("id")
 
@@ -151,7 +151,7 @@ def _(c):
 SELECT l.doc_id AS event_id, l.toxic, d.source_name, d.raw_title AS title FROM labels l LEFT JOIN doc d ON d.id = l.doc_id""", "doc")
 def _(c):
     reports = c.table("labels").withColumnRenamed("doc_id", "event_id")
-    d = c.docs().withColumn("title", F.col("raw_title"))
+    d = c.plain_docs().withColumn("title", F.col("raw_title"))
     return j.reports_with_event(reports, d, ["source_name", "title"]).select("event_id", "toxic", "event.source_name", "event.title")
 
 
@@ -228,12 +228,12 @@ def _(c):
 
 @query("c21_purge_orphans", "SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang <> 'de')")
 def _(c):
-    return j.purge_orphans(c.table("labels"), c.docs().where("lang <> 'de'"), "doc_id").select("doc_id", "quality")
+    return j.purge_orphans(c.table("labels"), c.plain_docs().where("lang <> 'de'"), "doc_id").select("doc_id", "quality")
 
 
 @query("c21_orphans", "SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'de')")
 def _(c):
-    return j.orphans(c.table("labels"), c.docs().where("lang <> 'de'"), "doc_id").select("doc_id", "quality")
+    return j.orphans(c.table("labels"), c.plain_docs().where("lang <> 'de'"), "doc_id").select("doc_id", "quality")
 
 
 @query("c23_pick_ordered", """
@@ -266,7 +266,7 @@ def _(c):
 @query("s12_event_row", f"""
 SELECT id, CASE WHEN official_url <> '' THEN official_url END AS official_url, '2024-01-25 12:00:00' AS scraped_at FROM doc""", "doc")
 def _(c):
-    return u.event_row(c.docs(), REF).select("id", "official_url", F.date_format("scraped_at", "yyyy-MM-dd HH:mm:ss").alias("scraped_at"))
+    return u.event_row(c.plain_docs(), REF).select("id", "official_url", F.date_format("scraped_at", "yyyy-MM-dd HH:mm:ss").alias("scraped_at"))
 
 
 @query("e20_updated_stamp", f"""

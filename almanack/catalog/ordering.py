@@ -23,14 +23,14 @@ def _(c):
 SELECT id FROM (SELECT id, source_id, source_name, lower(regexp_replace(coalesce(name_en,''), '^\s+|\s+$', '', 'g')) AS nm, CAST(start_date AS DATE) AS d FROM doc)
 QUALIFY contains(source_id, '_sub') OR nm = '' OR row_number() OVER (PARTITION BY source_name, nm, d, contains(source_id, '_sub') ORDER BY id) = 1""", "doc")
 def _(c):
-    return o.dedup_first(c.docs(), ["id"], "name_en").select("id")
+    return o.dedup_first(c.plain_docs(), ["id"], "name_en").select("id")
 
 
 @query("w2_dedup_across_sources", r"""
 SELECT id FROM (SELECT id, lower(regexp_replace(raw_title, '^\s+|\s+$', '', 'g')) AS nm, CAST(start_date AS DATE) AS d FROM doc)
 QUALIFY nm = '' OR row_number() OVER (PARTITION BY nm, d ORDER BY id) = 1""", "doc")
 def _(c):
-    one = c.docs().withColumns({"source_name": F.lit("all"), "source_id": F.col("id").cast("string")})
+    one = c.plain_docs().withColumns({"source_name": F.lit("all"), "source_id": F.col("id").cast("string")})
     return o.dedup_first(one, ["id"], "raw_title").select("id")
 
 

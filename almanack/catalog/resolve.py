@@ -15,9 +15,9 @@ from almanack.plans.daily import daily_batch, merge_decisions
 RANKS = {"src0": 1, "src1": 2, "src2": 3, "src3": 3, "src4": 5}
 
 
-def titled(c):
+def titled(c, labelled=False):
     """Documents as listings whose name is the title; the day is the block."""
-    return r.mergeable(c.docs().withColumns({"name_ja": F.col("raw_title"), "is_active": F.lit(True)}))
+    return r.mergeable((c.docs() if labelled else c.plain_docs()).withColumns({"name_ja": F.col("raw_title"), "is_active": F.lit(True)}))
 
 
 DAY = lambda: F.to_date("start_date")
@@ -42,7 +42,7 @@ def _(c):
 
 @query("e1_apply_merge")
 def _(c):
-    rows = titled(c)
+    rows = titled(c, labelled=True)
     merged = r.apply_merge(rows, r.assign_primary(rows, DAY(), ranks=RANKS))
     return merged.select("id", "is_active", "annotation_status", F.size("secondary_source_urls").alias("n_urls"), "official_url", F.md5("raw_description").alias("text_md5"))
 
@@ -70,12 +70,12 @@ def _(c):
 @query("h3_norm_name", r"""
 SELECT id, md5(lower(regexp_replace(regexp_replace(replace(replace(raw_title, '®', '(r)'), 'Ⓡ', '(r)'), '[－—\-][^－—\-]{2,}[－—\-]\s*$', ''), '[\s\x{3000}\x{00a0}]+', '', 'g'))) AS norm_md5 FROM doc""", "doc")
 def _(c):
-    return c.docs().select("id", F.md5(norm_name(F.col("raw_title"))).alias("norm_md5"))
+    return c.plain_docs().select("id", F.md5(norm_name(F.col("raw_title"))).alias("norm_md5"))
 
 
 @query("h4_ratio")
 def _(c):
-    d = c.docs().select("id", norm_name(F.col("raw_title")).alias("a"), norm_name(F.concat(F.col("source_name"), F.lit(" "), F.col("raw_title"))).alias("b"))
+    d = c.plain_docs().select("id", norm_name(F.col("raw_title")).alias("a"), norm_name(F.concat(F.col("source_name"), F.lit(" "), F.col("raw_title"))).alias("b"))
     return d.select("id", ratio(F.col("a"), F.col("b")).alias("sim"))
 
 
@@ -93,14 +93,14 @@ def _(c):
 
 @query("h7_source_rank", "SELECT id, CASE source_name WHEN 'src0' THEN 1 WHEN 'src1' THEN 2 WHEN 'src2' THEN 3 WHEN 'src3' THEN 3 WHEN 'src4' THEN 5 ELSE 99 END AS rank FROM doc", "doc")
 def _(c):
-    return c.docs().select("id", r.source_rank(F.col("source_name"), RANKS).alias("rank"))
+    return c.plain_docs().select("id", r.source_rank(F.col("source_name"), RANKS).alias("rank"))
 
 
 @query("h8_append_description", """
 SELECT id, md5(CASE WHEN raw_title <> '' AND NOT contains(coalesce(description_en, ''), raw_title) THEN coalesce(description_en, '') || chr(10) || chr(10) || '---' || chr(10) || '別来源補足 (' || source_name || ')' || chr(10) || raw_title ELSE coalesce(description_en, '') END) AS text_md5 FROM doc""", "doc")
 def _(c):
     p = F.coalesce(F.col("description_en"), F.lit(""))
-    return c.docs().select("id", F.md5(r.append_desc(p, F.col("raw_title"), F.col("source_name"))).alias("text_md5"))
+    return c.plain_docs().select("id", F.md5(r.append_desc(p, F.col("raw_title"), F.col("source_name"))).alias("text_md5"))
 
 
 # -- messages and the daily batch --------------------------------------------------------------
@@ -136,7 +136,7 @@ def _(c):
 
 @query("daily_batch")
 def _(c):
-    d = titled(c).withColumns({"force_rescrape": F.lit(False), "scraped_at": F.lit(None).cast("timestamp_ntz")})
+    d = titled(c, labelled=True).withColumns({"force_rescrape": F.lit(False), "scraped_at": F.lit(None).cast("timestamp_ntz")})
     target, landed = d.where("lang IN ('en', 'fr')"), d.where("lang IN ('fr', 'de', 'es')")
     out = daily_batch(target, landed, "2024-01-25 12:00:00", ranks=RANKS, news_sources=["src18", "src19"])
     return out.select("id", "source_name", "is_active", "annotation_status", F.size("secondary_source_urls").alias("n_urls"))

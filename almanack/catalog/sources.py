@@ -75,6 +75,19 @@ def _(c):
     return land.select("title", "link", F.date_format(feeds.feed_time(F.col("pubDate")), "yyyy-MM-dd HH:mm:ss").alias("published"))
 
 
+@query("s8_atom_entries", """
+SELECT 'T & <' || CAST(event_id AS STRING) AS title, 'https://n.example.org/' || CAST(event_id AS STRING) AS link, strftime(ts, '%Y-%m-%d %H:%M:%S') AS published FROM events""")
+def _(c):
+    sid = F.col("event_id").cast("string")
+    path = shared_path(c.spark, "feeds")
+    c.table("events").select(
+        F.concat(F.lit("T & <"), sid).alias("title"), F.struct(F.concat(F.lit("https://n.example.org/"), sid).alias("_href")).alias("link"),
+        F.date_format(F.col("ts") + F.expr("INTERVAL 9 HOURS"), "yyyy-MM-dd'T'HH:mm:ss'+09:00'").alias("updated"),
+    ).write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path)
+    land = feeds.land_feed(c.spark, path, "entry", feeds.ATOM_ENTRY)
+    return land.select("title", F.col("link._href").alias("link"), F.date_format(feeds.feed_time(F.col("updated")), "yyyy-MM-dd HH:mm:ss").alias("published"))
+
+
 @query("s9_api_pages", "SELECT event_id AS id, event_type AS title, strftime(ts, '%Y-%m-%d %H:%M:%S') AS start_date FROM events")
 def _(c):
     ev = F.array(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("title"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("start_date")))

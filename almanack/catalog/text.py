@@ -166,7 +166,7 @@ def _(c):
 SELECT id, md5(n) AS text_md5 FROM (SELECT id, raw_description, nullif(regexp_replace(split_part(split_part(raw_description, 'http', 1), ' | ', 1), '^\s+|\s+$', '', 'g'), '') AS n FROM doc) WHERE n IS DISTINCT FROM raw_description""", "doc")
 def _(c):
     from almanack.operators.enrich import clean_text
-    return clean_text(c.docs(), ["raw_description"], ["http", " | "]).select("id", F.md5("raw_description").alias("text_md5"))
+    return clean_text(c.plain_docs(), ["raw_description"], ["http", " | "]).select("id", F.md5("raw_description").alias("text_md5"))
 
 
 LBL = ["日程", "時間", "会場", "主催"]
@@ -278,7 +278,7 @@ def _(c):
     t = F.concat(head, F.lit(" トー クイベント レポ ート 第2回"))
     u = F.concat(head, F.lit(" － "), F.col("source_name"), F.lit("zz 開催報告"))
     frag = F.regexp_replace(titles.report_fragment(F.regexp_replace(u, "開催", "")), "^ +", "")
-    return c.docs().select("id", F.trim(titles.strip_report(t)).alias("t"), F.when(F.length(F.trim(head)) >= 4, frag).alias("fragment"))
+    return c.plain_docs().select("id", F.trim(titles.strip_report(t)).alias("t"), F.when(F.length(F.trim(head)) >= 4, frag).alias("fragment"))
 
 
 # -- identifiers -------------------------------------------------------------------------------
@@ -310,7 +310,7 @@ def _(c):
 @query("h42_text_slug", r"""
 SELECT id, left(trim(regexp_replace(regexp_replace(lower(trim(raw_title)), '[^\p{L}\p{N}\p{M}_]+', '_', 'g'), '_+', '_', 'g'), '_'), 60) AS slug FROM doc""", "doc")
 def _(c):
-    return c.docs().select("id", text.slug(F.col("raw_title")).alias("slug"))
+    return c.plain_docs().select("id", text.slug(F.col("raw_title")).alias("slug"))
 
 
 @query("h43_account_ids", r"""
@@ -348,6 +348,17 @@ def _(c):
     return w.select("source", text.report_line(F.col("source"), F.col("total_events"), F.col("runs"), F.col("success_rate")).alias("line"))
 
 
+@query("h48_weekly_report", """
+WITH w AS (SELECT source, count(*) AS runs, round_even(CAST(count(*) FILTER (coalesce(success, true)) AS DOUBLE) / count(*), 2) AS rate, CAST(sum(events_processed) AS BIGINT) AS ev, CAST(sum(cost_usd) AS DOUBLE) AS cost FROM runs WHERE ran_at >= TIMESTAMP '2024-01-18 12:00:00' GROUP BY source),
+ t AS (SELECT CAST(sum(cost_usd) AS DOUBLE) AS cost, count(*) AS n FROM runs WHERE ran_at >= TIMESTAMP '2024-01-18 12:00:00'),
+ e AS (SELECT count(*) FILTER (created_at >= TIMESTAMP '2024-01-18 12:00:00') AS fresh, count(*) FILTER (annotation_status = 'pending') AS pending FROM ev WHERE is_active),
+ l AS (SELECT string_agg(printf('  %s %s: %d 件 (%d 次, 成功率 %d%%)', CASE WHEN rate = 1.0 THEN '✅' WHEN rate >= 0.5 THEN '⚠' ELSE '❌' END, source, ev, runs, CAST(floor(rate * 100) AS INT)), chr(10) ORDER BY source) AS lines FROM w)
+SELECT '📊 週報' || chr(10) || printf('📅 %s ～', '2024-01-18') || chr(10) || chr(10) || printf('🆕 本週新增事件: %d 件', fresh) || chr(10) || printf('⏳ 待標注: %d 件', pending) || chr(10) || printf('💰 本週費用: $%.6f', cost) || chr(10) || printf('🔄 執行次數: %d 次', n) || chr(10) || chr(10) || '📋 各來源狀態:' || chr(10) || lines AS message FROM t, e, l""", "runs ev")
+def _(c):
+    from almanack.plans.broadcast import weekly_report
+    return weekly_report(c.runs(), c.events(), "2024-01-18 12:00:00", "📊 週報")
+
+
 @query("h50_card_fields", """
 SELECT id, CASE WHEN balance >= 0 THEN '東京' ELSE '' END AS prefecture, name AS title, 'a ' || source_name || chr(10) || 'b' AS bullets, CASE WHEN balance < 5000 THEN '中野駅 徒歩' || source_name END AS station FROM place""", "place")
 def _(c):

@@ -394,3 +394,9 @@ def run_of(days: Sequence[Column]) -> tuple[Column, Column]:
     """First and last of several dates, nulls ignored."""
     arr = F.array_compact(F.array(*days))
     return F.array_min(arr), F.array_max(arr)
+
+
+def date_in_range(value: Column, start: Column, end: Column, lookback: int = 0) -> Column:
+    """Whether a day lies between ``lookback`` days before the start and the end; false if any is missing."""
+    day = F.to_date(value)
+    return F.coalesce(day.between(F.date_sub(F.to_date(start), lookback), F.to_date(end)), F.lit(False))

@@ -145,3 +145,12 @@ def report_line(source: Column, events: Column, runs: Column, rate: Column) -> C
     return F.format_string(
         "  %s %s: %d 件 (%d 次, 成功率 %d%%)", status_icon(rate), source, events, runs, F.floor(rate * 100).cast("int")
     )
+
+
+# The lines above the sources of a weekly report.
+REPORT_HEAD = "📅 %s ～\n\n🆕 本週新增事件: %d 件\n⏳ 待標注: %d 件\n💰 本週費用: $%.6f\n🔄 執行次數: %d 次\n\n📋 各來源狀態:"
+
+
+def report_head(day: Column, new: Column, pending: Column, cost: Column, runs: Column) -> Column:
+    """Period, new and pending events, cost and number of runs."""
+    return F.format_string(REPORT_HEAD, day, new, pending, F.bround(cost, 6), runs)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from almanack.functions.base import char_grams, has_text, instant
 from almanack.functions.titles import bracketed, report_fragment
 from almanack.functions.urls import host_or_raw
+from almanack.session import durable
 
 PROTECTED = ("researched", "recommended", "implemented", "not-viable")
 
@@ -163,48 +164,51 @@ def not_merged(df: DataFrame, merged: DataFrame, url: str = "source_url", urls:
     return df.join(seen, url, "left_anti")
 
 
-# Anchor lengths of the substring join. A search term is keyed by a prefix of its longest
-# literal run, so at most these five lengths occur; names emit grams of occurring lengths only.
-ANCHORS = (1, 2, 4, 8, 16)
+# Gram length of the substring join. Terms whose literal runs are all shorter (wildcards between
+# single characters) are joined on the source alone.
+GRAM = 3
 
 
-def _grams(c: Column, lengths: Sequence[int]) -> Column:
-    """Grams of a name at the given lengths, read in one pass per length; repeats included."""
-    return F.concat(*[char_grams(c, n) for n in lengths])
+def _hit(name: Column, term: Column) -> Column:
+    """Whether ``name`` contains ``term``, in which % and _ are wildcards; linear in the name.
 
-
-def _anchor(term: Column) -> Column:
-    runs = F.array_sort(
-        F.split(term, "[%_]"), lambda a, b: F.length(b) - F.length(a)
-    )
-    longest = F.element_at(runs, 1)
-    size = F.coalesce(*[F.when(F.length(longest) >= n, F.lit(n)) for n in reversed(ANCHORS)], F.lit(0))
-    return F.substring(longest, F.lit(1), size)
+    Each piece is found leftmost in turn, in atomic groups. Quoting is split at every ``\\E``,
+    so no term leaves it.
+    """
+    pieces = F.filter(F.split(term, "%+"), lambda x: x != "")
+    safe = lambda x: F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    quoted = lambda x: F.concat(F.lit("(?>.*?\\Q"), F.replace(safe(x), F.lit("_"), F.lit("\\E.\\Q")), F.lit("\\E)"))
+    pattern = F.concat(F.lit("(?s)^"), F.array_join(F.transform(pieces, quoted), ""))
+    return F.when(term.rlike("[%_]"), F.regexp_like(name, pattern)).otherwise(name.contains(term))
 
 
 def _substring_hits(terms: DataFrame, events: DataFrame, first: int) -> DataFrame:
     """For each (source_name, term): the ``first`` smallest event ids whose name contains it.
 
-    The join is on (source, gram), so it is an equi-join, and only ids travel with the grams.
-    Candidate pairs then meet the name once for the exact test. Terms are distinct, so copies
-    of a report share one lookup.
+    A term is looked up by the rarest of its grams. Names give each of their grams once, and only
+    grams that some term of the source has go on: the distinct grams of terms are joined to
+    the names' grams before anything is counted. A term one of whose grams no name has is out.
+    Terms are distinct, so copies of a report share one lookup; only ids travel with grams, and
+    candidates meet their name once, for the exact test.
     """
-    keyed = terms.withColumn("_gram", _anchor(F.col("term")))
-    names = events.where(F.col("name_ja") != "").select(
-        "source_name", "id", "is_report", F.lower("name_ja").alias("_name")
+    names = events.where(F.col("name_ja") != "").select("source_name", "id", "is_report", F.lower("name_ja").alias("_name"))
+    runs = F.filter(F.split("term", "[%_]"), lambda x: F.length(x) >= GRAM)
+    grams = F.array_distinct(F.flatten(F.transform(runs, lambda x: char_grams(x, GRAM))))
+    keyed = durable(terms.withColumn("_grams", grams))
+    wanted = keyed.select("source_name", F.explode("_grams").alias("_gram")).distinct()
+    seen = durable(
+        names.select("source_name", "id", F.explode(F.array_distinct(char_grams(F.col("_name"), GRAM))).alias("_gram"))
+        .join(wanted, ["source_name", "_gram"])
     )
-    lengths = [x["n"] for x in keyed.select(F.length("_gram").alias("n")).distinct().collect()]
-    if not lengths:
-        return names.where(F.lit(False)).withColumns({"term": F.lit(""), "_rn": F.lit(0)})
-    grams = names.select("source_name", "id", F.explode(_grams(F.col("_name"), lengths)).alias("_gram"))
-    pairs = grams.join(keyed, ["source_name", "_gram"]).select("source_name", "term", "id").distinct()
-    # Wildcard terms: each piece is found leftmost in turn, in atomic groups, so the test is linear.
-    pieces = F.filter(F.split(F.col("term"), "%+"), lambda x: x != "")
-    quoted = lambda x: F.concat(F.lit("(?>.*?\\Q"), F.replace(x, F.lit("_"), F.lit("\\E.\\Q")), F.lit("\\E)"))
-    pattern = F.concat(F.lit("(?s)^"), F.array_join(F.transform(pieces, quoted), ""))
-    wild = F.col("term").rlike("[%_]")
-    found = F.when(wild, F.regexp_like(F.col("_name"), pattern)).otherwise(F.col("_name").contains(F.col("term")))
-    hits = pairs.join(names.drop("source_name"), "id").where(found)
+    counts = seen.groupBy("source_name", "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    held = keyed.select("source_name", "term", F.size("_grams").alias("_size"), F.explode("_grams").alias("_gram")).join(counts, ["source_name", "_gram"])
+    best = held.groupBy("source_name", "term").agg(
+        F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.count(F.lit(1)).alias("_found"), F.first("_size").alias("_size")
+    ).where("_found = _size")
+    pairs = seen.join(best.select("source_name", "term", "_gram"), ["source_name", "_gram"]).select("source_name", "term", "id")
+    short = keyed.where(F.size("_grams") == 0).select("source_name", "term")
+    pairs = pairs.unionByName(names.select("source_name", "id").join(short, "source_name").select("source_name", "term", "id"))
+    hits = pairs.join(names.drop("source_name"), "id").where(_hit(F.col("_name"), F.col("term")))
     w = Window.partitionBy("source_name", "term").orderBy("id")
     return hits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= first)
 

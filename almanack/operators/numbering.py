@@ -35,3 +35,16 @@ def batches(ids: DataFrame, order: Sequence, size: int = 500) -> DataFrame:
     return number_rows(ids, order, "pos", start=0).withColumn(
         "batch", F.floor(F.col("pos") / F.lit(size)).cast("long")
     )
+
+
+def recipient_batches(subs: DataFrame, languages: Sequence[str], size: int = 500, lang: str = "lang", key: str = "id") -> DataFrame:
+    """(lang, batch, id): the recipients of each known language in batches of ``size``.
+
+    All languages are numbered in one pass in order of language and id; a language starts where
+    its first number is, one row each.
+    """
+    known = subs.where(F.col(lang).isin(*languages)).select(F.col(lang).alias("lang"), F.col(key).alias("id"))
+    placed = durable(number_rows(known, ["lang", "id"], "pos", start=0))
+    starts = placed.groupBy("lang").agg(F.min("pos").alias("_from"))
+    batch = F.floor((F.col("pos") - F.col("_from")) / F.lit(size)).cast("long")
+    return placed.join(F.broadcast(starts), "lang").select("lang", batch.alias("batch"), "id")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from almanack.functions.base import instant
 from almanack.functions.dates import short_day
 from almanack.functions.localized import broadcast_title
+from almanack.functions.text import report_head, report_line
+from almanack.operators.aggregates import weekly_by_source, weekly_totals
 
 LANGUAGES = ("zh", "ja", "en")
 
@@ -53,3 +55,19 @@ def broadcast(
     return grouped.select(
         "lang", F.concat(pick(0), F.lit("\n"), days, F.lit("\n\n"), pick(1), F.lit("\n"), text(0), month, F.lit("\n\n"), foot).alias("message")
     )
+
+
+def weekly_report(runs: DataFrame, events: DataFrame, since, title: str) -> DataFrame:
+    """The weekly message as one row: totals, then a line per source in order.
+
+    ``since`` is UTC and shown as the day in Japan. The lines are as many as there are sources.
+    """
+    lines = weekly_by_source(runs, since).select(
+        "source", report_line(F.col("source"), F.col("total_events"), F.col("runs"), F.col("success_rate")).alias("line")
+    )
+    body = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    day = F.date_format(instant(since) + F.expr("INTERVAL 9 HOURS"), "yyyy-MM-dd")
+    totals = weekly_totals(runs, events, since)
+    head = report_head(day, F.col("new_events"), F.col("pending_annotation"), F.col("total_cost_usd"), F.col("total_runs"))
+    one = totals.select(F.lit(0).alias("_k"), head.alias("head")).join(body.select(F.lit(0).alias("_k"), "body"), "_k")
+    return one.select(F.concat_ws("\n", F.lit(title), "head", F.nullif("body", F.lit(""))).alias("message"))

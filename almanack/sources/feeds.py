@@ -12,7 +12,7 @@ HALL_EVENT = (
 )
 HALL_FEED = f"largeEventHallName string, eventHalls array<struct<eventHallName:string,events:array<{HALL_EVENT}>>>"
 RSS_ITEM = "title string, link string, guid string, pubDate string, description string"
-ATOM_ENTRY = "title string, id string, updated string, summary string, link string"
+ATOM_ENTRY = "title string, id string, updated string, summary string, link struct<_href:string>"
 API_EVENT = "struct<id:long,title:string,description:string,start_date:string,end_date:string,url:string>"
 API_PAGE = f"total long, events array<{API_EVENT}>"
 RFC822 = "d MMM yyyy HH:mm:ss"
@@ -38,6 +38,7 @@ def land_api_pages(spark: SparkSession, path: str, schema: str = API_PAGE) -> Da
 
 
 def feed_time(c: Column) -> Column:
-    """Publish time of a feed item as UTC wall time; null when it does not parse."""
+    """Publish time of an RSS item (RFC 822) or Atom entry (ISO 8601) as UTC wall time; null when it does not parse."""
+    iso = F.try_to_timestamp(F.when(F.trim(c).rlike(r"^\d{4}-\d{2}-\d{2}T"), F.trim(c))).cast("timestamp_ntz")
     text = F.regexp_extract(F.trim(c), r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})", 1)
-    return F.try_to_timestamp(F.nullif(text, F.lit("")), F.lit(RFC822)).cast("timestamp_ntz")
+    return F.coalesce(F.try_to_timestamp(F.nullif(text, F.lit("")), F.lit(RFC822)).cast("timestamp_ntz"), iso)
