@@ -23,6 +23,77 @@ def titled(c, labelled=False):
 DAY = lambda: F.to_date("start_date")
 
 
+# Names whose likeness is known in closed form: 36 distinct characters, the last 0, 1, 4 or 7 of them
+# replaced by characters of the variant's own. Two variants share all but the longer tail.
+STEMS = ("abcdefghijklmnopqrstuvwxyz0123456789", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもや")
+TAILS = ("", "α", "βγδε", "ζηθικλμ")
+TAIL = "CASE o_orderkey % 4 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(TAILS)) + " END"
+STEM = f"CASE CAST(floor(o_custkey / 5) AS INT) % 2 WHEN 0 THEN '{STEMS[0]}' ELSE '{STEMS[1]}' END"
+WRITTEN = f"substr({STEM}, 1, 36 - length({TAIL})) || {TAIL}"
+WRITTEN_SQL = f"""w AS (SELECT o_orderkey AS id, 'src' || CAST(o_custkey % 5 AS STRING) AS src, [1, 2, 3, 3, 5][o_custkey % 5 + 1] AS rank, CAST(o_orderdate AS DATE) AS day, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INT)) AS start,
+ CAST(floor(o_custkey / 5) AS INT) % 2 AS g, o_orderkey % 4 AS v, length({TAIL}) AS a, {WRITTEN} AS name FROM orders)"""
+ALIKE = "CASE WHEN x.v = y.v THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * (36 - greatest(x.a, y.a)) / 72 END"
+
+
+def written(c):
+    o = c.table("orders")
+    return r.mergeable(o.selectExpr(
+        "o_orderkey AS id", "'src' || CAST(o_custkey % 5 AS STRING) AS source_name", "'s' || CAST(o_orderkey AS STRING) AS source_id", "'u' || CAST(o_orderkey AS STRING) AS source_url",
+        f"{WRITTEN} AS name_ja", "o_orderdate + make_dt_interval(0, CAST(o_orderkey % 24 AS INT)) AS start_date", "true AS is_active",
+        "CASE WHEN o_orderkey % 3 = 0 THEN 'off' || CAST(o_orderkey AS STRING) END AS official_url", "'text of ' || CAST(o_orderkey AS STRING) || '.' AS raw_description",
+        "'annotated' AS annotation_status", "CAST(array() AS array<string>) AS secondary_source_urls"))
+
+
+@query("c3_written_pairs", f"""
+WITH {WRITTEN_SQL}, p AS (SELECT day, g, v, a, md5(name) AS m, count(*) AS n, min(src) AS lo, max(src) AS hi FROM w GROUP BY ALL)
+SELECT strftime(x.day, '%Y-%m-%d') AS day, x.m AS a, y.m AS b, {ALIKE} AS sim_ab, {ALIKE} AS sim_ba, x.n AS n_a, y.n AS n_b FROM p x JOIN p y ON x.day = y.day AND x.g = y.g AND x.m < y.m
+ WHERE greatest(x.a, y.a) <= 5 AND NOT (x.lo = x.hi AND y.lo = y.hi AND x.lo = y.lo)
+UNION ALL SELECT strftime(day, '%Y-%m-%d'), m, m, 1.0, 1.0, n, n FROM p WHERE lo <> hi""")
+def _(c):
+    p = r.similar_pairs(written(c), DAY()).withColumns({"ma": F.md5("norm_a"), "mb": F.md5("norm_b")})
+    turn = F.col("ma") > F.col("mb")
+    pick = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
+    return p.select(
+        F.date_format("block", "yyyy-MM-dd").alias("day"), pick("ma", "mb").alias("a"), pick("mb", "ma").alias("b"),
+        pick("sim_ab", "sim_ba").alias("sim_ab"), pick("sim_ba", "sim_ab").alias("sim_ba"), pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b"))
+
+
+# The scan of a day, row by row: who absorbs the next row, 0 if nobody.
+SCAN_SQL = f"""{WRITTEN_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY start, id) AS k FROM w),
+ d AS (SELECT day, count(*) AS n, list(g ORDER BY k) AS g, list(v ORDER BY k) AS v, list(a ORDER BY k) AS a, list(src ORDER BY k) AS s, list(rank ORDER BY k) AS r FROM k GROUP BY day),
+ t AS (SELECT day, 1 AS k, [0::BIGINT] AS b FROM d UNION ALL
+  SELECT d.day, t.k + 1, list_append(t.b, coalesce(list_filter(range(1, t.k + 1), lambda j: t.b[j] = 0 AND d.g[j] = d.g[t.k + 1] AND d.s[j] <> d.s[t.k + 1] AND d.r[j] <= d.r[t.k + 1]
+   AND (d.v[j] = d.v[t.k + 1] OR greatest(d.a[j], d.a[t.k + 1]) <= 5))[1], 0)) FROM t JOIN d ON d.day = t.day WHERE t.k < d.n),
+ u AS (SELECT k.*, t.b[k.k] AS by_k FROM k JOIN d ON d.day = k.day JOIN t ON t.day = k.day AND t.k = d.n),
+ m AS (SELECT y.id AS primary_id, x.id AS secondary_id, {ALIKE} AS sim FROM u x JOIN u y ON x.day = y.day AND y.k = x.by_k
+  UNION ALL SELECT y.id, x.id, {ALIKE} FROM u x JOIN u y ON x.day = y.day AND x.g = y.g AND x.k < y.k AND x.src <> y.src AND x.rank > y.rank
+   WHERE x.by_k = 0 AND (y.by_k = 0 OR y.by_k > x.k) AND (x.v = y.v OR greatest(x.a, y.a) <= 5))"""
+
+
+@query("c4_written_primary", f"WITH RECURSIVE {SCAN_SQL} SELECT * FROM m")
+def _(c):
+    return r.assign_primary(written(c), DAY(), ranks=RANKS)
+
+
+@query("e1_written_merge", f"""
+WITH RECURSIVE {SCAN_SQL}, f AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'off' || CAST(id AS STRING) END AS official, 'text of ' || CAST(id AS STRING) || '.' AS text FROM w),
+ s AS (SELECT m.primary_id AS id, count(*) AS n, first(f.official ORDER BY f.start, f.id) FILTER (f.official IS NOT NULL) AS official,
+  string_agg(chr(10) || chr(10) || '---' || chr(10) || '別来源補足 (' || f.src || ')' || chr(10) || f.text, '' ORDER BY f.start, f.id) AS more FROM m JOIN f ON f.id = m.secondary_id GROUP BY 1)
+SELECT f.id, f.id NOT IN (SELECT secondary_id FROM m) AS is_active, CASE WHEN s.n > 0 THEN 'pending' ELSE 'annotated' END AS annotation_status, CAST(coalesce(s.n, 0) AS INT) AS n_urls,
+ coalesce(f.official, s.official) AS official_url, md5(f.text || coalesce(s.more, '')) AS text_md5 FROM f LEFT JOIN s ON s.id = f.id""")
+def _(c):
+    rows = written(c)
+    merged = r.apply_merge(rows, r.assign_primary(rows, DAY(), ranks=RANKS))
+    return merged.select("id", "is_active", "annotation_status", F.size("secondary_source_urls").alias("n_urls"), "official_url", F.md5("raw_description").alias("text_md5"))
+
+
+@query("c6_written_audit", f"""
+WITH {WRITTEN_SQL} SELECT {ALIKE} AS sim, x.id AS id_a, y.id AS id_b FROM w x JOIN w y ON x.g = y.g AND y.day BETWEEN x.day AND x.day + 3 AND (x.start, x.id) < (y.start, y.id) AND x.src <> y.src
+WHERE x.v = y.v OR greatest(x.a, y.a) <= 7 ORDER BY 1 DESC, 2, 3 LIMIT 50""")
+def _(c):
+    return r.audit_pairs(written(c), days=3, k=50)
+
+
 @query("c3_similar_pairs")
 def _(c):
     return r.similar_pairs(titled(c), DAY()).select(
