@@ -116,7 +116,9 @@ def _(c):
     b = base(c).withColumn("dd_0", F.lpad(F.col("dd").cast("string"), 2, "0"))
     body = forms("日時：{y}年{m}月{dd}日", "日時：{m2}.{dd_0} Sat 16:30～19:00（開 16:00）", "会場にて{m}月{dd}日(土) 〜 {m2}月{d2}日まで", "{m}月{dd}日(土)に開催された会の様子", "本文のみ")
     title = forms("題", "題", "題", "題", "【{m2}/{dd}(火)】題")
-    r = d.tier_dates(title, body, F.col("o_orderdate"))
+    b = b.select("o_orderkey", "o_orderdate", body.alias("body"), title.alias("title"))
+    b = b.withColumn("r", d.tier_dates(F.col("title"), F.col("body"), F.col("o_orderdate")))
+    r = F.col("r")
     return b.select("o_orderkey", fmt(r["start"]).alias("s"), fmt(r["end"]).alias("e"), r["tier"].alias("tier"))
 
 

@@ -38,7 +38,9 @@ def number(c: Column, pattern: str, group: int) -> Column:
 def groups(c: Column, pattern: str, n: int) -> Column:
     """The first n groups of the first match as integers; nulls where there is none."""
     joined = " ".join(f"${i + 1}" for i in range(n))
-    return F.split(F.regexp_replace(F.regexp_extract(c, pattern, 0), pattern, joined), " ").try_cast("array<int>")
+    # the pattern runs over the text once; the second run is over its match alone
+    return let(F.regexp_extract(c, pattern, 0), lambda found: F.when(
+        found != "", F.split(F.regexp_replace(found, pattern, joined), " ").try_cast("array<int>")))
 
 
 def part(g: Column, i: int) -> Column:
@@ -209,10 +211,19 @@ def tier_dates(title: Column, body: Column, pub: Column) -> Column:
 
     span = lambda tier, x: let(x, lambda r: row(tier, r["start"], r["end"]))
     day = lambda tier, x: let(x, lambda r: row(tier, r, none))
-    best = F.coalesce(
-        span("label", body_dates(body)), day("dotted", dotted_day(body, pub)), span("range", prose_range(body, pub)),
-        day("prose", prose_day(body, pub)), day("title", title_day(title, pub)), day("published", pub.cast("timestamp_ntz")),
-    )
+
+    def best_of(text: Column, head: Column) -> Column:
+        # a tier is tried only on texts with the character that its pattern can't do without
+        return F.coalesce(
+            F.when(text.rlike("[：:]"), span("label", body_dates(text))),
+            F.when(text.contains("."), day("dotted", dotted_day(text, pub))),
+            F.when(text.contains("月"), span("range", prose_range(text, pub))),
+            F.when(text.contains("月"), day("prose", prose_day(text, pub))),
+            F.when(head.contains("/"), day("title", title_day(head, pub))),
+            day("published", pub.cast("timestamp_ntz")),
+        )
+
+    best = let(F.struct(ascii_digits(body).alias("body"), ascii_digits(title).alias("title")), lambda t: best_of(t["body"], t["title"]))
     return let(best, lambda b: F.struct(b["start"].alias("start"), F.coalesce(b["end"], b["start"]).alias("end"), b["tier"].alias("tier")))
 
 
