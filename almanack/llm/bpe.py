@@ -172,11 +172,18 @@ def _as_bytes(ids: list[int]) -> bytes:
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed for the way to their words."""
+    """Texts compressed together, about 1 MB a row, for the way to their words."""
     squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True)
-    for batch in slices(batches, "text"):
-        texts = [squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), pa.array(texts, pa.binary())], ["part", "doc_id", "packed"])
+    for batch in slices(batches, "text", 1 << 20):
+        texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+        ends = np.cumsum([len(t) for t in texts]).tolist()
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("part")[:1], pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                pa.array([ends], pa.list_(pa.int64())), pa.array([squeeze.compress(b"".join(texts))], pa.binary()),
+            ],
+            ["part", "doc_ids", "ends", "packed"],
+        )
 
 
 _TOKENS: dict[str, tuple[list[bytes], dict[bytes, int]]] = {}
@@ -189,8 +196,8 @@ def _vocabulary(name: str) -> tuple[list[bytes], dict[bytes, int]]:
     return _TOKENS[name]
 
 
-def _joined(name: str):
-    """Texts of one partition and the ids of its words to the ids of the texts."""
+def _joined(name: str, finish: Callable[[list[bytes]], dict[str, pa.Array]]):
+    """Texts of one partition and the ids of its words to what ``finish`` makes of the ids of texts."""
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         _, ranks = _vocabulary(name)
@@ -198,24 +205,29 @@ def _joined(name: str):
         ids = words.column("ids").combine_chunks()
         flat, at = ids.values.to_numpy().astype("<u4").tobytes(), (ids.offsets.to_numpy() * 4).tolist()
         known = {w: flat[i:j] for w, i, j in zip(words.column("word").to_pylist(), at, at[1:])}
-        docs, out = texts.column("doc_id").combine_chunks(), []
-        for packed in texts.column("packed"):
-            parts = pretokens(spread.decompress(packed.as_py()).decode("utf-8", "surrogatepass"))
-            for w in parts:
-                if w not in known:  # long, or found in another partition by an earlier run of the scan
-                    known[w] = _as_bytes(merge_word(w.encode("utf-8", "surrogatepass"), ranks))
-            out.append(b"".join(map(known.__getitem__, parts)))
-        return pa.table({"doc_id": docs, "ids": pa.array(out, pa.binary())})
+
+        def encode(text: str) -> bytes:
+            parts = pretokens(text)
+            try:
+                return b"".join(map(known.__getitem__, parts))
+            except KeyError:  # long words, or found in another partition by an earlier run of the scan
+                for w in parts:
+                    if w not in known:
+                        known[w] = _as_bytes(merge_word(w.encode("utf-8", "surrogatepass"), ranks))
+                return b"".join(map(known.__getitem__, parts))
+
+        out = []
+        for row in range(texts.num_rows):
+            body = spread.decompress(texts.column("packed")[row].as_py())
+            ends = texts.column("ends")[row].as_py()
+            every = [encode(body[i:j].decode("utf-8", "surrogatepass")) for i, j in zip([0, *ends], ends)]
+            out.append(pa.table({"doc_id": texts.column("doc_ids")[row].values, **finish(every)}))
+        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), **finish([])})
 
     return run
 
 
-def encode_texts(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """``doc_id, ids`` of every row: all ids of its text as little-endian unsigned 32-bit numbers.
-
-    Each match of the pattern is encoded by itself, without special tokens. A null or empty text
-    has no ids. Rows are independent, so repeated or null ids need no rule.
-    """
+def _encoded(docs: DataFrame, ranks: str, finish, schema: str) -> DataFrame:
     texts = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = texts.select("part", F.explode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("word"))
     held = found.where(F.octet_length("word") <= LONGEST).distinct()
@@ -224,8 +236,17 @@ def encode_texts(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     ids = fold_words(F.col("word").cast("binary"), load_ranks(ranks))
     encoded = settle(settle(by_word).select("word", "parts", ids.alias("ids")))
     words = encoded.select(F.explode("parts").alias("part"), "word", "ids")
-    packed = texts.mapInArrow(_squeezed, "part int, doc_id long, packed binary")
-    return packed.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_joined(ranks), "doc_id long, ids binary")
+    packed = texts.mapInArrow(_squeezed, "part int, doc_ids array<long>, ends array<long>, packed binary")
+    return packed.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_joined(ranks, finish), f"doc_id long, {schema}")
+
+
+def encode_texts(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """``doc_id, ids`` of every row: all ids of its text as little-endian unsigned 32-bit numbers.
+
+    Each match of the pattern is encoded by itself, without special tokens. A null or empty text
+    has no ids. Rows are independent, so repeated or null ids need no rule.
+    """
+    return _encoded(docs, ranks, lambda ids: {"ids": pa.array(ids, pa.binary())}, "ids binary")
 
 
 class _Decoder:
@@ -269,18 +290,11 @@ def decode_ids(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
 
 
 def round_trips(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encoded, decoded, and digested in one pass over the ids."""
-
-    def run(batches):
-        for batch in slices(batches, "ids", 2 << 20):
-            ids = batch.column("ids").to_pylist()
-            back = _decoder(ranks).decode(ids)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), pa.array([len(b) // 4 for b in ids], pa.int64()),
-                    pa.array([hashlib.sha256(b).hexdigest() for b in ids], pa.string()), pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return encode_texts(docs, ranks).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encoded, decoded and digested where the ids are made."""
+
+    def digest(ids: list[bytes]) -> dict[str, pa.Array]:
+        back = _decoder(ranks).decode(ids)
+        sha = lambda data: pa.array([hashlib.sha256(b).hexdigest() for b in data], pa.string())
+        return {"n_tokens": pa.array([len(b) // 4 for b in ids], pa.int64()), "ids_sha256": sha(ids), "decoded_sha256": sha(back)}
+
+    return _encoded(docs, ranks, digest, "n_tokens long, ids_sha256 string, decoded_sha256 string")
