@@ -15,7 +15,6 @@ out, 1 and 2 train the dictionaries, 3 and 4 calibrate.
 from __future__ import annotations
 
 import dataclasses
-import math
 import uuid
 from collections.abc import Iterator
 
