@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from almanack.catalog.carriers import REF
 from almanack.catalog.registry import query
 from almanack.functions import dates as d
 

@@ -173,9 +173,6 @@ def _(c):
     return s.missing(r, ran, "source", ["view_1"])
 
 
-NEWTAGS = ("array(lang, source, 'art')", "[lang, source_name, 'art']")
-
-
 @query("g3_tags_union", "SELECT id, array_to_string(list_sort(list_distinct(list_concat(category, [lang, 'art']))), ',') AS tags FROM doc", "doc")
 def _(c):
     return c.docs().select("id", F.array_join(s.tags_union(F.col("category"), F.array("lang", F.lit("art"))), ",").alias("tags"))

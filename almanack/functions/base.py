@@ -71,11 +71,6 @@ def contains_any(c: Column | str, words: Iterable[str]) -> Column:
     return any_of(col(c).contains(w) for w in words)
 
 
-def string_map(mapping: dict[str, object]) -> Column:
-    """A small constant lookup table as a map literal."""
-    return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-
-
 def percent_half_up(part: Column, whole: Column) -> Column:
     """Whole percent, halves rounded up."""
     return F.floor(part * 100.0 / whole + F.lit(0.5)).cast("long")

@@ -6,8 +6,6 @@ zone-less timestamps at midnight unless a time of day is part of the rule.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,11 +87,6 @@ def parse_date(c: Column) -> Column:
     return let(tidy, read).cast("timestamp_ntz")
 
 
-def parse_compact(c: Column) -> Column:
-    """``YYYYMMDD...`` feeds."""
-    return ymd(c, r"^(\d{4})(\d{2})(\d{2})")
-
-
 def parse_era(c: Column) -> Column:
     """First date of a text in Western or imperial years; a bracketed Western year wins."""
     western = r"(20\d{2})年(\d{1,2})月(\d{1,2})日"
@@ -401,12 +394,6 @@ def short_day(c: Column, zone: str = "Asia/Tokyo") -> Column:
     return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), c), "M/d")
 
 
-def run_of(days: Sequence[Column]) -> tuple[Column, Column]:
-    """First and last of several dates, nulls ignored."""
-    arr = F.array_compact(F.array(*days))
-    return F.array_min(arr), F.array_max(arr)
-
-
 def date_in_range(value: Column, start: Column, end: Column, lookback: int = 0) -> Column:
     """Whether a day lies between ``lookback`` days before the start and the end; false if any is missing."""
     day = F.to_date(value)

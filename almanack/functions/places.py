@@ -12,7 +12,6 @@ from almanack.functions.base import strip
 # Markers of online events, and the canonical word written for them.
 ONLINE_WORD = "オンライン"
 ONLINE_MARKERS = r"(?:online|オンライン|ライブ配信|配信のみ|[Zz][Oo][Oo][Mm])"
-ONLINE_MARKERS_LOOSE = r"(?iu)(?:online|オンライン|ライブ配信|zoom|web配信)"
 
 # A bracketed prefecture, as written after a venue name.
 PREFECTURE_IN_BRACKETS = r"[（(][^）)]+[都道府県][）)]"

@@ -83,10 +83,6 @@ def verified_first(df: DataFrame, flag: str, pos: str) -> DataFrame:
     return df.orderBy(F.coalesce(F.col(flag), F.lit(False)).desc(), pos)
 
 
-def sort_two(df: DataFrame, first: Column, second: Column, tie: str = "id") -> DataFrame:
-    return df.orderBy(first, second, tie)
-
-
 def newest(df: DataFrame, ts: str, n: int, tie: str = "id") -> DataFrame:
     return df.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(n)
 

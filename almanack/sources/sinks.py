@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Mapping, Sequence
 
@@ -124,7 +123,3 @@ def verify_snapshot(spark: SparkSession, path: str, required: Mapping[str, Seque
         )
         found = found.unionByName(both.select("table", F.inline(tests)))
     return found.unionByName(spark.createDataFrame(fixed, FINDING)) if fixed else found
-
-
-def schema_of(manifest_row) -> dict:
-    return json.loads(manifest_row["schema"])

@@ -6,8 +6,6 @@ import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The physical schemas of the given tables. Declared, never inferred.
 SCHEMAS: dict[str, str] = {
@@ -48,36 +46,3 @@ def read_table(
 def extract_all(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A full extract is one partitioned scan; no paging is needed."""
     return read_table(spark, root, name)
-
-
-def read_jdbc(
-    spark: SparkSession,
-    url: str,
-    table: str,
-    key: str,
-    lower: int,
-    upper: int,
-    partitions: int,
-    **options: str,
-) -> DataFrame:
-    """Parallel extract from a relational store, split on a numeric key."""
-    reader = (
-        spark.read.format("jdbc")
-        .option("url", url)
-        .option("dbtable", table)
-        .option("partitionColumn", key)
-        .option("lowerBound", lower)
-        .option("upperBound", upper)
-        .option("numPartitions", partitions)
-    )
-    for k, v in options.items():
-        reader = reader.option(k, v)
-    return reader.load()
-
-
-def empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
-def rows_visible(df: DataFrame, flag: str = "is_active") -> DataFrame:
-    return df.where(F.col(flag))
