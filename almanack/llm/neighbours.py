@@ -3,10 +3,11 @@
 Equal directions are one node. First lists of neighbours come from blocks of nodes with similar
 signs on random hyperplanes; each round then compares the neighbours of a node, and the nodes
 that have it as neighbour, with each other, and keeps the best. A list of which every entry
-passes the threshold is saturated and doubles. An audit compares a bounded sample of nodes with
-all others and asks for more rounds while too few of their links are connected. Last, links are
-counted in full inside each component, block against block, so a list that is still saturated
-loses none.
+passes the threshold is saturated and doubles. Every pair that was ever compared and passes is an
+edge, whether or not a list keeps it, and components with saturated nodes are joined by an exact
+comparison of those. An audit compares a bounded sample of nodes with all others and asks for more
+rounds while too few of their links are connected; if it is never content, all components are
+compared exactly. Last, links are counted in full inside each component, block against block.
 """
 
 from __future__ import annotations
@@ -140,11 +141,12 @@ def _trimmed(found: DataFrame, threshold: float) -> DataFrame:
     return near.withColumn("_k", F.greatest(F.lit(LIST), 2 * passing)).where("_n <= _k").select("u", "v", "s")
 
 
-def first_lists(nodes: DataFrame, threshold: float) -> DataFrame:
+def first_found(nodes: DataFrame) -> DataFrame:
+    """Each node's nearest among nodes with similar signs."""
     signed = nodes.select("node", "label", "dim", "unit").mapInArrow(_signed(TABLES, BITS), "turn int, label int, dim int, sign long, node long, unit binary")
     order = ["turn", "label", "dim", "sign", "node"]
     dealt = signed.repartitionByRange(*order).sortWithinPartitions(*order)
-    return _trimmed(dealt.mapInArrow(_best_in_block(LIST), "u long, v long, s double"), threshold)
+    return dealt.mapInArrow(_best_in_block(LIST), "u long, v long, s double")
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +172,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def descend(lists: DataFrame, nodes: DataFrame, turn: int, threshold: float) -> DataFrame:
-    """One round: neighbours of a common neighbour meet."""
+    """What one round proposes: neighbours of a common neighbour meet."""
     forward = lists.select(F.col("u").alias("c"), F.col("v").alias("m"))
     pairs = forward.unionByName(forward.select(F.col("m").alias("c"), F.col("c").alias("m"))).distinct()
     pairs = settle(pairs)
@@ -186,8 +188,111 @@ def descend(lists: DataFrame, nodes: DataFrame, turn: int, threshold: float) ->
     )
     attached = salted.join(nodes.select(F.col("node").alias("m"), "unit").join(state, "m"), "m")
     dealt = attached.repartition("c", "salt").sortWithinPartitions("c", "salt", "m")
-    proposed = dealt.select("c", "salt", "m", "unit", "worst", "known").mapInArrow(_meet, "u long, v long, s double")
-    return _trimmed(lists.unionByName(proposed), threshold)
+    return dealt.select("c", "salt", "m", "unit", "worst", "known").mapInArrow(_meet, "u long, v long, s double")
+
+
+# ---- components -----------------------------------------------------------------------------
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Centre of each block of a component, and the angle that holds all of the block."""
+    for group in _runs(batches, ["root", "block"], 1 << 30):
+        x = _units(group.column("unit"))
+        centre = x.sum(axis=0)
+        size = np.sqrt(centre @ centre)
+        centre = centre / size if size > 1e-9 else x[0]
+        angle = np.arccos(np.clip(x @ centre, -1, 1)).max()
+        first = group.slice(0, 1)
+        yield pa.RecordBatch.from_arrays(
+            [first.column(k).combine_chunks() for k in ("label", "dim", "root", "block")] + [pa.array([centre.astype("<f8").tobytes()]), pa.array([angle])],
+            ["label", "dim", "root", "block", "centre", "angle"],
+        )
+
+
+def _cell_pairs(threshold: float):
+    """Cells of two components that angles allow to hold a link."""
+
+    def run(batches):
+        for group in _runs(batches, ["label", "dim", "i", "j"], 1 << 30):
+            x, own, root, block, angle = _units(group.column("centre")), *(group.column(k).to_numpy() for k in ("chunk", "root", "block", "angle"))
+            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+            a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            if not len(a) or not len(b):
+                continue
+            apart = np.arccos(np.clip(x[a] @ x[b].T, -1, 1))
+            # the slack is far above the rounding of an angle near zero
+            near = (apart <= angle[a][:, None] + angle[b][None, :] + np.arccos(threshold) + 1e-6) & (root[a][:, None] != root[b][None, :])
+            if i == j:
+                near = np.triu(near)
+            p, q = a[np.nonzero(near)[0]], b[np.nonzero(near)[1]]
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (root[p], block[p], root[q], block[q])], ["ra", "ba", "rb", "bb"])
+
+    return run
+
+
+def _first_link(threshold: float):
+    """One link between the two blocks of a pair, if there is any."""
+
+    def run(batches):
+        for group in _runs(batches, ["pair"], 1 << 30):
+            x, node, side = _units(group.column("unit")), group.column("node").to_numpy(), group.column("side").to_numpy()
+            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            near = x[a] @ x[b].T >= threshold
+            if near.any():
+                i, j = np.unravel_index(near.argmax(), near.shape)
+                yield pa.RecordBatch.from_arrays([pa.array([node[a[i]]]), pa.array([node[b[j]]])], ["u", "v"])
+
+    return run
+
+
+def _in_chunks(df: DataFrame, keys: list[str], spread, name: str, most: int) -> DataFrame:
+    """``df`` once for each pair (i, j) of chunks of its key that it belongs to."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    chunks = F.ceil(F.col("_n") / most).cast("long")
+    placed = df.join(sizes, keys).withColumn(name, F.pmod(spread, chunks))
+    ends = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda o: F.struct(F.least(name, o).alias("i"), F.greatest(name, o).alias("j")))
+    return placed.withColumn("_e", F.explode(ends)).select("*", "_e.i", "_e.j").drop("_e", "_n")
+
+
+def bridges(members: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): links that join the components of ``members`` exactly as all of its links do.
+
+    ``members``: root, node, label, dim, unit. Blocks of components, as centre and angle, are
+    compared with each other; two whose angles allow a link are compared in full, and one link
+    says that their components are one.
+    """
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = F.ceil(F.col("_n") / FULL_BLOCK).cast("long")
+    placed = settle(members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).select("root", "block", "node", "label", "dim", "unit"))
+    dealt = placed.repartition("root", "block").sortWithinPartitions("root", "block")
+    cells = settle(dealt.mapInArrow(_cells, "label int, dim int, root long, block long, centre binary, angle double"))
+    several = cells.groupBy("label", "dim").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("label", "dim")
+    paired = _in_chunks(cells.join(several, ["label", "dim"]), ["label", "dim"], F.xxhash64("root", "block"), "chunk", FULL_BLOCK)
+    paired = paired.repartition("label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j")
+    pairs = paired.select("label", "dim", "i", "j", "chunk", "root", "block", "centre", "angle").mapInArrow(_cell_pairs(threshold), "ra long, ba long, rb long, bb long")
+    pairs = settle(pairs.withColumn("pair", F.monotonically_increasing_id()))
+    sides = pairs.select("pair", F.lit(0).alias("side"), F.col("ra").alias("root"), F.col("ba").alias("block")).unionByName(
+        pairs.select("pair", F.lit(1).alias("side"), F.col("rb").alias("root"), F.col("bb").alias("block"))
+    )
+    facing = sides.join(placed, ["root", "block"]).select("pair", "side", "node", "unit")
+    return facing.repartition("pair").sortWithinPartitions("pair").mapInArrow(_first_link(threshold), "u long, v long")
+
+
+def _joined(member: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of what ``member`` (node, root) connects and ``links`` (u, v) add."""
+    return settle(components(member.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links.select("u", "v")), "u", "v"))
+
+
+def _with_roots(nodes: DataFrame, member: DataFrame) -> DataFrame:
+    """A node without links is its own component."""
+    return nodes.join(member, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "label", "dim", "unit")
+
+
+def _saturated(lists: DataFrame, threshold: float) -> DataFrame:
+    """Nodes of which every entry passes, so that there may be more than the list holds."""
+    ends = lists.groupBy("u").agg(F.min("s").alias("_worst"), F.count(F.lit(1)).alias("_n"))
+    return ends.where((F.col("_worst") >= threshold) & (F.col("_n") >= LIST)).select(F.col("u").alias("node"))
 
 
 # ---- audit and links ------------------------------------------------------------------------
@@ -274,14 +379,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     )
     numbered, n = number_rows(grouped, [F.col("first").asc_nulls_last(), F.xxhash64("label", "unit")], "node")
     nodes = settle(numbered)
-    lists = settle(first_lists(nodes, threshold))
+    found = settle(first_found(nodes))
+    edges = found.where(F.col("s") >= threshold)
+    lists = settle(_trimmed(found, threshold))
     truth = settle(_audit_links(nodes, threshold, AUDIT))
+    member = nodes.select("node", F.col("node").alias("root")).limit(0)
     for turn in range(MOST_ROUNDS):
-        lists = settle(descend(lists, nodes, turn, threshold))
+        found = settle(descend(lists, nodes, turn, threshold))
+        edges = edges.unionByName(found.where(F.col("s") >= threshold))
+        lists = settle(_trimmed(lists.unionByName(found), threshold))
         if turn + 1 >= ROUNDS:
-            member = settle(components(lists.where(F.col("s") >= threshold), "u", "v"))
+            member, edges = _joined(member, edges), edges.limit(0)
+            crowded = _with_roots(nodes.join(_saturated(lists, threshold), "node"), member)
+            member = _joined(member, bridges(crowded, threshold))
             if _recall(truth, member) >= RECALL:
                 break
+    else:  # the search is at its end, and the result still has to be whole
+        member = _joined(member, bridges(_with_roots(nodes, member), threshold))
     counts = link_counts(member.join(nodes, "node").select("root", "node", "m", "unit"), threshold)
     leads = nodes.select(F.col("node").alias("root"), F.col("first").alias("component_id"))
     linked = (

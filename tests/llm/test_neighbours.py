@@ -61,3 +61,42 @@ def test_repeated_rows_null_ids_and_none(spark):
     got = sorted(((r.vec_id or 0), r.n_links, r.component_id or 0, r.kept) for r in neighbours.near_duplicates(df).collect())
     assert got == [(0, 0, 0, False), (0, 2, 1, False), (1, 2, 1, True), (1, 2, 1, True)]
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_components_linked_beyond_their_lists(spark):
+    """Two groups, each larger than a list, whose cross links are all weaker than those inside."""
+    rng = np.random.default_rng(4)
+    a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    turn = np.arccos(0.985)
+    centres = [a, np.cos(turn) * a + np.sin(turn) * b]
+    made = [(100 * c + i, (centres[c] + 0.022 / 8 * rng.standard_normal(64)).astype(np.float32).tolist(), 0) for c in (0, 1) for i in range(100)]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<float>, label int").repartition(3)
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in neighbours.near_duplicates(df).collect())
+    assert got == brute(made, 0.98)
+    assert {r[2] for r in got} == {0}
+
+
+def test_bridges_join_what_any_link_joins(spark, monkeypatch):
+    """Components given in pieces, singles among them, are joined as by comparing all nodes."""
+    monkeypatch.setattr(neighbours, "FULL_BLOCK", 8)
+    rng = np.random.default_rng(6)
+    nodes = []
+    for c in range(12):
+        at = rng.standard_normal(8)
+        for i in range(14):
+            at = at + 0.05 * rng.standard_normal(8)
+            nodes.append((len(nodes), at / np.linalg.norm(at), c % 2))
+    rows = [(14 * (n // 14) + (n % 14) // 5 * 5 if n % 14 < 10 else n, n, label, 8, bytearray(x.astype("<f8").tobytes())) for n, x, label in nodes]
+    df = spark.createDataFrame(rows, "root long, node long, label int, dim int, unit binary")
+    pieces = df.select("node", "root")
+    got = {r.node: r.root for r in neighbours._joined(pieces, neighbours.bridges(df, 0.98)).collect()}
+    root = {n: r for r, n, *_ in rows}
+    for _ in range(len(nodes)):
+        was = dict(root)
+        for n, x, label in nodes:
+            for m, y, other in nodes:
+                if label == other and (x @ y >= 0.98 or rows[n][0] == rows[m][0]):
+                    root[n] = root[m] = min(root[n], root[m])
+        if root == was:
+            break
+    assert {n: got.get(n, n) for n in root} == root
