@@ -5,8 +5,9 @@ signs on random hyperplanes; each round then compares the neighbours of a node,
 that have it as neighbour, with each other, and keeps the best. A list of which every entry
 passes the threshold is saturated and doubles. Every pair that was ever compared and passes is an
 edge, whether or not a list keeps it, and components with saturated nodes are joined by an exact
-comparison of those. An audit compares a bounded sample of nodes with all others and asks for more
-rounds while too few of their links are connected; if it is never content, all components are
+comparison of those. An audit compares a bounded sample of nodes, drawn inside and outside large
+components, with all others and asks for more rounds and further hyperplanes while nodes with few,
+some or many links have too few of them connected; if it is never content, all components are
 compared exactly. Last, links are counted in full inside each component, block against block.
 """
 
@@ -29,9 +30,12 @@ TABLES = 4
 BITS = 20
 ROUNDS = 2
 MOST_ROUNDS = 8
-#: Nodes that the audit compares with all others, and the share of their links to be connected.
+#: Nodes inside and outside large components that the audit compares with all others.
 AUDIT = 400
+AUDIT_APART = 2000
+#: The share of a node's links to be connected, as the mean over the nodes with about as many.
 RECALL = 0.99
+DEGREES = (2, 10, 80)
 BLOCK = 128
 FULL_BLOCK = 512
 
@@ -94,14 +98,14 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iter
 # ---- lists ----------------------------------------------------------------------------------
 
 
-def _signed(tables: int, bits: int):
+def _signed(tables: range, bits: int):
     def run(batches):
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 rows = batch.filter(pa.array(dims == dim))
                 x = _units(rows.column("unit"))
-                for t in range(tables):
+                for t in tables:
                     planes = np.random.default_rng([t, int(dim)]).standard_normal((int(dim), bits))
                     sign = ((x @ planes > 0) @ (1 << np.arange(bits)[::-1])).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
@@ -141,9 +145,9 @@ def _trimmed(found: DataFrame, threshold: float) -> DataFrame:
     return near.withColumn("_k", F.greatest(F.lit(LIST), 2 * passing)).where("_n <= _k").select("u", "v", "s")
 
 
-def first_found(nodes: DataFrame) -> DataFrame:
-    """Each node's nearest among nodes with similar signs."""
-    signed = nodes.select("node", "label", "dim", "unit").mapInArrow(_signed(TABLES, BITS), "turn int, label int, dim int, sign long, node long, unit binary")
+def first_found(nodes: DataFrame, turn: int = 0) -> DataFrame:
+    """Each node's nearest among nodes with similar signs, on hyperplanes of this turn's own."""
+    signed = nodes.select("node", "label", "dim", "unit").mapInArrow(_signed(range(turn * TABLES, (turn + 1) * TABLES), BITS), "turn int, label int, dim int, sign long, node long, unit binary")
     order = ["turn", "label", "dim", "sign", "node"]
     dealt = signed.repartitionByRange(*order).sortWithinPartitions(*order)
     return dealt.mapInArrow(_best_in_block(LIST), "u long, v long, s double")
@@ -298,34 +302,56 @@ def _saturated(lists: DataFrame, threshold: float) -> DataFrame:
 # ---- audit and links ------------------------------------------------------------------------
 
 
-def _audit_links(nodes: DataFrame, threshold: float, sample: int) -> DataFrame:
-    """All links of a bounded sample of nodes, by comparison with every node."""
-    drawn = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).collect()
+def _drawn(nodes: DataFrame, member: DataFrame) -> list[tuple]:
+    """Nodes to audit, with the number of nodes that each stands for.
+
+    Nodes of large components and the others, isolated ones among them, are drawn apart, so
+    that a hot group takes no more than its own part of the draw.
+    """
+    sizes = member.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
+    placed = nodes.join(member.join(sizes, "root").select("node", "_n"), "node", "left").withColumn("_large", F.coalesce("_n", F.lit(1)) > LIST)
+    out = []
+    for large, most in ((True, AUDIT), (False, AUDIT_APART)):
+        part = placed.where(F.col("_large") == large)
+        rows = part.orderBy(F.xxhash64("node"), "node").limit(most).select("node", "label", "dim", "unit").collect()
+        stands = part.count() / len(rows) if rows else 0.0
+        out += [(r["node"], r["label"], r["dim"], r["unit"], stands) for r in rows]
+    return out
+
+
+def _audit_links(nodes: DataFrame, threshold: float, drawn: list[tuple]) -> DataFrame:
+    """All links of the drawn nodes, by comparison with every node."""
     by_kind: dict[tuple[int, int], list] = {}
-    for r in drawn:
-        by_kind.setdefault((r["label"], r["dim"]), []).append(r)
-    kinds = {k: (np.array([r["node"] for r in v]), np.stack([np.frombuffer(r["unit"], "<f8") for r in v])) for k, v in by_kind.items()}
+    for node, label, dim, unit, stands in drawn:
+        by_kind.setdefault((label, dim), []).append((node, unit, stands))
+    kinds = {k: (np.array([r[0] for r in v]), np.stack([np.frombuffer(r[1], "<f8") for r in v]), np.array([r[2] for r in v])) for k, v in by_kind.items()}
 
     def run(batches):
         for batch in batches:
             label, dim, node = (batch.column(k).to_numpy() for k in ("label", "dim", "node"))
-            for (a, d), (queries, q) in kinds.items():
+            for (a, d), (queries, q, stands) in kinds.items():
                 mine = np.flatnonzero((label == a) & (dim == d))
                 if len(mine):
                     hit = _units(batch.column("unit").take(pa.array(mine))) @ q.T >= threshold
                     i, j = np.nonzero(hit)
                     keep = node[mine[i]] != queries[j]
-                    yield pa.RecordBatch.from_arrays([pa.array(queries[j][keep]), pa.array(node[mine[i]][keep])], ["q", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(queries[j][keep]), pa.array(node[mine[i]][keep]), pa.array(stands[j][keep])], ["q", "v", "stands"])
 
-    return nodes.select("node", "label", "dim", "unit").mapInArrow(run, "q long, v long")
+    return nodes.select("node", "label", "dim", "unit").mapInArrow(run, "q long, v long, stands double")
 
 
 def _recall(truth: DataFrame, member: DataFrame) -> float:
-    """Share of true links whose ends are in one component."""
+    """Share of a node's true links whose ends are in one component.
+
+    It is the mean over nodes, not links, and the least of the means of the classes of nodes
+    with about as many links.
+    """
     of = lambda name, out: member.select(F.col("node").alias(name), F.col("root").alias(out))
     joined = truth.join(of("q", "_a"), "q", "left").join(of("v", "_b"), "v", "left")
-    row = joined.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_a") == F.col("_b"), 1)).alias("hit")).first()
-    return row["hit"] / row["n"] if row["n"] else 1.0
+    nodes = joined.groupBy("q", "stands").agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col("_a") == F.col("_b"), 1)).alias("_hit"))
+    degree = sum(((F.col("_n") > most).cast("int") for most in DEGREES), F.lit(0))
+    classes = nodes.groupBy(degree.alias("_degree")).agg((F.sum(F.col("stands") * F.col("_hit") / F.col("_n")) / F.sum("stands")).alias("recall"))
+    return min((r["recall"] for r in classes.collect()), default=1.0)
 
 
 def _count_links(threshold: float):
@@ -382,16 +408,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     found = settle(first_found(nodes))
     edges = found.where(F.col("s") >= threshold)
     lists = settle(_trimmed(found, threshold))
-    truth = settle(_audit_links(nodes, threshold, AUDIT))
+    truth = None
     member = nodes.select("node", F.col("node").alias("root")).limit(0)
     for turn in range(MOST_ROUNDS):
-        found = settle(descend(lists, nodes, turn, threshold))
+        found = descend(lists, nodes, turn, threshold)
+        if turn >= ROUNDS:  # lists improve only near what they know, so pairs far from it need other hyperplanes
+            found = found.unionByName(first_found(nodes, turn - ROUNDS + 1))
+        found = settle(found)
         edges = edges.unionByName(found.where(F.col("s") >= threshold))
         lists = settle(_trimmed(lists.unionByName(found), threshold))
         if turn + 1 >= ROUNDS:
             member, edges = _joined(member, edges), edges.limit(0)
             crowded = _with_roots(nodes.join(_saturated(lists, threshold), "node"), member)
             member = _joined(member, bridges(crowded, threshold))
+            if truth is None:
+                truth = settle(_audit_links(nodes, threshold, _drawn(nodes, member)))
             if _recall(truth, member) >= RECALL:
                 break
     else:  # the search is at its end, and the result still has to be whole

@@ -100,3 +100,23 @@ def test_bridges_join_what_any_link_joins(spark, monkeypatch):
         if root == was:
             break
     assert {n: got.get(n, n) for n in root} == root
+
+
+def test_a_hot_group_hides_no_scattered_pairs(spark, monkeypatch):
+    """Signs that tell little lose most pairs in the first rounds; a large group has nearly all links."""
+    monkeypatch.setattr(neighbours, "TABLES", 1)
+    monkeypatch.setattr(neighbours, "BLOCK", 8)
+    rng = np.random.default_rng(8)
+    made, centre = [], rng.standard_normal(32)
+    for _ in range(300):
+        made.append((len(made), (centre + 0.02 * rng.standard_normal(32)).astype(np.float32).tolist(), 0))
+    for _ in range(300):
+        x = rng.standard_normal(32)
+        for _ in range(2):
+            made.append((len(made), (x + 0.12 * rng.standard_normal(32)).astype(np.float32).tolist(), 0))
+    want = brute(made, 0.98)
+    assert sum(r[1] for r in want if r[0] < 300) > 0.99 * sum(r[1] for r in want)
+    df = spark.createDataFrame(made, "vec_id long, embedding array<float>, label int").repartition(3)
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in neighbours.near_duplicates(df).collect())
+    missed = sum(g != w for g, w in zip(got, want))
+    assert missed <= 0.01 * sum(r[0] >= 300 and r[1] > 0 for r in want)
