@@ -4,9 +4,11 @@ Every tag, told apart by the elements it is nested in, is a token. For each host
 which a token occurs, and how often, are its occurrence vector; tokens with equal vectors are
 one equivalence class. Classes that cover half of a host's pages or more and hold several
 tokens are valid: together, nested as their paths are, they are the template. Text lies in the
-slots between them. A slot whose text never changes is template too; of the others the article
-is kept: what stands in article or main elements where the host has such, else the slot with
-the most changing text and all below it. Blocks inside menus, headers, footers, sidebars,
+slots between them. A slot whose text is the same on half of the pages or more, and on all that
+have it, is template too, inside articles as well; only a first heading stays. Of the others the
+slot with the most changing text is kept, with all of the article or main element that it stands
+in, or else all below it. Article and main elements alone decide where a host has too few pages
+for that, and on pages that lack the host's slot. Blocks inside menus, headers, footers, sidebars,
 notices, adverts, forms and comments, by element or by class word, belong to no slot.
 
 A host's vectors are kept as sums, so a host with very many pages needs no more room than one
@@ -182,11 +184,14 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+FIRST_HEADING = r"/h1[^/]*$"
+
+
 def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(template, decisions): tokens in valid classes, and per host what is kept.
 
     ``template``: host, token, class (the occurrence vector), pages. ``decisions``: host,
-    ``article`` (it has article slots), ``container`` (the path that is kept where it hasn't).
+    ``container`` (the path that is kept), ``fixed`` (the slots that are template).
     """
     seen = settle(
         pages.select(F.col("url").cast("string"), F.col("html").cast("string"))
@@ -207,32 +212,43 @@ def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     slots = seen.where("kind = 'slot'").select("host", F.substring("token", 1, 1).alias("side"), F.expr("substring(token, 2)").alias("token"), "pages", "chars", "least", "most")
     changing = slots.where((F.col("pages") < LEAST_PAGES) | (F.col("least") != F.col("most")))
     framed = changing.join(template.select("host", "token", F.lit(True).alias("framed")), ["host", "token"], "left")
-    decisions = framed.groupBy("host").agg(
-        F.max(F.col("side") == "+").alias("article"),
-        F.max_by(
-            F.when(F.col("side") == "-", F.col("token")),
-            F.when(F.col("side") == "-", F.struct(F.coalesce("framed", F.lit(False)), F.col("chars"), F.col("token"))),
-        ).alias("container"),
+    # an article's own frame is no weaker than that of a slot outside, so articles break ties only
+    best = framed.groupBy("host").agg(
+        F.max(F.col("side") == "+").alias("_article"),
+        F.max_by("token", F.struct(F.coalesce("framed", F.lit(False)), F.col("chars"), F.col("side") == "+", F.col("token"))).alias("container"),
     )
+    constant = slots.join(hosts, "host").where((F.col("pages") >= LEAST_PAGES) & (2 * F.col("pages") >= F.col("all_pages")) & (F.col("least") == F.col("most")))
+    fixed = constant.where(~F.col("token").rlike(FIRST_HEADING)).groupBy("host").agg(F.collect_set("token").alias("fixed"))
+    decided = best.join(hosts, "host").where((F.col("all_pages") >= LEAST_PAGES) | ~F.col("_article")).select("host", "container")
+    decisions = decided.join(fixed, "host", "left")
     return template, decisions
 
 
 # ---- extraction -----------------------------------------------------------------------------
 
 
-def main_blocks(page: str, article: bool, container: str | None) -> list[str]:
+_ARTICLE_PATH = re.compile(r".*?/(?:article|main)(?=[./]|\Z)[^/]*")
+
+
+def main_blocks(page: str, container: str | None, fixed: list[str] | None = None) -> list[str]:
     """Kept blocks of one page, in page order.
 
-    A page with an article gives that. One without, on a host whose articles are so marked, or
-    with no decision, gives every block that isn't boilerplate.
+    Without a container, or where the page has nothing of it, the page's articles decide, and
+    without those every block that isn't boilerplate stays.
     """
     _, blocks = parse(page)
+    if container is not None:
+        same = set(fixed or ())
+        blocks = [b for b in blocks if b[0] not in same]
+        # a paragraph's siblings of another kind belong to the same slot, and so does the whole article
+        if article := _ARTICLE_PATH.match(container):
+            above = article[0]
+        else:
+            above = container.rsplit("/", 1)[0] if re.search(r"/(p|h[1-6]|li|pre|blockquote)[^/]*$", container) else container
+        if kept := [text for path, _, text in blocks if path == container or path.startswith(above + "/") or path == above]:
+            return kept
     if any(inside for _, inside, _ in blocks):
         return [text for _, inside, text in blocks if inside]
-    if container is not None and not article:
-        # a paragraph's siblings of another kind belong to the same slot
-        above = container.rsplit("/", 1)[0] if re.search(r"/(p|h[1-6]|li|pre|blockquote)[^/]*$", container) else container
-        return [text for path, _, text in blocks if path == container or path.startswith(above + "/") or path == above]
     return [text for _, _, text in blocks]
 
 
@@ -255,13 +271,13 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     if few:
         # one small row per host, by a checked count
-        known = {r["host"]: (bool(r["article"]), r["container"]) for r in decided.collect()}
+        known = {r["host"]: (r["container"], r["fixed"]) for r in decided.collect()}
 
         def run(batches):
             for batch in slices(batches, "html"):
                 urls = batch.column("url").to_pylist()
                 texts = [
-                    "\n".join(main_blocks(page or "", *known.get(host_of(url), (False, None))))
+                    "\n".join(main_blocks(page or "", *known.get(host_of(url), (None, None))))
                     for url, page in zip(urls, batch.column("html").to_pylist())
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
@@ -271,9 +287,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
     def run_joined(batches):
         for batch in slices(batches, "html"):
             texts = [
-                "\n".join(main_blocks(page or "", bool(article), container))
-                for page, article, container in zip(*(batch.column(k).to_pylist() for k in ("html", "article", "container")))
+                "\n".join(main_blocks(page or "", container, fixed))
+                for page, container, fixed in zip(*(batch.column(k).to_pylist() for k in ("html", "container", "fixed")))
             ]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return with_host.join(decided, "host", "left").select("page_id", "url", "html", "article", "container").mapInArrow(run_joined, "page_id long, url string, text string")
+    return with_host.join(decided, "host", "left").select("page_id", "url", "html", "container", "fixed").mapInArrow(run_joined, "page_id long, url string, text string")

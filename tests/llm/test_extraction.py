@@ -65,3 +65,14 @@ def test_parse_never_fails(page):
 @pytest.mark.parametrize("page", ["<a " + "'" * 20_000, "<" * 20_000, "<p>" * 5_000, "<!--" * 5_000])
 def test_parse_is_not_quadratic(page):
     extraction.parse(page)
+
+
+def test_template_decides_inside_articles(spark):
+    """A line that every page repeats is template in an article too; teasers are no article of the page."""
+    repeated = "<main><h1>Story {n}</h1><p>Text of page {n}.</p><div class='hint'>Read this on our app</div></main>"
+    teasers = "<div class='content'><p>" + "Long text of page {n}. " * 8 + "</p></div><article class='teaser'><p>Teaser {n}</p></article>"
+    rows = [(n, f"http://a.example/{n}", FRAME.format(n=n, body=repeated.replace("{n}", str(n)))) for n in range(4)]
+    rows += [(10 + n, f"http://b.example/{n}", FRAME.format(n=n, body=teasers.replace("{n}", str(n)))) for n in range(4)]
+    got = texts(spark, rows)
+    assert got[2] == "Story 2\nText of page 2."
+    assert got[12] == " ".join(["Long text of page 2."] * 8)
