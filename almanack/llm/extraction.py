@@ -56,34 +56,42 @@ MARKED = set(
     "social related recommended newsletter subscribe signup login popup modal overlay widget toolbar pager pagination".split()
 )
 ARTICLE = {"article", "main"}
+OWN_HEADER = {"header", "masthead"}
+#: What tells the element that holds the page from one that holds a sidebar or comments.
+PAGE_PARTS = set("h1 nav header footer main".split())
 CLOSES_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li".split())
 
 
-def _marks(attributes: str) -> tuple[str, bool]:
-    """The element's class, id and role words as one name, and whether one of them marks boilerplate."""
+def _marks(attributes: str, inside: bool = False) -> tuple[str, bool]:
+    """The element's class, id and role words as one name, and whether one of them marks boilerplate.
+
+    Inside an article a header is the article's own.
+    """
     words: list[str] = []
     for m in _CLASS.finditer(attributes):
         words += re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower())
-    return ".".join(w for w in words if w and not w.isdigit()), any(w in MARKED for w in words)
+    return ".".join(w for w in words if w and not w.isdigit()), any(w in MARKED and not (inside and w in OWN_HEADER) for w in words)
 
 
 def parse(page: str) -> tuple[list[str], list[tuple[str, bool, str]]]:
     """(tokens, blocks) of a page; a block is (path, inside an article, text).
 
     Never fails: unknown or unclosed tags are taken as they come, and a closing tag closes what
-    is open above its element. Boilerplate left open ends where an article begins.
+    is open above its element. Boilerplate left open ends where an article begins. A class word
+    marks no element that holds parts of a page and more text than is outside of it.
     """
     tokens: list[str] = []
-    blocks: list[tuple[str, bool, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, inside an article, inside boilerplate
+    blocks: list[tuple[str, bool, str, int]] = []  # the last: the marked element around it, 0 for none
+    stack: list[tuple[str, str, bool, int]] = []  # name, path, inside an article, inside boilerplate: the marked element or -1
+    holds = [False]  # for each marked element, whether it holds parts of a page
     held: list[str] = []
     at = 0
 
     def flush() -> None:
         if held:
-            _, path, inside, skipped = stack[-1] if stack else ("", "", False, False)
-            if not skipped and (text := " ".join(entities.unescape("".join(held)).split())):
-                blocks.append((path, inside, text))
+            _, path, inside, skipped = stack[-1] if stack else ("", "", False, 0)
+            if skipped >= 0 and (text := " ".join(entities.unescape("".join(held)).split())):
+                blocks.append((path, inside, text, skipped))
             held.clear()
 
     for m in _SCAN.finditer(page):
@@ -113,20 +121,30 @@ def parse(page: str) -> tuple[list[str], list[tuple[str, bool, str]]]:
             stack.pop()
         if name == "li" and stack and stack[-1][0] == "li":
             stack.pop()
-        words, marked = _marks(m["attributes"])
         if name in ARTICLE:
             while stack and stack[-1][3] and not stack[-1][2]:
                 stack.pop()
-        _, above, inside, skipped = stack[-1] if stack else ("", "", False, False)
+        _, above, inside, skipped = stack[-1] if stack else ("", "", False, 0)
         inside = inside or name in ARTICLE
+        words, marked = _marks(m["attributes"], inside)
+        if skipped > 0 and name in PAGE_PARTS:
+            holds[skipped] = True
         if name not in ARTICLE and name not in ("html", "body"):
-            skipped = skipped or marked or (name in BOILERPLATE and not (name == "header" and inside))
+            if name in BOILERPLATE and not (name == "header" and inside) or marked and skipped:
+                skipped = -1
+            elif marked:
+                holds.append(False)
+                skipped = len(holds) - 1
         path = f"{above}/{name}{'.' + words if words else ''}" if len(stack) < _DEPTH else above
         stack.append((name, path, inside, skipped))
         tokens.append(path)
     held.append(page[at:])
     flush()
-    return tokens, blocks
+    chars = [0] * len(holds)
+    for *_, text, mark in blocks:
+        chars[mark] += len(text)
+    kept = {0} | {k for k in range(1, len(holds)) if holds[k] and chars[k] > chars[0]}
+    return tokens, [(path, inside, text) for path, inside, text, mark in blocks if mark in kept]
 
 
 def host_of(url: str | None) -> str:

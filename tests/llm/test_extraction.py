@@ -76,3 +76,11 @@ def test_template_decides_inside_articles(spark):
     got = texts(spark, rows)
     assert got[2] == "Story 2\nText of page 2."
     assert got[12] == " ".join(["Long text of page 2."] * 8)
+
+
+def test_class_words_take_no_headline_and_no_page():
+    text = lambda page: [t for *_, t in extraction.parse(page)[1]]
+    assert text("<article><header class='entry-header'><h1>Headline</h1></header><p>Text</p></article>") == ["Headline", "Text"]
+    wrapped = "<a href='#c'>Skip</a><div id='page' class='right-sidebar'><nav>Menu</nav><h1>Story</h1><p>Long text</p><div class='sidebar'>Side</div></div>"
+    assert text(wrapped) == ["Skip", "Story", "Long text"]
+    assert text("<p>Text of the page</p><div class='header'><h1>Site</h1></div><div class='comments'><p>A longer comment than the page</p></div>") == ["Text of the page"]
