@@ -37,11 +37,16 @@ _DEPTH = 24
 
 _SCAN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|select|svg|object|title)\b.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|select|svg|object|title)\b"
     r"|<[!?][^>]*+(?:>|\Z)"
     r"""|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attributes>(?>[^>"']+|"[^"]*"|'[^']*')*+)>""",
     re.S | re.I,
 )
+_OPENING = re.compile(r"""<[a-zA-Z]++(?>[^>"']+|"[^"]*"|'[^']*')*+>""")
+_CLOSING = {k: re.compile(rf"</{k}\s*>", re.I) for k in "script style noscript template iframe textarea select svg object title".split()}
+#: What hides the rest of a page if it is never closed, and what may close itself.
+TO_END = set("script style textarea title".split())
+SELF_CLOSED = {"svg", "object"}
 _CLASS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 INLINE = set(
@@ -73,6 +78,26 @@ def _marks(attributes: str, inside: bool = False) -> tuple[str, bool]:
     return ".".join(w for w in words if w and not w.isdigit()), any(w in MARKED and not (inside and w in OWN_HEADER) for w in words)
 
 
+def _scan(page: str) -> Iterator[tuple[re.Match, int]]:
+    """Tags, comments and raw elements, each with its end."""
+    at, unclosed = 0, set()
+    while m := _SCAN.search(page, at):
+        at = m.end()
+        if m["raw"]:
+            raw = m["raw"].lower()
+            opening = _OPENING.match(page, m.start())
+            if raw in SELF_CLOSED and opening and opening[0].endswith("/>"):
+                at = opening.end()
+            elif raw not in unclosed and (closing := _CLOSING[raw].search(page, at)):
+                at = closing.end()
+            elif raw in TO_END:
+                at = len(page)
+            else:
+                unclosed.add(raw)
+                at = opening.end() if opening else at
+        yield m, at
+
+
 def parse(page: str) -> tuple[list[str], list[tuple[str, bool, str]]]:
     """(tokens, blocks) of a page; a block is (path, inside an article, text).
 
@@ -94,10 +119,10 @@ def parse(page: str) -> tuple[list[str], list[tuple[str, bool, str]]]:
                 blocks.append((path, inside, text, skipped))
             held.clear()
 
-    for m in _SCAN.finditer(page):
+    for m, end in _scan(page):
         if m.start() > at:
             held.append(page[at : m.start()])
-        at = m.end()
+        at = end
         name = (m["name"] or "").lower()
         if not name:
             continue

@@ -84,3 +84,8 @@ def test_class_words_take_no_headline_and_no_page():
     wrapped = "<a href='#c'>Skip</a><div id='page' class='right-sidebar'><nav>Menu</nav><h1>Story</h1><p>Long text</p><div class='sidebar'>Side</div></div>"
     assert text(wrapped) == ["Skip", "Story", "Long text"]
     assert text("<p>Text of the page</p><div class='header'><h1>Site</h1></div><div class='comments'><p>A longer comment than the page</p></div>") == ["Text of the page"]
+
+
+@pytest.mark.parametrize("raw", ["<svg viewBox='0 0 1 1'/>", "<object data='x' />", "<select>", "<object data='x'>", "<iframe src='x'>"])
+def test_raw_elements_without_an_end_take_no_text(raw):
+    assert [t for *_, t in extraction.parse(f"<p>Before</p>{raw}<p>After</p><svg><text>Drawn</text></svg><p>Last</p><title>t")[1]] == ["Before", "After", "Last"]
