@@ -120,3 +120,13 @@ def test_a_hot_group_hides_no_scattered_pairs(spark, monkeypatch):
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in neighbours.near_duplicates(df).collect())
     missed = sum(g != w for g, w in zip(got, want))
     assert missed <= 0.01 * sum(r[0] >= 300 and r[1] > 0 for r in want)
+
+
+def test_audit_weighs_nodes_not_links(spark):
+    """A hundred nodes with all their links connected don't make up for ten pairs that aren't."""
+    hot = [(q, v, 1.0) for q in range(100) for v in range(100) if q != v]
+    pairs = [(q, q + 1, 1.0) for q in range(200, 220, 2)]
+    truth = spark.createDataFrame(hot + pairs, "q long, v long, stands double")
+    member = spark.createDataFrame([(n, 0) for n in range(100)], "node long, root long")
+    assert neighbours._recall(truth, member) < neighbours.RECALL
+    assert neighbours._recall(truth.where("q < 100"), member) == 1.0
