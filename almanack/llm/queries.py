@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanack.llm import audit, bpe, codes, extraction, neighbours, packing, sharding, simhash, suffixes, toxicity, warc, winnowing
+from almanack.llm import audit, bilinear, bpe, codes, extraction, neighbours, packing, sharding, simhash, suffixes, toxicity, warc, winnowing
 from almanack.llm.common import table
 from almanack.llm.oracles import ORACLES as ORACLES
 
@@ -99,3 +99,8 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = codes.with_label_error(codes.compress(table(spark, sf_dir, "embeddings")))
     return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+@query
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bilinear.score_documents(table(spark, sf_dir, "documents"))
