@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import dataclasses
 import hashlib
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -46,13 +47,13 @@ from almanack.llm.common import settle, slices
 FOLDS = 7
 HELD_OUT = 2
 CONTEXT = 5
-WIDTH = 24
-SINGLES = 191
-ENDINGS = 319
+WIDTH = 16
+SINGLES = 127
+ENDINGS = 191
 CLASSES = 1 + SINGLES + ENDINGS + 1
 LISTED = 200_000
 ROUNDS = 4
-NOISE = 48
+NOISE = 32
 BATCH = 1024
 RATE = 0.15
 SEED = 20
@@ -158,7 +159,7 @@ def lexicon(counts: DataFrame) -> Lexicon:
         frequency[r["class"]] = r["n"]
         distinct += r["v"]
         mass[r["class"]] += r["n"] + r["v"]
-    top = placed.orderBy(F.desc("seen"), "word").limit(LISTED).select("word", "c", "class").toArrow()
+    top = _most_seen(placed).select("word", "c", "class").toArrow()
     words = {w.encode(): i for i, w in enumerate(top.column("word").to_pylist())}
     return Lexicon(
         words, top.column("class").to_numpy().astype(np.int64), top.column("c").to_numpy().astype(np.int64),
@@ -166,6 +167,15 @@ def lexicon(counts: DataFrame) -> Lexicon:
     )
 
 
+def _most_seen(counts: DataFrame) -> DataFrame:
+    """At most ``LISTED`` words: all that are seen more often than some limit, found on a bounded histogram."""
+    step = F.when(F.col("seen") < 1024, F.col("seen")).otherwise(F.floor(F.log2("seen") * 16) + 1024 - 160).cast("long")
+    steps = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect()
+    total = list(itertools.accumulate(r["n"] for r in steps))
+    fits = [r["step"] for r, n in zip(steps, total) if n <= LISTED]
+    return counts.where(step >= fits[-1]) if fits else counts.limit(0)
+
+
 # ---- documents as classes -------------------------------------------------------------------
 
 ENCODED = (
@@ -200,7 +210,7 @@ def encode(docs: DataFrame, words: Lexicon) -> DataFrame:
             places.rest = []
             split = [tokens(t) for t in piece.column("text").to_pylist()]
             sizes = np.array([len(w) for w in split], np.int64)
-            at = np.fromiter((places[w] for d in split for w in d), np.int64, int(sizes.sum()))
+            at = np.fromiter(map(places.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
             doc = np.repeat(np.arange(len(split)), sizes)
             listed = at >= 0
             classes = np.empty(len(at), np.int64)
@@ -208,17 +218,16 @@ def encode(docs: DataFrame, words: Lexicon) -> DataFrame:
             memo: dict[bytes, int] = {}
             classes[~listed] = [memo[w] if w in memo else memo.setdefault(w, lex.class_of(w)) for w in places.rest]
             add = lambda values, of: np.bincount(doc[of], weights=values, minlength=len(split)).astype(float)
-            end = lex.words.get(END)
-            end_log = logs[end] if end is not None else 0.0
+            ends = lex.frequency[0]  # the end is a class of its own
             found = at[listed]
-            rest = iter(places.rest)
-            rare = [Counter(next(rest) for _ in range(k)) for k in np.bincount(doc[~listed], minlength=len(split)).tolist()]
+            stops = np.cumsum(np.bincount(doc[~listed], minlength=len(split))).tolist()
+            rare = [Counter(places.rest[a:b]) for a, b in zip([0, *stops], stops)]
             ids, cut = classes.astype("<u2"), np.concatenate([[0], np.cumsum(sizes)])
             yield pa.record_batch({
                 "rid": piece.column("rid"), "doc_id": piece.column("doc_id"), "fold": piece.column("fold"),
                 "n_tokens": sizes + 1,
-                "n_known": add(lex.counts[found] > 0, listed).astype(np.int64) + int(end is not None and lex.counts[end] > 0),
-                "log_counts": add(logs[found], listed) + end_log,
+                "n_known": add(lex.counts[found] > 0, listed).astype(np.int64) + int(ends > 0),
+                "log_counts": add(logs[found], listed) + np.log10(ends + 1),
                 "log_inside": add(inside[found], listed) - add(log_mass[classes], slice(None)),
                 "classes": pa.array([ids[a:b].tobytes() + b"\0\0" for a, b in zip(cut, cut[1:])], pa.binary()),
                 "rare": pa.array([[key(w).decode("utf-8", "replace") for w in c] for c in rare], pa.list_(pa.string())),
