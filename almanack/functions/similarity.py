@@ -1,25 +1,34 @@
-"""Name normalising, sequence similarity, and the token prefix used to find candidates.
+"""Name normalising, sequence similarity, and the grams used to find candidates.
 
 Similarity is the Ratcliff-Obershelp ratio ``2M / (|a| + |b|)`` of the standard library, with
 the earlier name as first argument (it is not symmetric).
 
 Candidate rule, without loss. Let ``S = |a| + |b|`` and let ``M`` characters match in ``k``
 blocks. Between two blocks at least one character is unmatched, so ``k <= S - 2M + 1``, and the
-names share at least ``M - k >= 3M - S - 1`` bigrams counted with multiplicity. For a threshold
-above 2/3 this is positive from some small ``S`` on, so two similar names must share a token in
-the first ``|bigrams| - need + 1`` of their bigrams under any common order; the rare-first order
-keeps those lists selective. Very short names are keyed by single characters.
+names share at least ``M - (q - 1) k`` grams of ``q`` characters counted with multiplicity, in
+places that differ by no more than the unmatched characters allow. From this:
+
+* Similar names' lengths stand in a bounded ratio, so they meet in the longer one's *length
+  step*: a name is indexed in its own step and, for longer partners, in the next.
+* ``q`` is the longest for which long names of the threshold still share a good part of their
+  grams; steps of short names take a shorter one, down to single characters.
+* Of the grams that a name shares with any partner, half may be left out, the most common
+  first and no gram in part. Under one order for all names, a pair then still shares its need
+  less the larger of the two numbers left out, and pairs that share fewer are no candidates.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Trademark signs, a trailing dash-wrapped subtitle, and white space to drop.
@@ -28,9 +37,6 @@ TRADEMARK_TEXT = "(r)"
 SUBTITLE = r"(?U)[－—\-][^－—\-]{2,}[－—\-]\s*$"
 SPACES = r"(?U)\s+"
 
-# Marks single-character tokens.
-SINGLE = "\x00"
-
 
 def norm_name(c: Column) -> Column:
     """Name key: trademark signs spelled out, subtitle and all white space dropped, lower case."""
@@ -102,67 +108,145 @@ def both_ratios(a: Column, b: Column, floor: float) -> Column:
     return apply(a, b)
 
 
+def _matched(total: int, threshold: float) -> int:
+    """Fewest characters that two similar names of ``total`` characters match."""
+    return math.ceil(threshold * total / 2 - 1e-9)
+
+
+def shared_grams(total: int, q: int, threshold: float) -> int:
+    """Fewest grams of ``q`` characters two similar names of ``total`` characters can share."""
+    return (2 * q - 1) * _matched(total, threshold) - (q - 1) * (total + 1)
+
+
 def shared_bigrams(total: int, threshold: float) -> int:
-    """Fewest bigrams two similar names of ``total`` characters can share."""
-    matched = math.ceil(threshold * total / 2 - 1e-9)
-    return 3 * matched - total - 1
+    return shared_grams(total, 2, threshold)
+
+
+def longest_partner(length: int, threshold: float) -> int:
+    return math.floor(length * (2 - threshold) / threshold + 1e-9)
+
+
+def shortest_partner(length: int, threshold: float) -> int:
+    return math.ceil(length * threshold / (2 - threshold) - 1e-9)
+
+
+#: Longest grams that are used, and the least share of a name's grams that equally long similar names have in common.
+WIDEST = 4
+LEAST_SHARE = 0.25
+
 
+def _gain(q: int, threshold: float) -> float:
+    """Shared grams per character of a name, in the limit of long names."""
+    return (2 * q - 1) * threshold - 2 * (q - 1)
 
-def short_limit(threshold: float) -> int:
-    """Longest name that may be similar to another without sharing a bigram."""
-    if threshold <= 2 / 3:
-        raise ValueError("the candidate rule needs a threshold above 2/3")
-    worst = math.ceil(6 / (1.5 * threshold - 1))
-    return max(s for s in range(worst + 1) if shared_bigrams(s, threshold) <= 0)
 
+def widest(threshold: float) -> int:
+    return max(q for q in range(1, WIDEST + 1) if q == 1 or _gain(q, threshold) >= LEAST_SHARE - 1e-9)
 
-def prefix_size(length: int, threshold: float) -> int:
-    """How many of a name's ordered bigrams must be indexed."""
-    shortest = math.ceil(length * threshold / (2 - threshold) - 1e-9)
-    low = length + shortest
-    span = math.ceil(3 / (1.5 * threshold - 1)) + 3
-    need = max(1, min(shared_bigrams(s, threshold) for s in range(low, low + span)))
-    return max(0, (length - 1) - need + 1)
 
+def _least_shared(low: int, high: int, q: int, threshold: float) -> int:
+    """Least need over totals from ``low`` to ``high``; it grows but for the rounding of one step."""
+    span = math.ceil((4 * q + 2) / _gain(q, threshold)) + 4
+    return min(shared_grams(s, q, threshold) for s in range(low, min(high, low + span) + 1))
 
-def name_tokens(name: str, threshold: float, common: dict[str, int]) -> list[tuple[str, int]]:
-    """Index tokens of one name with their place: its rarest bigrams, numbered by occurrence.
 
-    Characters of very short names are placed at -1, outside the order.
+@lru_cache(maxsize=None)
+def length_steps(threshold: float, upto: int = 1 << 31) -> tuple[list[int], list[int]]:
+    """First length of every step, and the width of the grams used in it."""
+    starts, widths = [1], []
+    while starts[-1] <= upto:
+        starts.append(longest_partner(starts[-1], threshold) + 1)
+    for first in starts:
+        low = first + shortest_partner(first, threshold)
+        widths.append(next((q for q in range(widest(threshold), 1, -1) if _least_shared(low, 4 * low, q, threshold) >= 1), 1))
+    return starts, widths
+
+
+def _ranked(name: str, q: int, common: dict[str, int]) -> list[tuple[str, int, int, int]]:
+    """(gram, times, first place, last place), the least common first."""
+    places: dict[str, list[int]] = {}
+    for i in range(len(name) - q + 1):
+        places.setdefault(name[i : i + q], []).append(i)
+    return [(g, len(at), at[0], at[-1]) for g, at in sorted(places.items(), key=lambda x: (common.get(x[0], 0), x[0]))]
+
+
+def name_grams(name: str, threshold: float, common: dict[str, int]) -> list[tuple[int, bool, str, int, int, int, int]]:
+    """Index entries (step, upper, gram, times, first place, last place, left out) of one name.
+
+    ``upper`` marks the step above the name's own. The empty name resembles no other.
     """
-    seen: Counter = Counter()
-    grams = []
-    for i in range(len(name) - 1):
-        g = name[i : i + 2]
-        seen[g] += 1
-        grams.append((common.get(g, 0), g, seen[g]))
-    grams.sort()
-    out = [(f"{g}{n}", i) for i, (_, g, n) in enumerate(grams[: prefix_size(len(name), threshold)])]
-    if len(name) <= short_limit(threshold):
-        out += [(SINGLE + ch, -1) for ch in set(name)] or [(SINGLE, -1)]
+    length = len(name)
+    if not length:
+        return []
+    starts, widths = length_steps(threshold)
+    own = bisect_right(starts, length) - 1
+    out, ranked, width = [], [], 0
+    for step, upper in ((own, False), (own + 1, True)):
+        q = widths[step]
+        if upper:
+            low, high = length + starts[step], length + longest_partner(length, threshold)
+            if low > high:
+                continue
+        else:
+            low, high = length + shortest_partner(length, threshold), length + starts[step + 1] - 1
+        if q != width:
+            ranked, width = _ranked(name, q, common), q
+        spare, left, kept = _least_shared(low, high, q, threshold) // 2, 0, len(ranked)
+        while kept and left + ranked[kept - 1][1] <= spare:
+            kept -= 1
+            left += ranked[kept][1]
+        out += [(step, upper, *g, left) for g in ranked[:kept]]
     return out
 
 
-def index_tokens(name: Column, threshold: float, common: dict[str, int]) -> Column:
-    """Tokens of a name column as an array in index order, single characters last."""
+GRAMS = "block {block}, n long, len int, step int, upper boolean, gram string, times int, first int, last int, left_out int"
 
-    @F.pandas_udf("array<string>")
-    def apply(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: [t for t, _ in name_tokens(v, threshold, common)])
 
-    return apply(name)
+def grams_of(classes: DataFrame, threshold: float, common: dict[str, int]) -> DataFrame:
+    """Index entries of all names of ``classes`` (block, n, norm)."""
+    fields = ("step", "upper", "gram", "times", "first", "last", "left_out")
+    kinds = (pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                names = batch.column("norm").to_pylist()
+                found = [name_grams(n, threshold, common) for n in names]
+                at = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+                columns = list(zip(*(e for f in found for e in f))) or [()] * len(fields)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("block").take(at), batch.column("n").take(at), pa.array([len(n) for n in names], pa.int32()).take(at)]
+                    + [pa.array(c, k) for c, k in zip(columns, kinds)],
+                    names=["block", "n", "len", *fields],
+                )
 
-def token_place(tok: Column, pos: Column) -> Column:
-    return F.when(tok.startswith(SINGLE), F.lit(-1)).otherwise(pos)
+    block = dict(classes.dtypes)["block"]
+    return classes.select("block", "n", "norm").mapInArrow(rows, GRAMS.format(block=block))
 
 
-def may_share_enough(len_a: Column, at_a: Column, len_b: Column, at_b: Column, threshold: float) -> Column:
-    """False when a first shared token this deep leaves too few bigrams to share.
+def gram_counts(names: DataFrame, q: int) -> DataFrame:
+    """(gram, count) over all names (norm); counted in each task before the shuffle."""
 
-    The first shared token of a similar pair always passes, so no pair is lost.
-    """
-    total = len_a + len_b
-    need = 3 * F.ceil(F.lit(threshold) * total / 2 - F.lit(1e-9)) - total - 1
-    left = F.least(len_a - 1 - at_a, len_b - 1 - at_b)
-    return (at_a < 0) | (left >= need)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = Counter(n[i : i + q] for n in batch.column("norm").to_pylist() for i in range(len(n) - q + 1))
+            yield pa.record_batch({"gram": pa.array(held.keys(), pa.string()), "n": pa.array(held.values(), pa.int64())})
+
+    return names.select("norm").mapInArrow(rows, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("count"))
+
+
+def may_align(a: str, b: str, threshold: float) -> Column:
+    """Lengths and places of a shared gram (columns with suffixes ``a`` and ``b``) let the names be similar."""
+    at = lambda c, s: F.col(f"{c}_{s}")
+    total, longer = at("len", a) + at("len", b), at("len", b) - at("len", a)
+    unmatched = total - 2 * F.ceil(F.lit(threshold) * total / 2 - F.lit(1e-9))
+    return (
+        (F.abs(longer) <= unmatched)
+        & (2 * (at("first", b) - at("last", a)) <= longer + unmatched)
+        & (2 * (at("last", b) - at("first", a)) >= longer - unmatched)
+    )
+
+
+def need(total: Column, q: Column, threshold: float) -> Column:
+    """:func:`shared_grams` of columns."""
+    return (2 * q - 1) * F.ceil(F.lit(threshold) * total / 2 - F.lit(1e-9)) - (q - 1) * (total + 1)

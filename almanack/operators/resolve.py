@@ -11,9 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanack.functions.base import char_grams, let
+from almanack.functions.base import let
 from almanack.functions.places import venue_tokens
-from almanack.functions.similarity import both_ratios, index_tokens, may_share_enough, norm_name, token_place
+from almanack.functions.similarity import both_ratios, gram_counts, grams_of, may_align, need, norm_name, widest
 from almanack.session import durable
 
 # Source ranks (lower wins), the rank of all others, and the news sources.
@@ -38,9 +38,9 @@ SIMILAR = 0.85
 AUDIT_SIMILAR = 0.80
 LOOKBACK_DAYS = 90
 
-# Size of the list of common bigrams that orders index tokens. It is taken with a limit, and
+# Size of the list of common grams that orders a name's grams. It is taken with a limit, and
 # any list gives the same pairs; it only decides how many candidates are tested.
-COMMON_BIGRAMS = 2000
+COMMON_GRAMS = 5000
 
 
 def source_rank(c: Column, ranks: dict[str, int] | None = None, other: int = OTHER_RANK) -> Column:
@@ -68,43 +68,50 @@ def name_classes(df: DataFrame, block: Column, name: str = "name_ja") -> DataFra
     return durable(classes.withColumn("cid", F.sha2("norm", 256)).withColumn("len", F.length("norm")).hint("rebalance"))
 
 
-def _common(classes: DataFrame) -> dict[str, int]:
-    grams = classes.select(F.explode(char_grams(F.col("norm"), 2)).alias("g"))
-    top = grams.groupBy("g").count().orderBy(F.col("count").desc(), "g").limit(COMMON_BIGRAMS)
-    return {r["g"]: r["count"] for r in top.collect()}
+def _common(classes: DataFrame, q: int) -> dict[str, int]:
+    top = gram_counts(classes, q).orderBy(F.col("count").desc(), "gram").limit(COMMON_GRAMS)
+    return {r["gram"]: r["count"] for r in top.collect()}
 
 
-def near_classes(classes: DataFrame, threshold: float = SIMILAR, days: int = 0) -> DataFrame:
-    """Pairs of distinct classes whose names reach ``threshold`` in at least one direction.
+def candidates(classes: DataFrame, threshold: float, days: int = 0) -> DataFrame:
+    """(n_a, n_b): classes that share as many grams, where they may stand, as similar names must.
 
-    With ``days`` = 0 blocks must be equal; otherwise the block is a date and may differ by up
-    to ``days``: the earlier side is copied into its own and the next bucket of ``days + 1``
-    days, the later side stays in its own, so each pair meets once per shared token.
+    A join on (block, length step, gram) gives the shared grams, and their number per pair decides;
+    only pairs whose longer name has the step as its own count there, so each pair counts once.
     """
-    common = _common(classes)
-    numbered = classes.withColumn("n", F.monotonically_increasing_id())  # fixed: classes are durable
-    tokens = F.posexplode(index_tokens(F.col("norm"), threshold, common)).alias("_p", "tok")
-    keyed = durable(
-        numbered.select("block", "n", "len", tokens).select("block", "n", "len", "tok", token_place(F.col("tok"), F.col("_p")).alias("at"))
-    )
+    keyed = grams_of(classes, threshold, _common(classes, widest(threshold)))
     if days:
+        keyed = durable(keyed)  # the sides differ; otherwise one shuffle serves both
         bucket = F.floor(F.unix_date("block") / F.lit(days + 1))
         left = keyed.withColumn("_k", F.explode(F.array(bucket, bucket + 1)))
         right = keyed.withColumn("_k", bucket)
     else:
         left, right = keyed.withColumn("_k", F.col("block")), keyed.withColumn("_k", F.col("block"))
-    side = lambda d, s: d.select("_k", "tok", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "n", "len", "at")])
-    # A sort-merge join is asked for: exploded tokens outgrow the size Spark estimates for them.
-    total = F.col("len_a") + F.col("len_b")
-    fits = 2 * F.least("len_a", "len_b") >= F.lit(threshold) * total - F.lit(1e-9)
-    deep = may_share_enough(F.col("len_a"), F.col("at_a"), F.col("len_b"), F.col("at_b"), threshold)
+    both = ("block", "n", "len", "upper", "times", "first", "last", "left_out")
+    side = lambda d, s: d.select("_k", "step", "gram", *[F.col(c).alias(f"{c}_{s}") for c in both])
     ordered = (F.col("block_a") == F.col("block_b")) & (F.col("n_a") < F.col("n_b"))
     if days:
         gap = F.datediff("block_b", "block_a")
         ordered = ordered | ((gap >= 1) & (gap <= days))
-    pairs = side(left, "a").join(side(right, "b").hint("merge"), ["_k", "tok"]).where(fits & ordered & deep).select("n_a", "n_b").distinct()
+    # A sort-merge join is asked for: exploded grams outgrow the size Spark estimates for them.
+    met = side(left, "a").join(side(right, "b").hint("merge"), ["_k", "step", "gram"])
+    met = met.where(ordered & ~(F.col("upper_a") & F.col("upper_b")) & may_align("a", "b", threshold))
+    pair = ["n_a", "n_b", "len_a", "len_b", "left_out_a", "left_out_b"]
+    shared = met.groupBy(*pair, F.length("gram").alias("q")).agg(F.sum(F.least("times_a", "times_b")).alias("shared"))
+    least = need(F.col("len_a") + F.col("len_b"), F.col("q"), threshold) - F.greatest("left_out_a", "left_out_b")
+    return shared.where(F.col("shared") >= least).select("n_a", "n_b")
+
+
+def near_classes(classes: DataFrame, threshold: float = SIMILAR, days: int = 0) -> DataFrame:
+    """Pairs of distinct classes whose names reach ``threshold`` in at least one direction.
+
+    With ``days`` = 0 blocks must be equal; otherwise the block is a date and may differ by up
+    to ``days``: the earlier side is copied into its own and the next bucket of ``days + 1``
+    days, the later side stays in its own, so each pair meets once per shared gram.
+    """
+    numbered = classes.withColumn("n", F.monotonically_increasing_id())  # fixed: classes are durable
     names = lambda s: numbered.select(*[F.col(c).alias(f"{c}_{s}") for c in ("n", "block", "cid", "norm")])
-    full = pairs.join(names("a"), "n_a").join(names("b"), "n_b").drop("n_a", "n_b")
+    full = candidates(numbered, threshold, days).join(names("a"), "n_a").join(names("b"), "n_b").drop("n_a", "n_b")
     scored = full.withColumn("_s", both_ratios(F.col("norm_a"), F.col("norm_b"), threshold))
     return scored.withColumns({"sim_ab": F.col("_s.ab"), "sim_ba": F.col("_s.ba")}).drop("_s").where(F.greatest("sim_ab", "sim_ba") >= threshold)
 

@@ -1,6 +1,7 @@
 """Entity resolution against a plain statement of its rule on small tables."""
 
 import datetime as dt
+import math
 import random
 from difflib import SequenceMatcher
 
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from almanack.functions.similarity import name_tokens, norm_name, sequence_ratio, shared_bigrams
+from almanack.functions.similarity import name_grams, norm_name, sequence_ratio, shared_grams
 from almanack.operators import resolve as r
 
 SCHEMA = (
@@ -197,27 +198,55 @@ def test_news_matching_edges(spark):
 
 
 def meet(a, b, threshold, common):
-    """Some shared token whose places leave room for enough shared bigrams."""
-    x, y = dict(name_tokens(a, threshold, common)), dict(name_tokens(b, threshold, common))
-    need = shared_bigrams(len(a) + len(b), threshold)
-    return any(x[t] < 0 or min(len(a) - 1 - x[t], len(b) - 1 - y[t]) >= need for t in x.keys() & y.keys())
-
-
-@settings(max_examples=150, deadline=None)
-@given(st.text("abcde", max_size=14), st.text("abcde", max_size=14), st.sampled_from([0.7, 0.8, 0.85, 0.95]))
-def test_token_prefixes_meet(a, b, threshold):
-    if sequence_ratio(a, b) >= threshold or sequence_ratio(b, a) >= threshold:
-        common = {"ab": 3, "bc": 2}
-        assert meet(a, b, threshold, common)
+    """The candidate rule in plain terms: shared grams that may align, counted, against the need."""
+    x = {e[:3]: e[3:] for e in name_grams(a, threshold, common)}
+    y = {e[:3]: e[3:] for e in name_grams(b, threshold, common)}
+    total, longer = len(a) + len(b), len(b) - len(a)
+    unmatched = total - 2 * math.ceil(threshold * total / 2 - 1e-9)
+    shared, spare, width = 0, 0, 1
+    for (step, up, gram), (times, first, last, left) in x.items():
+        for low in (False, True):
+            other = y.get((step, low, gram))
+            if other and not (up and low) and 2 * (other[1] - last) <= longer + unmatched and 2 * (other[2] - first) >= longer - unmatched:
+                shared, spare, width = shared + min(times, other[0]), max(left, other[3]), len(gram)
+    return abs(longer) <= unmatched and shared > 0 and shared >= shared_grams(total, width, threshold) - spare
+
+
+def check(a, b, threshold, common):
+    if a != b and max(sequence_ratio(a, b), sequence_ratio(b, a)) >= threshold:
+        assert meet(a, b, threshold, common) and meet(b, a, threshold, common)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcde", max_size=14), st.text("abcde", max_size=14), st.sampled_from([0.6, 0.7, 0.8, 0.85, 0.95]))
+def test_similar_names_are_candidates(a, b, threshold):
+    check(a, b, threshold, {"ab": 3, "bc": 2})
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("abcdefgh", min_size=1, max_size=90), st.lists(st.tuples(st.integers(0, 89), st.sampled_from(["", "a", "bc", "xyz"])), max_size=9), st.sampled_from([0.8, 0.85, 0.9, 0.95]))
+def test_edited_names_are_candidates(a, edits, threshold):
+    b = list(a)
+    for i, ch in edits:
+        b[i % len(b)] = ch
+    check(a, "".join(b), threshold, {"ab": 3, "abc": 2, "abcd": 9, "a": 1})
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text("ab", min_size=1, max_size=30), st.lists(st.tuples(st.integers(0, 29), st.sampled_from("abc")), max_size=5), st.sampled_from([0.8, 0.85]))
-def test_token_prefixes_meet_for_edited_names(a, edits, threshold):
-    b = list(a)
-    for i, ch in edits:
-        if b:
-            b[i % len(b)] = ch
-    b = "".join(b)
-    if max(sequence_ratio(a, b), sequence_ratio(b, a)) >= threshold:
-        assert meet(a, b, threshold, {})
+@given(st.integers(1, 60), st.integers(0, 12), st.sampled_from(["ab", "a", "abc"]), st.sampled_from([0.8, 0.85, 0.9]))
+def test_repeating_names_are_candidates(n, more, unit, threshold):
+    check(unit * n, unit * n + unit[:1] * more, threshold, {})
+    check(unit * n + "z" * more, "z" * more + unit * n, threshold, {unit[:2]: 5})
+
+
+def test_long_unlike_names_are_no_candidates(spark):
+    """Names over one set of syllables share many grams, but not enough of them in place."""
+    rng = random.Random(8)
+    syllables = [a + b + c for a in "tnrskm" for b in "aeio" for c in ["", "n", "l", "sh"]]
+    names = ["".join(rng.choice(syllables) for _ in range(rng.randrange(15, 50))) for _ in range(150)]
+    names += [n[:30] + "q" + n[31:] for n in names[:10]]
+    rows = [(i, n, dt.datetime(2024, 1, 1)) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "id long, name_ja string, start_date timestamp_ntz")
+    classes = r.name_classes(df, F.to_date("start_date")).withColumn("n", F.monotonically_increasing_id())
+    assert 10 <= r.candidates(classes, 0.85).count() < 1000  # of 12,720 pairs
+    assert r.near_classes(classes.drop("n"), 0.85).count() == 10
