@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanack.functions.base import char_grams, has_text, instant
+from almanack.functions.base import has_text, instant
 from almanack.functions.titles import bracketed, report_fragment
 from almanack.functions.urls import host_or_raw
 from almanack.session import durable
@@ -164,51 +167,102 @@ def not_merged(df: DataFrame, merged: DataFrame, url: str = "source_url", urls:
     return df.join(seen, url, "left_anti")
 
 
-# Gram length of the substring join. Terms whose literal runs are all shorter (wildcards between
-# single characters) are joined on the source alone.
-GRAM = 3
+# Text of a source's terms that one automaton holds, and of its names that one task streams past it.
+TERM_BYTES = 2 << 20
+NAME_BYTES = 16 << 20
+# Up to so many sources (a short row each) are broadcast; beyond, Spark picks the join.
+FEW_SOURCES = 100_000
 
+HITS = "source_name string, term string, id {id}, is_report boolean"
 
-def _hit(name: Column, term: Column) -> Column:
-    """Whether ``name`` contains ``term``, in which % and _ are wildcards; linear in the name.
 
-    Each piece is found leftmost in turn, in atomic groups. Quoting is split at every ``\\E``,
-    so no term leaves it.
+def _pieces(term: str) -> list[str]:
+    return [p for p in term.split("%") if p]
+
+
+def _contains(name: str, pieces: list[re.Pattern]) -> bool:
+    """Whether the pieces stand in ``name`` in turn, each found leftmost after the one before."""
+    at = 0
+    for p in pieces:
+        found = p.search(name, at)
+        if not found:
+            return False
+        at = found.end()
+    return True
+
+
+class TermIndex:
+    """All terms that a name contains, in one pass over the name.
+
+    In a term, % stands for any text and _ for any character. A term is looked up by its longest
+    run without them; one that has wildcards is then tested in full, and one without such a run
+    is tested on every name.
     """
-    pieces = F.filter(F.split(term, "%+"), lambda x: x != "")
-    safe = lambda x: F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    quoted = lambda x: F.concat(F.lit("(?>.*?\\Q"), F.replace(safe(x), F.lit("_"), F.lit("\\E.\\Q")), F.lit("\\E)"))
-    pattern = F.concat(F.lit("(?s)^"), F.array_join(F.transform(pieces, quoted), ""))
-    return F.when(term.rlike("[%_]"), F.regexp_like(name, pattern)).otherwise(name.contains(term))
+
+    def __init__(self, terms: list[str]):
+        self.tests, self.loose = {}, []
+        runs: dict[str, list[int]] = {}
+        for k, term in enumerate(terms):
+            run = max(re.split("[%_]", term), key=len)
+            if run != term:
+                self.tests[k] = [re.compile("(?s)" + "".join("." if c == "_" else re.escape(c) for c in p)) for p in _pieces(term)]
+            if run:
+                runs.setdefault(run, []).append(k)
+            else:
+                self.loose.append(k)
+        self.automaton = ahocorasick.Automaton()
+        for run, ks in runs.items():
+            self.automaton.add_word(run, ks)
+        if runs:
+            self.automaton.make_automaton()
+
+    def found(self, name: str) -> set[int]:
+        hit = {k for _, ks in self.automaton.iter(name) for k in ks} if len(self.automaton) else set()
+        hit.update(self.loose)
+        return {k for k in hit if k not in self.tests or _contains(name, self.tests[k])}
 
 
 def _substring_hits(terms: DataFrame, events: DataFrame, first: int) -> DataFrame:
     """For each (source_name, term): the ``first`` smallest event ids whose name contains it.
 
-    A term is looked up by the rarest of its grams. Names give each of their grams once, and only
-    grams that some term of the source has go on: the distinct grams of terms are joined to
-    the names' grams before anything is counted. A term one of whose grams no name has is out.
-    Terms are distinct, so copies of a report share one lookup; only ids travel with grams, and
-    candidates meet their name once, for the exact test.
+    The terms of a source make one automaton for every ``TERM_BYTES`` of them, and its names, dealt
+    into stretches of ``NAME_BYTES``, are streamed past each of these once. A task hands on a
+    term's first ids only, so a term that stands in every name gives ``first`` rows per stretch.
     """
-    names = events.where(F.col("name_ja") != "").select("source_name", "id", "is_report", F.lower("name_ja").alias("_name"))
-    runs = F.filter(F.split("term", "[%_]"), lambda x: F.length(x) >= GRAM)
-    grams = F.array_distinct(F.flatten(F.transform(runs, lambda x: char_grams(x, GRAM))))
-    keyed = durable(terms.withColumn("_grams", grams))
-    wanted = keyed.select("source_name", F.explode("_grams").alias("_gram")).distinct()
-    seen = durable(
-        names.select("source_name", "id", F.explode(F.array_distinct(char_grams(F.col("_name"), GRAM))).alias("_gram"))
-        .join(wanted, ["source_name", "_gram"])
-    )
-    counts = seen.groupBy("source_name", "_gram").agg(F.count(F.lit(1)).alias("_n"))
-    held = keyed.select("source_name", "term", F.size("_grams").alias("_size"), F.explode("_grams").alias("_gram")).join(counts, ["source_name", "_gram"])
-    best = held.groupBy("source_name", "term").agg(
-        F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.count(F.lit(1)).alias("_found"), F.first("_size").alias("_size")
-    ).where("_found = _size")
-    pairs = seen.join(best.select("source_name", "term", "_gram"), ["source_name", "_gram"]).select("source_name", "term", "id")
-    short = keyed.where(F.size("_grams") == 0).select("source_name", "term")
-    pairs = pairs.unionByName(names.select("source_name", "id").join(short, "source_name").select("source_name", "term", "id"))
-    hits = pairs.join(names.drop("source_name"), "id").where(_hit(F.col("_name"), F.col("term")))
+    names = events.where((F.col("name_ja") != "") & F.col("source_name").isNotNull()).select("source_name", "id", "is_report", F.lower("name_ja").alias("name"))
+    known = terms.where("source_name IS NOT NULL")
+    parts = lambda total, most: F.ceil(F.sum(F.octet_length(total)) / F.lit(most)).cast("int")
+    cut = known.groupBy("source_name").agg(F.greatest(parts("term", TERM_BYTES), F.lit(1)).alias("shards"))
+    long = names.groupBy("source_name").agg(parts("name", NAME_BYTES).alias("stretches"))
+    sizes = durable(cut.join(long, "source_name"))
+    if sizes.count() <= FEW_SOURCES:
+        sizes = F.broadcast(sizes)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    piece = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    left = known.join(sizes, "source_name").select("source_name", "term", piece("term", F.col("shards")).alias("shard"), every(F.col("stretches")).alias("stretch"))
+    right = names.join(sizes, "source_name").select(*names.columns, piece("id", F.col("stretches")).alias("stretch"), every(F.col("shards")).alias("shard"))
+
+    def look_up(held: pa.Table, streamed: pa.Table) -> pa.Table:
+        texts = held.column("term").to_pylist()
+        found: list[list[int]] = [[] for _ in texts]
+        streamed = streamed.sort_by("id")
+        if texts and streamed.num_rows:
+            index = TermIndex(texts)
+            for row, name in enumerate(streamed.column("name").to_pylist()):
+                for k in index.found(name):
+                    if len(found[k]) < first:
+                        found[k].append(row)
+        terms_at = pa.array([k for k, rows in enumerate(found) for _ in rows], pa.int64())
+        names_at = pa.array([row for rows in found for row in rows], pa.int64())
+        return pa.table({
+            "source_name": streamed.column("source_name").take(names_at), "term": held.column("term").take(terms_at),
+            "id": streamed.column("id").take(names_at), "is_report": streamed.column("is_report").take(names_at),
+        })
+
+    by = ["source_name", "shard", "stretch"]
+    kind = dict(events.dtypes)["id"]
+    own = lambda d: d.toDF(*d.columns).groupBy(*by)  # both sides may stem from one table
+    hits = own(left).cogroup(own(right)).applyInArrow(look_up, HITS.format(id=kind))
     w = Window.partitionBy("source_name", "term").orderBy("id")
     return hits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= first)
 
@@ -227,7 +281,8 @@ def find_parent(reports: DataFrame, events: DataFrame, first: int = 10) -> DataF
         "id", "source_name",
         F.posexplode(F.array("t1", "t2")).alias("strategy", "term"),
     ).where(F.col("term").isNotNull())
-    terms = long.select("source_name", "term").distinct()
+    long = durable(long)
+    terms = durable(long.select("source_name", "term").distinct())
     parent = (
         _substring_hits(terms, ev, first)
         .where(~F.col("is_report"))
