@@ -75,6 +75,13 @@ def _(c):
     return r.assign_primary(written(c), DAY(), ranks=RANKS)
 
 
+@query("c4_written_rows", f"""WITH RECURSIVE {SCAN_SQL}, a AS (SELECT x.id, y.id AS absorbed_by FROM u x JOIN u y ON x.day = y.day AND y.k = x.by_k),
+ n AS (SELECT primary_id AS id, count(*) AS n FROM m GROUP BY 1)
+SELECT u.id, a.absorbed_by, CAST(coalesce(n.n, 0) AS BIGINT) AS secondaries, u.id IN (SELECT secondary_id FROM m) AS lost FROM u LEFT JOIN a ON a.id = u.id LEFT JOIN n ON n.id = u.id""")
+def _(c):
+    return r.decide(written(c), DAY(), ranks=RANKS).rows()
+
+
 @query("e1_written_merge", f"""
 WITH RECURSIVE {SCAN_SQL}, f AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'off' || CAST(id AS STRING) END AS official, 'text of ' || CAST(id AS STRING) || '.' AS text FROM w),
  s AS (SELECT m.primary_id AS id, count(*) AS n, first(f.official ORDER BY f.start, f.id) FILTER (f.official IS NOT NULL) AS official,

@@ -30,6 +30,23 @@ def number_rows(df: DataFrame, order: Sequence, name: str = "pos", start: int =
     )
 
 
+def running_sum(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of the same key up to and with each row, in ``order``.
+
+    Rows are range-partitioned by key and order, so a frequent key is split between tasks. A window
+    inside each range gives the sums so far, and a second one over one total per range and key
+    brings what earlier ranges held.
+    """
+    fixed = durable(df.repartitionByRange(*key, *order).withColumn("_part", F.spark_partition_id()))
+    totals = fixed.groupBy("_part", *key).agg(F.sum(value).alias("_total"))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.withColumn("_carried", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
+    inside = Window.partitionBy("_part", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(f"_c.{k}").eqNullSafe(F.col(f"_f.{k}")) for k in ("_part", *key)]
+    summed = fixed.withColumn("_inside", F.sum(value).over(inside)).alias("_f").join(carried.alias("_c"), same)
+    return summed.select("_f.*", "_c._carried").withColumn(name, F.col("_inside") + F.col("_carried")).drop("_inside", "_carried", "_part")
+
+
 def batches(ids: DataFrame, order: Sequence, size: int = 500) -> DataFrame:
     """Recipient rows with a batch number; every batch but the last has ``size`` rows."""
     return number_rows(ids, order, "pos", start=0).withColumn(

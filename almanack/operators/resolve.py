@@ -7,6 +7,7 @@ similarity test works on classes, so copies cost one comparison however many the
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from almanack.functions.base import let
 from almanack.functions.places import venue_tokens
 from almanack.functions.similarity import both_ratios, gram_counts, grams_of, may_align, need, norm_name, widest
+from almanack.operators.numbering import running_sum
 from almanack.session import durable
 
 # Source ranks (lower wins), the rank of all others, and the news sources.
@@ -198,14 +200,60 @@ def _settle(edges: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def assign_primary(
+@dataclass
+class Decisions:
+    """Merge decisions in the size of the table, whatever the number of pairs.
+
+    ``absorbed`` has a row per absorbed row: id, by_id, by_ord, sim. ``links`` has a row per two
+    groups of rows, each of one class and source, between which the earlier, worse-ranked row
+    loses: every pair of them with ``ord`` (of the earlier) below ``until`` (of the later) is a
+    decision. ``members`` are the rows with their group, their order and their ``until``: their
+    own order or that of the row that absorbed them.
+    """
+
+    members: DataFrame
+    absorbed: DataFrame
+    links: DataFrame
+
+    def pairs(self) -> DataFrame:
+        """All decisions (primary_id, secondary_id, sim), listed: quadratic for copies in two sources."""
+        forward = self.absorbed.select(F.col("by_id").alias("primary_id"), F.col("id").alias("secondary_id"), "sim")
+        x = self.members.where("own_turn").select("block", F.col("cid").alias("cx"), F.col("src").alias("src_x"), F.col("id").alias("secondary_id"), "ord")
+        y = self.members.select("block", F.col("cid").alias("cy"), F.col("src").alias("src_y"), F.col("id").alias("primary_id"), "until")
+        met = self.links.join(x, ["block", "cx", "src_x"]).join(y, ["block", "cy", "src_y"]).where("ord < until")
+        return forward.unionByName(met.select("primary_id", "secondary_id", "sim"))
+
+    def rows(self) -> DataFrame:
+        """(id, absorbed_by, secondaries, lost) of every row, without listing pairs.
+
+        How many rows of a linked group come before a row's ``until`` is a running count over the
+        rows of both groups in order; it is taken over ranges of that order, not per group.
+        """
+        key = ["block", "cy", "src_y"]
+        y = self.members.select("block", F.col("cid").alias("cy"), F.col("src").alias("src_y"), F.col("until").alias("at"), "id", F.lit(0).alias("n"))
+        x = self.members.where("own_turn").select("block", F.col("cid").alias("cx"), F.col("src").alias("src_x"), "ord", "id")
+        losers = self.links.join(x, ["block", "cx", "src_x"])
+        before = losers.select(*key, F.col("ord").alias("at"), F.lit(None).cast(dict(y.dtypes)["id"]).alias("id"), F.lit(1).alias("n"))
+        reached = y.join(self.links.select(*key).distinct(), key, "left_semi")
+        # of equal places, the row that asks stands first: only earlier ones count
+        counted = running_sum(reached.unionByName(before), key, ["at", "n", "id"], "n", "secondaries").where("id IS NOT NULL").select("id", "secondaries")
+        taken = self.absorbed.groupBy(F.col("by_id").alias("id")).agg(F.count(F.lit(1)).alias("_taken"))
+        lost = losers.where("ord < last_until").select("id").unionByName(self.absorbed.select("id")).distinct().withColumn("lost", F.lit(True))
+        return (
+            self.members.select("id").join(self.absorbed.select("id", F.col("by_id").alias("absorbed_by")), "id", "left")
+            .join(counted, "id", "left").join(taken, "id", "left").join(lost, "id", "left")
+            .select("id", "absorbed_by", (F.coalesce("secondaries", F.lit(0)) + F.coalesce("_taken", F.lit(0))).alias("secondaries"), F.coalesce("lost", F.lit(False)).alias("lost"))
+        )
+
+
+def decide(
     df: DataFrame,
     block: Column,
     order: Sequence[str] = ("start_date",),
     ranks: dict[str, int] | None = None,
     threshold: float = SIMILAR,
-) -> DataFrame:
-    """Merge decisions (primary_id, secondary_id, sim), as a sequential scan in order makes them.
+) -> Decisions:
+    """Merge decisions as a sequential scan in order makes them, kept by groups of rows.
 
     The scan visits rows by (start, id); a row already absorbed is skipped, otherwise it meets
     every later similar row of another source, and the lower rank (the earlier row on a tie)
@@ -233,15 +281,28 @@ def assign_primary(
             F.min("ord_x").alias("by_ord"), F.min_by("id_x", "ord_x").alias("by_id"), F.min_by("sim", "ord_x").alias("sim")
         )
     )
-    forward = absorbed.select(F.col("by_id").alias("primary_id"), F.col("id").alias("secondary_id"), "sim")
-    own_turn = members.join(absorbed.select("id"), "id", "left_anti")
-    later = members.join(absorbed.select("id", "by_ord"), "id", "left")
-    reverse = _meet(directed, own_turn, later, F.col("rank_x") > F.col("rank_y")).where(
-        F.col("by_ord_y").isNull() | (F.col("by_ord_y") > F.col("ord_x"))
+    placed = durable(
+        members.join(absorbed.select("id", "by_ord"), "id", "left")
+        .withColumn("own_turn", F.col("by_ord").isNull()).withColumn("until", F.coalesce("by_ord", "ord")).drop("by_ord")
     )
-    return forward.unionByName(
-        reverse.select(F.col("id_y").alias("primary_id"), F.col("id_x").alias("secondary_id"), "sim")
+    groups = placed.groupBy("block", "cid", "src", "rank").agg(F.min(F.when(F.col("own_turn"), F.col("ord"))).alias("first"), F.max("until").alias("last"))
+    side = lambda s, bound: groups.select("block", F.col("cid").alias(f"c{s}"), F.col("src").alias(f"src_{s}"), F.col("rank").alias(f"rank_{s}"), bound)
+    links = (
+        directed.join(side("x", F.col("first").alias("first_ord")), ["block", "cx"]).join(side("y", F.col("last").alias("last_until")), ["block", "cy"])
+        .where("rank_x > rank_y AND first_ord < last_until")
     )
+    return Decisions(placed, absorbed, durable(links.select("block", "cx", "src_x", "cy", "src_y", "sim", "first_ord", "last_until")))
+
+
+def assign_primary(
+    df: DataFrame,
+    block: Column,
+    order: Sequence[str] = ("start_date",),
+    ranks: dict[str, int] | None = None,
+    threshold: float = SIMILAR,
+) -> DataFrame:
+    """The decisions of :func:`decide` as pairs (primary_id, secondary_id, sim)."""
+    return decide(df, block, order, ranks, threshold).pairs()
 
 
 # Levels of the day grid used by the interval join: blocks of 1, 2, 4, ... 256 days. Longer

@@ -68,6 +68,32 @@ def test_primary_choice_matches_sequential_scan(spark, seed, n):
     assert got == want and got
 
 
+@pytest.mark.parametrize("seed,n,days", [(1, 60, 3), (5, 200, 1)])
+def test_rows_say_what_the_pairs_say(spark, seed, n, days):
+    df, rows = table(spark, seed, n, days=days)
+    want = scan(rows, norms(spark, rows), RANKS, 0.85)
+    got = r.decide(df, F.to_date("start_date"), ranks=RANKS).rows().collect()
+    assert {x["id"] for x in got} == {x[0] for x in rows if x[4] is not None} and len(got) == len(rows)
+    for x in got:
+        assert x["secondaries"] == sum(p == x["id"] for p, _ in want)
+        assert x["lost"] == any(s == x["id"] for _, s in want)
+        if x["absorbed_by"] is not None:
+            assert (x["absorbed_by"], x["id"]) in want
+
+
+def test_copies_in_two_sources_stay_in_linear_size(spark):
+    """5,000 rows of a source that lose to each of 5,000 later ones: 25 million decisions, one link."""
+    n = 5000
+    first = F.lit("2024-01-01").cast("timestamp_ntz")
+    df = spark.range(2 * n).select(
+        "id", F.when(F.col("id") < n, F.lit("z")).otherwise(F.lit("a")).alias("source_name"), F.lit("one name for all of them").alias("name_ja"),
+        (first + F.make_dt_interval(secs=F.col("id"))).alias("start_date"))
+    made = r.decide(df, F.to_date("start_date"), ranks=RANKS)
+    assert made.links.count() == 1 and made.absorbed.count() == 0
+    rows = made.rows()
+    assert rows.groupBy("secondaries", "lost").count().orderBy("lost").collect() == [(n, False, n), (0, True, n)]
+
+
 def test_primary_choice_with_one_hot_day_and_copies(spark):
     df, rows = table(spark, 9, 150, sources="abcdefgh", days=1)
     want = scan(rows, norms(spark, rows), RANKS, 0.85)
