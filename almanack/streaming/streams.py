@@ -4,24 +4,21 @@ The windowed streams keep one counter per key and window, so state grows with ke
 with rows. They emit closed windows only: a window is out once the watermark, the newest time
 seen less the delay, has passed its end, so the newest windows wait for later input.
 
-Table-keeping streams rewrite, per batch, the key buckets that the batch touches, in a folder
-named by the batch id, and then a manifest that says where each bucket's newest rows are. A
-replayed batch overwrites its own files and nothing else; readers follow complete manifests.
+Table-keeping streams merge each batch into a :class:`~almanack.streaming.kept.KeptTable`.
 """
 
 from __future__ import annotations
 
-import json
-import os
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanack.functions.tags import LANGUAGE_COMMANDS, parse_command
 from almanack.operators.aggregates import succeeded
 from almanack.operators.upsert import upsert, upsert_events
 from almanack.session import shared_path
+from almanack.streaming.kept import KeptTable as KeptTable
 
 
 def read_feed(spark: SparkSession, path: str, schema: str, per_trigger: int | None = None) -> DataFrame:
@@ -79,71 +76,6 @@ def run_append(stream: DataFrame, out: str, state: str) -> None:
     q.awaitTermination()
 
 
-class KeptTable:
-    """A table in key buckets; each version's manifest names the folder of every bucket's rows."""
-
-    def __init__(self, spark: SparkSession, root: str, schema: str, keys: Sequence[str], buckets: int = 64):
-        self.spark, self.root, self.schema, self.keys, self.buckets = spark, root, schema, list(keys), buckets
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        self._files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, *parts: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(os.path.join(self.root, *parts))
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-
-    def latest(self) -> int:
-        """The newest complete version, -1 if there is none."""
-        folder = self._path("manifests")
-        if not self._files.exists(folder):
-            return -1
-        return max([int(f.getPath().getName()) for f in self._files.listStatus(folder) if f.getPath().getName().isdigit()], default=-1)
-
-    def _manifest(self, version: int) -> dict[int, str]:
-        if version < 0:
-            return {}
-        stream = self._files.open(self._path("manifests", str(version)))
-        try:
-            text = bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-        return {int(k): v for k, v in json.loads(text).items()}
-
-    def read(self, version: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
-        """All rows of a version (the newest if none is named), or those of some buckets."""
-        manifest = self._manifest(self.latest() if version is None else version)
-        folders = [v for k, v in manifest.items() if buckets is None or k in buckets]
-        if not folders:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*(os.path.join(self.root, f) for f in folders))
-
-    def write(self, version: int, rows: DataFrame, touched: Sequence[int] | None = None) -> None:
-        """Make ``rows`` the content of ``touched`` buckets (of all if none are named).
-
-        Rows of a bucket are not brought into one task; the manifest comes last, by a rename.
-        """
-        folder = f"rows/{version}"
-        rows.withColumn("_bucket", self._bucket()).write.mode("overwrite").partitionBy("_bucket").parquet(os.path.join(self.root, folder))
-        here = {int(f.getPath().getName().split("=")[1]) for f in self._files.listStatus(self._path(folder)) if "=" in f.getPath().getName()}
-        before = {} if touched is None else {k: v for k, v in self._manifest(version - 1).items() if k not in touched}
-        manifest = before | {k: f"{folder}/_bucket={k}" for k in here}
-        target, draft = self._path("manifests", str(version)), self._path("manifests", f"_{version}")
-        out = self._files.create(draft, True)
-        try:
-            out.write(bytearray(json.dumps(manifest).encode()))
-        finally:
-            out.close()
-        if self._files.exists(target):
-            self._files.delete(target, False)
-        self._files.rename(draft, target)
-
-    def apply(self, version: int, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        """Write the version that ``merge(rows of touched buckets, batch)`` gives."""
-        touched = [r[0] for r in batch.select(self._bucket()).distinct().collect()]  # at most ``buckets``
-        self.write(version, merge(self.read(version - 1, touched), batch), touched)
-
-
 def run_versions(stream: DataFrame, table: KeptTable, merge: Callable[[DataFrame, DataFrame], DataFrame], state: str, first: int = 0) -> int:
     """Apply ``merge(old rows, batch)`` per micro-batch; returns the newest version of the table."""
     def step(batch: DataFrame, batch_id: int) -> None:
