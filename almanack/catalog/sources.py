@@ -10,6 +10,7 @@ from almanack.catalog.registry import query
 from almanack.session import shared_path
 from almanack.sources import feeds, sinks
 from almanack.sources.tables import SCHEMAS
+from almanack.streaming import stateful as sf
 from almanack.streaming import streams as st
 
 T = f"TIMESTAMP '{REF}'"
@@ -168,24 +169,59 @@ def _(c):
 LABELS = {"k1": "movie", "k2": "art", "k3": "tech"}
 
 
-@query("j3_stream_subscribers", """
+SUBSCRIBERS_SQL = """
 WITH b AS (SELECT user_id, start_date AS tm, id, event_type, item FROM ev), f AS (SELECT user_id, min(row(tm, id)) AS f FROM b WHERE event_type = 'signup' GROUP BY 1),
  l AS (SELECT b.*, row(tm, id) AS o FROM b JOIN f USING (user_id) WHERE row(tm, id) >= f.f)
 SELECT user_id, arg_max(CASE event_type WHEN 'signup' THEN 'active' ELSE 'blocked' END, o) FILTER (event_type IN ('signup', 'error')) AS status,
  arg_max(CASE WHEN event_type = 'view' THEN 'ja' ELSE CASE WHEN item < 50 THEN 'zh' ELSE 'en' END END, o) FILTER ((event_type = 'click' AND item < 90) OR (event_type = 'view' AND item < 30)) AS language,
- arg_max(CASE WHEN item < 60 THEN 'movie,art' ELSE 'tech' END, o) FILTER (event_type = 'purchase' AND item < 80) AS tags FROM l GROUP BY user_id""", "ev")
-def _(c):
+ arg_max(CASE WHEN item < 60 THEN 'movie,art' ELSE 'tech' END, o) FILTER (event_type = 'purchase' AND item < 80) AS tags FROM l GROUP BY user_id"""
+
+
+def chat(c):
+    """The events as what users send: follows, unfollows, postbacks, messages."""
     ev = live(c).events()
     k = F.col("item")
     kind = F.create_map(*[F.lit(x) for x in ("signup", "follow", "error", "unfollow", "click", "postback", "purchase", "message", "view", "message")])
     body = (F.when(F.col("event_type") == "click", F.when(k < 50, "lang:zh").when(k < 90, "lang:en").otherwise("lang:xx"))
             .when(F.col("event_type") == "purchase", F.when(k < 60, "k1, k2").when(k < 80, "k3").otherwise("??")).when(F.col("event_type") == "view", F.when(k < 30, "日本語").otherwise("hello")))
-    src = ev.select("user_id", "id", F.col("start_date").alias("at"), F.element_at(kind, F.col("event_type")).alias("kind"), body.alias("body"))
-    table = st.KeptTable(c.spark, shared_path(c.spark, "subscribers"), st.SUBSCRIBERS, ["user_id"])
-    last = st.stream_subscribers(src, table, LABELS, shared_path(c.spark, "state", "subscribers"))
+    return ev.select("user_id", "id", F.col("start_date").alias("at"), F.element_at(kind, F.col("event_type")).alias("kind"), body.alias("body"))
+
+
+def subscribers(c, run, name):
+    table = st.KeptTable(c.spark, shared_path(c.spark, name), st.SUBSCRIBERS, ["user_id"])
+    last = run(chat(c), table, LABELS, shared_path(c.spark, "state", name))
     return table.read(last).select("user_id", "status", "language", F.array_join("tags", ",").alias("tags"))
 
 
+@query("j3_stream_subscribers", SUBSCRIBERS_SQL, "ev")
+def _(c):
+    return subscribers(c, st.stream_subscribers, "subscribers")
+
+
+@query("j3_subscriber_state", SUBSCRIBERS_SQL, "ev")
+def _(c):
+    return subscribers(c, sf.stream_subscriber_state, "subscriber_state")
+
+
+@query("j2_rolling_popularity", """
+WITH d AS (SELECT unnest(generate_series(TIMESTAMP '2023-12-20', TIMESTAMP '2024-03-31', INTERVAL 1 DAY)) AS e)
+SELECT strftime(e, '%Y-%m-%d') AS e, event_id, count(*) AS view_count FROM d JOIN views ON viewed_at >= e - INTERVAL 30 DAYS AND viewed_at < e
+WHERE e <= (SELECT max(viewed_at) FROM views) - INTERVAL 1 DAY GROUP BY 1, 2""", "views")
+def _(c):
+    stream = sf.stream_rolling(timed(live(c).views(), "viewed_at"))
+    return st.drain(c.spark, stream, "rolling").select(F.date_format("end", "yyyy-MM-dd").alias("e"), "event_id", "view_count")
+
+
+@query("j5_silent_sources", """
+WITH r AS (SELECT event_type || '_' || CAST(user_id AS STRING) AS source, start_date AS ran_at FROM ev),
+ d AS (SELECT unnest(generate_series(TIMESTAMP '2023-12-20', TIMESTAMP '2024-03-31', INTERVAL 1 DAY)) AS e)
+SELECT strftime(d.e, '%Y-%m-%d') AS e, source, strftime(max(ran_at), '%Y-%m-%d %H:%M:%S') AS last_run FROM d JOIN r ON ran_at >= d.e - INTERVAL 7 DAYS AND ran_at < d.e
+WHERE d.e <= (SELECT max(ran_at) FROM r) - INTERVAL 1 HOUR GROUP BY d.e, source HAVING max(ran_at) < d.e - INTERVAL 24 HOURS""", "ev")
+def _(c):
+    runs = live(c).events().select(F.expr("event_type || '_' || CAST(user_id AS STRING)").alias("source"), F.col("start_date").cast("timestamp").alias("ran_at"))
+    return st.drain(c.spark, sf.stream_silent(runs), "silent").select(F.date_format("checked_at", "yyyy-MM-dd").alias("e"), "source", FMT("last_run").alias("last_run"))
+
+
 @query("j4_stream_ingest", f"""
 WITH {CLASSIFIED}, w AS (SELECT * FROM cl WHERE class IN ('new', 'forced'))
 SELECT source_name, source_id, CASE WHEN w.source_id IS NOT NULL THEN w.price ELSE e.price END AS price,

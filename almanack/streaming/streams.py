@@ -76,7 +76,7 @@ def run_append(stream: DataFrame, out: str, state: str) -> None:
     q.awaitTermination()
 
 
-def run_versions(stream: DataFrame, table: KeptTable, merge: Callable[[DataFrame, DataFrame], DataFrame], state: str, first: int = 0) -> int:
+def run_versions(stream: DataFrame, table: KeptTable, merge: Callable[[DataFrame, DataFrame], DataFrame], state: str, first: int = 0, mode: str = "append") -> int:
     """Apply ``merge(old rows, batch)`` per micro-batch; returns the newest version of the table."""
     def step(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
@@ -85,7 +85,7 @@ def run_versions(stream: DataFrame, table: KeptTable, merge: Callable[[DataFrame
         finally:
             batch.unpersist()
 
-    q = stream.writeStream.foreachBatch(step).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
     return table.latest()
 
