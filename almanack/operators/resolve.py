@@ -16,6 +16,7 @@ from almanack.functions.base import let
 from almanack.functions.places import venue_tokens
 from almanack.functions.similarity import both_ratios, gram_counts, grams_of, may_align, need, norm_name, widest
 from almanack.operators.numbering import running_sum
+from almanack.operators.segments import block, render, segments
 from almanack.session import durable
 
 # Source ranks (lower wins), the rank of all others, and the news sources.
@@ -413,17 +414,17 @@ def audit_pairs(df: DataFrame, days: int = 3, threshold: float = AUDIT_SIMILAR,
     return met.select("sim", "id_a", "id_b").orderBy(*best, "id_b").limit(k)
 
 
-# The block that a merged description adds.
-APPENDED = "\n\n---\n別来源補足 ({})\n{}"
-
-
 def append_desc(primary: Column, secondary: Column, label: Column) -> Column:
     """Primary text plus a labelled block, unless the secondary is empty or already contained."""
-    before, between, after = APPENDED.split("{}")
-    grown = F.concat(primary, F.lit(before), label, F.lit(between), secondary, F.lit(after))
+    grown = F.concat(primary, block(label, secondary))
     return F.when((secondary != "") & ~primary.contains(secondary), grown).otherwise(primary)
 
 
+# A primary with more different texts, or more text in bytes, than this is merged by segments.
+MANY_TEXTS = 64
+MUCH_TEXT = 1 << 20
+
+
 def apply_merge(events: DataFrame, pairs: DataFrame) -> DataFrame:
     """Write merge decisions into the table: URLs, official URL, text, status, activity.
 
@@ -432,7 +433,8 @@ def apply_merge(events: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Secondaries are reduced before they meet their primary: to the first of each URL and of each
     text (a later equal text would be contained already), combined before the shuffle. What a
-    primary's row gathers is its own value, a list of distinct URLs and of distinct texts.
+    primary's row gathers is its own value, a list of distinct URLs and of the texts it takes; of a
+    primary with many or long texts, :func:`~almanack.operators.segments.segments` finds these.
     """
     tidy = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
     urls = F.coalesce("secondary_source_urls", F.array().cast("array<string>"))
@@ -448,14 +450,17 @@ def apply_merge(events: DataFrame, pairs: DataFrame) -> DataFrame:
         F.min_by("official", F.when(F.col("official").isNotNull(), F.col("ord"))).alias("_official"), F.max("fresh").alias("_fresh"))
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ord", *c))), lambda x: x.dropFields("ord"))
     lists = marked.groupBy("id", "url").agg(F.min("ord").alias("ord")).groupBy("id").agg(in_order(["url"]).alias("_urls"))
-    texts = (
-        marked.where("fresh AND text <> ''").groupBy("id", "text").agg(F.min("ord").alias("ord"), F.min_by("label", "ord").alias("label"))
-        .groupBy("id").agg(in_order(["text", "label"]).alias("_texts"))
-    )
+    distinct = durable(marked.where("fresh AND text <> ''").groupBy("id", "text").agg(F.min("ord").alias("ord"), F.min_by("label", "ord").alias("label")))
+    large = durable(distinct.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).where((F.col("n") > MANY_TEXTS) | (F.col("size") > MUCH_TEXT)).select("id"))
+    texts = distinct.join(large, "id", "left_anti").groupBy("id").agg(in_order(["text", "label"]).alias("_texts"))
     lost = pairs.select(F.col("secondary_id").alias("id")).distinct().withColumn("_lost", F.lit(True))
     base = tidy("raw_description")
     text = F.aggregate(F.coalesce("_texts", F.array().cast("array<struct<text:string,label:string>>")), base, lambda acc, x: append_desc(acc, x["text"], x["label"]))
     primary = F.col("_urls").isNotNull()
+    if not large.isEmpty():
+        mine = events.select("id", base.alias("text"))
+        whole = whole.join(render(mine, segments(mine, distinct.join(large, "id", "left_semi"))).withColumnRenamed("text", "_rendered"), "id", "left")
+        text = F.coalesce("_rendered", text)
     return (
         events.join(whole, "id", "left").join(lists, "id", "left").join(texts, "id", "left").join(lost, "id", "left")
         .withColumns(
