@@ -14,7 +14,7 @@ from almanack.functions.localized import (
 )
 from almanack.functions.places import by_label
 from almanack.operators import filters as f
-from almanack.plans.listing import ListingSpec, facet_counts, listing, public_rows
+from almanack.plans.listing import ListingSpec, all_facets, facet_counts, listing, masked_facets, public_rows
 from almanack.sources.tables import extract_all, read_table
 
 GENERIC = ("東京", "東京都", "東 京", "Tokyo", "tokyo")
@@ -317,6 +317,36 @@ def _(c):
     return facet_counts(c.docs(), spec, REF)
 
 
+SWITCHES = {
+    "q": "contains(lower(raw_title), 'th')", "categories": "list_has_any(category, ['movie', 'tech', 'books_media'])",
+    "time_mode": "(start_date >= TIMESTAMP '2024-01-03' AND start_date <= TIMESTAMP '2024-02-20 23:59:59')", "paid": "is_paid = false",
+    "active": "is_active", "annotation": "annotation_status = 'annotated'", "source": "source_name IN ('src3')",
+}
+
+
+def facet_sql(facet, switch, value=None, rows="doc"):
+    kept = " AND ".join(f"coalesce({test}, false)" for name, test in SWITCHES.items() if name != switch)
+    return f"SELECT '{facet}' AS facet, CAST({value or facet} AS VARCHAR) AS value, count(*) AS n FROM {rows} WHERE {kept} GROUP BY ALL"
+
+
+@query("a6_all_facets", " UNION ALL ".join([
+    facet_sql("source_name", "source"), facet_sql("is_paid", "paid"), facet_sql("is_active", "active"), facet_sql("annotation_status", "annotation"),
+    facet_sql("category", "categories", "c", "(SELECT *, unnest(category) AS c FROM doc)")]), "doc")
+def _(c):
+    spec = ListingSpec(q="th", categories="movie,tech,books_media", time_mode="past", from_="2024-01-03", to="2024-02-20", paid="free", annotation="annotated", source="src3")
+    return all_facets(c.docs(), spec, REF)
+
+
+@query("a7_all_facets", """
+WITH r AS (SELECT status, CASE WHEN agent_category = 'peatix_organizer' THEN agent_category ELSE coalesce(source_type, 'other') END AS t FROM reg)
+SELECT 'source_type' AS facet, t AS value, count(*) AS n FROM r WHERE status = 'candidate' GROUP BY t
+UNION ALL SELECT 'status', status, count(*) FROM r WHERE t = 'other' GROUP BY status""", "reg")
+def _(c):
+    kind = f.effective_type()
+    tests = {"status": f.registry_status("candidate"), "type": kind == "other"}
+    return masked_facets(c.registry(), tests, {"source_type": (kind, "type"), "status": (F.col("status"), "status")})
+
+
 @query("h1_localised_values", """
 SELECT id, coalesce(nullif(name_zh,''), nullif(name_ja,''), nullif(name_zh,''), nullif(name_en,''), '（未命名）') AS name_for_zh,
  md5(coalesce(nullif(description_en,''), nullif(description_ja,''), nullif(description_zh,''))) AS description_for_en_md5,

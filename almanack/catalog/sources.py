@@ -8,7 +8,7 @@ from almanack.catalog.carriers import REF, Carriers
 from almanack.catalog.joins import CLASSIFIED, existing, incoming
 from almanack.catalog.registry import query
 from almanack.session import shared_path
-from almanack.sources import feeds, sinks
+from almanack.sources import feeds, pages, sinks, trees
 from almanack.sources.tables import SCHEMAS
 from almanack.streaming import stateful as sf
 from almanack.streaming import streams as st
@@ -41,6 +41,19 @@ def _(c):
     return sinks.verify_snapshot(c.spark, path, need)
 
 
+@query("s5_changed_rows", """
+SELECT o_orderkey, 'changed' AS change FROM orders WHERE o_orderkey % 997 = 5 AND o_orderkey % 1000 <> 7 UNION ALL SELECT o_orderkey, 'removed' FROM orders WHERE o_orderkey % 1000 = 7
+UNION ALL SELECT -o_orderkey, 'added' FROM orders WHERE o_orderkey % 3001 = 11 AND o_orderkey % 1000 <> 7""")
+def _(c):
+    before, after = shared_path(c.spark, "trees"), shared_path(c.spark, "trees")
+    rows = c.table("orders")
+    now = rows.where("o_orderkey % 1000 <> 7").withColumn("o_totalprice", F.expr("IF(o_orderkey % 997 = 5, o_totalprice + 1, o_totalprice)"))
+    now = now.unionByName(now.where("o_orderkey % 3001 = 11").withColumn("o_orderkey", -F.col("o_orderkey")))
+    trees.write_tree(rows, before, ["o_orderkey"])
+    trees.write_tree(now, after, ["o_orderkey"])
+    return trees.changed_rows(c.spark, before, after, ["o_orderkey"])
+
+
 @query("s6_impact", f"""
 WITH s AS (SELECT id, parent_event_id FROM doc WHERE NOT is_active OR created_at >= TIMESTAMP '2024-01-25 12:00:00' - INTERVAL 50 DAYS)
 SELECT (SELECT count(*) FROM s) AS events, (SELECT count(parent_event_id) FROM s) AS sub_events, (SELECT count(*) FROM labels WHERE toxic = 1 AND doc_id IN (SELECT id FROM s)) AS event_reports,
@@ -97,6 +110,17 @@ def _(c):
     return feeds.land_api_pages(c.spark, path).select("id", "title", "start_date")
 
 
+@query("s9_paged_extract", "SELECT event_id, event_type, user_id FROM events WHERE event_type IN ('view', 'click') AND user_id >= 20")
+def _(c):
+    path, rows = shared_path(c.spark, "pages"), c.table("events").select("event_id", "event_type", "user_id")
+    pages.land_pages(rows, path, ["event_id"])
+    # a full page and a short one of an earlier, longer extract, behind the short page
+    more = rows.where("event_id < 1200").withColumn("offset", F.when(F.col("event_id") < 1000, F.lit(90_000_000)).otherwise(F.lit(90_001_000)))
+    more.withColumn("rows", F.when(F.col("event_id") < 1000, F.lit(1000)).otherwise(F.lit(200))).write.mode("append").partitionBy("offset", "rows").json(path)
+    landed = pages.read_pages(c.spark, path, "event_id long, event_type string, user_id long")
+    return landed.where("event_type IN ('view', 'click') AND user_id >= 20")
+
+
 @query("s10_json_rows", "SELECT '{\"id\":' || CAST(id AS STRING) || ',\"source_name\":\"' || source_name || '\",\"is_active\":' || CAST(is_active AS STRING) || '}' AS row FROM ev", "ev")
 def _(c):
     return sinks.to_json_rows(c.events().select("id", "source_name", "is_active"))

@@ -66,6 +66,45 @@ def listing(df: DataFrame, spec: ListingSpec, ref) -> DataFrame:
     return shown.orderBy(F.asc_nulls_last("start_date"), "id")
 
 
+# Filters of a listing by switch; a switch at this value lets every row pass.
+OFF = {"q": "", "categories": "", "time_mode": "all", "paid": "", "region": "", "active": "all", "annotation": "", "source": ""}
+#: What each facet counts: its column (an array counts each of its values) and the switch it belongs to.
+FACETS = {
+    "source_name": "source", "category": "categories", "is_paid": "paid", "is_active": "active", "annotation_status": "annotation",
+}
+
+
+def switch_tests(spec: ListingSpec, ref) -> dict[str, Column]:
+    """The admin filter of every switch that is on, alone."""
+    alone = lambda name: replace(ListingSpec(**OFF, locale=spec.locale, from_=spec.from_, to=spec.to), **{name: getattr(spec, name)})
+    return {name: admin_predicate(alone(name), ref) for name, off in OFF.items() if getattr(spec, name) != off}
+
+
+def masked_facets(df: DataFrame, tests: dict[str, Column], facets: dict[str, tuple[Column, str]]) -> DataFrame:
+    """(facet, value, n): counts of all facets in one pass, each under every test but its own switch's.
+
+    A row's failed tests make a bit mask. A row that fails none counts in every facet, one that fails
+    a single test only in the facets of that switch, any other in none.
+    """
+    bit = {name: 1 << k for k, name in enumerate(tests)}
+    mask = F.lit(0)
+    for name, test in tests.items():
+        mask = mask + F.when(test, F.lit(0)).otherwise(F.lit(bit[name]))
+    fed = lambda switch: F.col("_mask").isin(0, bit.get(switch, 0))
+    values = {name: F.transform(c, lambda x: x.cast("string")) if many else F.array(c.cast("string"))
+              for name, (c, _) in facets.items() for many in [df.select(c.alias("c")).dtypes[0][1].startswith("array")]}
+    entry = lambda name: F.transform(values[name], lambda v: F.struct(F.lit(name).alias("facet"), v.alias("value")))
+    none = F.slice(entry(next(iter(facets))), 1, 0)
+    lists = [F.when(fed(switch), F.coalesce(entry(name), none)).otherwise(none) for name, (_, switch) in facets.items()]
+    marked = df.withColumn("_mask", mask).where(F.bit_count("_mask") <= 1)
+    return marked.select(F.explode(F.concat(*lists)).alias("e")).select("e.*").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def all_facets(df: DataFrame, spec: ListingSpec, ref, facets: dict[str, str] | None = None) -> DataFrame:
+    """Every facet of the admin listing, from one scan."""
+    return masked_facets(df, switch_tests(spec, ref), {c: (F.col(c), switch) for c, switch in (facets or FACETS).items()})
+
+
 def admin_predicate(spec: ListingSpec, ref) -> Column:
     """All admin filters as one predicate, so that facets can drop their own."""
     tests: list[Column] = []

@@ -6,7 +6,7 @@ import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanack.functions.base import instant
@@ -53,10 +53,18 @@ def impact(events: DataFrame, reports: DataFrame, corrections: DataFrame, key: s
     )
 
 
+def row_text(columns: Sequence[str]) -> Column:
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+
+
+def row_hash(columns: Sequence[str]) -> Column:
+    """60 bits of a row's digest, to be added up."""
+    return F.conv(F.substring(F.sha2(row_text(columns), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+
+
 def digest(df: DataFrame) -> DataFrame:
     """Row count, bytes and an order-free digest of a table."""
-    text = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-    h = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    text, h = row_text(df.columns), row_hash(df.columns)
     return df.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long").alias("bytes"),
@@ -110,13 +118,14 @@ def verify_snapshot(spark: SparkSession, path: str, required: Mapping[str, Seque
         lost = sorted(set(columns) - set(df.columns))
         if lost:
             fixed.append((name, "error", "missing columns: " + ", ".join(lost)))
-        m = known.where(F.col("table") == name).select(F.lit(name).alias("table"), F.col("row_count").alias("m_rows"), F.col("digest").alias("m_digest"))
-        now = digest(df).select(F.lit(name).alias("table"), "row_count", "digest")
+        m = known.where(F.col("table") == name).select(F.lit(name).alias("table"), F.col("row_count").alias("m_rows"), F.col("bytes").alias("m_bytes"), F.col("digest").alias("m_digest"))
+        now = digest(df).select(F.lit(name).alias("table"), "row_count", "bytes", "digest")
         both = now.join(m, "table", "left")
         tests = F.array_compact(
             F.array(
                 F.when(F.col("m_rows").isNull(), F.struct(F.lit("error").alias("level"), F.lit("not in manifest").alias("finding"))),
                 F.when(F.col("m_rows") != F.col("row_count"), F.struct(F.lit("error").alias("level"), F.lit("row count differs").alias("finding"))),
+                F.when(F.col("m_bytes") != F.col("bytes"), F.struct(F.lit("error").alias("level"), F.lit("byte count differs").alias("finding"))),
                 F.when(F.col("m_digest") != F.col("digest"), F.struct(F.lit("error").alias("level"), F.lit("digest differs").alias("finding"))),
                 F.when(F.col("row_count") == 0, F.struct(F.lit("warning").alias("level"), F.lit("empty table").alias("finding"))),
             )

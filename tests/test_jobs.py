@@ -125,7 +125,7 @@ def test_snapshot_findings(spark):
     spark.createDataFrame([(1, "a"), (2, "c")], "id int, v string").write.mode("overwrite").parquet(os.path.join(path, "z"))
     assert check(z=["id"]) == [("y", "warning", "empty table"), ("z", "error", "digest differs")]
     t.limit(1).write.mode("append").parquet(os.path.join(path, "x"))
-    assert check(x=["id"])[:2] == [("x", "error", "digest differs"), ("x", "error", "row count differs")]
+    assert check(x=["id"])[:3] == [("x", "error", "byte count differs"), ("x", "error", "digest differs"), ("x", "error", "row count differs")]
 
 
 def test_stream_ingest_replay(spark):
