@@ -76,6 +76,15 @@ def test_score_is_the_models(spark, docs):
         assert contexts[k].tolist() == contexts[len(classes) + k].tolist() == want
 
 
+def test_texts_are_scored_as_their_contexts_are():
+    rng = np.random.default_rng(6)
+    model = bilinear.Model.fresh(rng.integers(0, 50, bilinear.CLASSES))
+    texts = [rng.integers(0, bilinear.CLASSES, n).astype("<u2").tobytes() for n in (1, 3, 40, 2000)]
+    contexts, targets, doc = bilinear.contexts_of(texts)
+    want = np.bincount(doc, weights=model.log_probabilities(contexts, targets))
+    assert np.allclose(model.text_log_probabilities(texts, model.tables()), want, rtol=1e-4)
+
+
 def test_learns_order(spark):
     """Held-out text of a cyclic language scores far above its word counts, shuffled words don't."""
     cycle = [f"w{i}" for i in range(12)]
