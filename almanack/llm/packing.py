@@ -9,7 +9,9 @@ find their place by their rank among the pieces of equal length.
 
 from __future__ import annotations
 
+import base64
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,56 +22,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanack.llm.common import settle, slices
-from almanack.llm.words import pretokens
 
 CAPACITY = 2048
 END_OF_TEXT = 0
-#: Words a worker remembers with their ids; the memory is emptied when full, results don't change.
-REMEMBERED = 400_000
-
-PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
 # ---- tokens ---------------------------------------------------------------------------------
 
 
 class _Encoder:
-    """Ids of whole texts; a word is sent to the tokenizer when a worker first meets it."""
+    """Ids of whole texts as the tokenizer gives them, found by its ranks.
+
+    The ranks are the same vocabulary, and their library the faster one. A text that spells a special
+    token goes to the tokenizer itself, which gives it that token's id.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
+        with open(ranks, "rb") as lines:
+            known = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
+        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
             if any(s in text for s in self.special):
-                yield self._ids([text])[0]
-                continue
-            words = pretokens(text)
-            new = list({w for w in words if w not in self.known})
-            if new:
-                if len(self.known) + len(new) > REMEMBERED:
-                    self.known.clear()
-                    new = list(set(words))
-                self.known.update(zip(new, self._ids(new)))
-            yield b"".join(map(self.known.__getitem__, words))
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            else:
+                ids = self.fast.encode_ordinary(text)
+            yield np.asarray(ids, dtype="<u4").tobytes()
 
 
-_ENCODERS: dict[str, _Encoder] = {}
+_ENCODERS: dict[tuple[str, str], _Encoder] = {}
 
 
-def _encoder(path: str) -> _Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = _Encoder(path)
-    return _ENCODERS[path]
+def _encoder(path: str, ranks: str) -> _Encoder:
+    if (path, ranks) not in _ENCODERS:
+        _ENCODERS[path, ranks] = _Encoder(path, ranks)
+    return _ENCODERS[path, ranks]
 
 
 def cuts(n: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -81,30 +75,35 @@ def cuts(n: int, capacity: int) -> Iterator[tuple[int, int]]:
         yield at, capacity
 
 
-def token_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", capacity: int = CAPACITY, digests: bool = False
+) -> DataFrame:
     """One row per piece: its document's ids (and the end id 0) cut to at most ``capacity``.
 
     A null text counts as empty and gives the end id alone. ``ids`` holds little-endian unsigned
-    32-bit numbers. Rows with equal or null ``doc_id`` are documents of their own.
+    32-bit numbers; with ``digests`` their CRC-32 stands instead, as ``ids_crc32``. ``ranks`` must be
+    the vocabulary of ``tokenizer``. Rows with equal or null ``doc_id`` are documents of their own.
     """
-    path = public_tokenizers.path(tokenizer)
+    paths = public_tokenizers.path(tokenizer), public_tokenizers.path(ranks)
     end = np.asarray([END_OF_TEXT], dtype="<u4").tobytes()
+    last, kind, made = ("ids_crc32", pa.int64(), zlib.crc32) if digests else ("ids", pa.binary(), bytes)
 
     def run(batches):
-        encoder = _encoder(path)
+        encoder = _encoder(*paths)
         for batch in slices(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
                 ids += end
                 for piece, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
-                    rows.append((doc, piece, start, length, ids[4 * start : 4 * (start + length)]))
+                    rows.append((doc, piece, start, length, made(ids[4 * start : 4 * (start + length)])))
             if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), kind)
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", last])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    layout = f"doc_id long, piece int, start long, length long, {last} {'long' if digests else 'binary'}"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, layout)
 
 
 # ---- plan -----------------------------------------------------------------------------------
@@ -274,6 +273,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return placed.select(*pieces.columns, "_place.sequence_id", "_place.offset")
 
 
-def packed_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY) -> DataFrame:
-    """Every piece of every document with its ids and its place."""
-    return pack(token_pieces(docs, tokenizer, capacity), capacity)
+def packed_documents(docs: DataFrame, capacity: int = CAPACITY, **tokens) -> DataFrame:
+    """Every piece of every document with its ids and its place; ``tokens`` go to :func:`token_pieces`."""
+    return pack(token_pieces(docs, capacity=capacity, **tokens), capacity)

@@ -25,9 +25,7 @@ def hex64(bits) -> Column:
 
 @query
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"))
-    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack(digests)
+    return packing.packed_documents(table(spark, sf_dir, "documents"), digests=True)
 
 
 @query

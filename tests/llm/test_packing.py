@@ -67,6 +67,32 @@ def test_pieces_and_places(docs):
         assert at <= 64
 
 
+ODD = st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \t\n\r\x0b\x1c\x1f\x85\xa0\u3000\u200b\u2028éè漢字🎉\u0301²½'sdtm")), max_size=60)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(ODD, max_size=5))
+def test_ranks_give_the_tokenizers_ids(texts):
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    t = Tokenizer.from_file(paths[0])
+    found = packing._encoder(*paths).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_ranks_give_the_tokenizers_ids_on_documents(spark, sf):
+    """Every text of the small table, and words of a megabyte."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + ["ab" * 500_000, "é" * 300_000]
+    t = Tokenizer.from_file(paths[0])
+    for text, ids in zip(texts, packing._encoder(*paths).encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_digests_are_of_the_ids(docs):
+    whole = {(r.doc_id, r.piece, r.start, r.length, zlib.crc32(r.ids)) for r in packing.token_pieces(docs, capacity=50).collect()}
+    assert {tuple(r) for r in packing.token_pieces(docs, capacity=50, digests=True).collect()} == whole
+
+
 def test_special_token_text_is_as_the_tokenizer_has_it(spark):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     text = "before <|endoftext|> after"
