@@ -10,7 +10,7 @@ from almanack.functions.places import venue_tokens, venues_overlap
 from almanack.functions.similarity import norm_name, ratio
 from almanack.operators import resolve as r
 from almanack.plans.broadcast import broadcast
-from almanack.plans.daily import daily_batch, merge_decisions
+from almanack.plans.daily import daily_batch, merge_decisions, run_log
 
 RANKS = {"src0": 1, "src1": 2, "src2": 3, "src3": 3, "src4": 5}
 
@@ -218,3 +218,48 @@ def _(c):
     target, landed = d.where("lang IN ('en', 'fr')"), d.where("lang IN ('fr', 'de', 'es')")
     out = daily_batch(target, landed, "2024-01-25 12:00:00", ranks=RANKS, news_sources=["src18", "src19"])
     return out.select("id", "source_name", "is_active", "annotation_status", F.size("secondary_source_urls").alias("n_urls"))
+
+
+# The daily run over written names: every other order is stored, all are landed, a third of them annotated.
+DAY_NOW = "1997-01-25 12:00:00"
+PAYLOAD = "CASE o_orderkey % 6 WHEN 0 THEN '{\"name_ja\": \"N ' || CAST(o_orderkey AS STRING) || '\", \"category\": [\"movie\"], \"sub_events\": [{\"name_ja\": \"S\", \"start_date\": \"1998-01-01\"}]}' WHEN 1 THEN '{' END"
+
+
+def stored_written(c):
+    text = lambda *names: {n: F.lit(None).cast("string") for n in names}
+    return written(c).withColumns({
+        "raw_title": F.col("name_ja"), "end_date": F.col("start_date") + F.expr("INTERVAL 1 DAY"), "category": F.array(F.lit("art")), "is_paid": F.lit(False),
+        "original_language": F.lit("ja"), "parent_event_id": F.lit(None).cast("long"), "force_rescrape": F.lit(False),
+        **text("name_zh", "name_en", "description_ja", "description_zh", "description_en", "location_name", "location_address", "business_hours", "price_info", "selection_reason"),
+        "annotated_at": F.lit(None).cast("timestamp_ntz"), "scraped_at": F.lit(None).cast("timestamp_ntz")})
+
+
+# of the landed orders, a source lists each name once a day
+DAILY_SQL = SCAN_SQL.replace("w AS (SELECT o_orderkey", "w0 AS (SELECT o_orderkey").replace(
+    "FROM orders)", "FROM orders), w AS (SELECT * FROM w0 QUALIFY id % 2 = 0 OR min(id) OVER (PARTITION BY src, name, day) = id)")
+
+
+@query("daily_written", f"""
+WITH RECURSIVE {DAILY_SQL}, n AS (SELECT primary_id AS id, count(*) AS n FROM m GROUP BY 1),
+ a AS (SELECT w.id, w.src, w.start, w.name, w.id NOT IN (SELECT secondary_id FROM m) AS active, coalesce(n.n, 0) AS n, w.id % 6 AS k, CASE WHEN n.n > 0 OR w.id % 2 = 1 THEN 'pending' ELSE 'annotated' END AS status FROM w LEFT JOIN n USING (id)),
+ x AS (SELECT *, status = 'pending' AND k = 0 AS used, start + INTERVAL 1 DAY < TIMESTAMP '1997-01-24' AS over FROM a)
+SELECT src AS source_name, 's' || CAST(id AS STRING) AS source_id, id, CASE WHEN used THEN 'N ' || CAST(id AS STRING) ELSE name END AS name, active AND NOT over AS is_active,
+ CASE WHEN used THEN 'annotated' WHEN status = 'pending' AND k = 1 THEN 'error' ELSE status END AS status, CASE WHEN used THEN 'movie' ELSE 'art' END AS tags, CAST(n AS INT) AS n_urls, NULL::BIGINT AS parent FROM x
+UNION ALL SELECT src, 's' || CAST(id AS STRING) || '_sub1', NULL, 'S', true, 'annotated', 'movie', 0, id FROM x WHERE used""")
+def _(c):
+    rows = stored_written(c)
+    payloads = c.table("orders").selectExpr("o_orderkey AS id", f"{PAYLOAD} AS payload").where("payload IS NOT NULL")
+    out = daily_batch(rows.where("id % 2 = 0"), rows, DAY_NOW, ranks=RANKS, news_sources=[], annotations=payloads)
+    return out.select("source_name", "source_id", F.when(F.col("parent_event_id").isNull(), F.col("id")).alias("id"), F.col("name_ja").alias("name"), "is_active", F.col("annotation_status").alias("status"),
+                      F.array_join("category", ",").alias("tags"), F.coalesce(F.size("secondary_source_urls"), F.lit(0)).alias("n_urls"), F.col("parent_event_id").alias("parent"))
+
+
+@query("daily_run_log", """
+WITH a AS (SELECT 'src' || CAST(n_nationkey AS STRING) AS source, n_nationkey % 4 <> 1 AS ok, n_nationkey AS k FROM nation),
+ e AS (SELECT 'src' || CAST(o_custkey % 20 AS STRING) AS source, count(*) AS n FROM orders GROUP BY 1)
+SELECT source, CAST(CASE WHEN ok THEN coalesce(n, 0) ELSE 0 END AS BIGINT) AS events_processed, CAST(CASE WHEN ok AND k % 3 > 0 THEN k * 10 ELSE 0 END AS BIGINT) AS translated_chars, ok AS success, CAST(k AS BIGINT) AS duration_seconds FROM a LEFT JOIN e USING (source)""")
+def _(c):
+    landed = c.table("orders").selectExpr("o_orderkey AS id", "'src' || CAST(o_custkey % 20 AS STRING) AS source_name", "'s' || CAST(o_orderkey AS STRING) AS source_id", "'name ' || CAST(o_orderkey AS STRING) AS name_ja", "o_orderdate AS start_date")
+    landed = landed.unionByName(landed.where("id % 5 = 0"))  # listed twice by the site
+    attempts = c.table("nation").selectExpr("'src' || CAST(n_nationkey AS STRING) AS source", "n_nationkey % 4 <> 1 AS success", "n_nationkey + 0.7 AS duration_seconds", "CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey * 10 END AS translated_chars")
+    return run_log(landed, attempts, DAY_NOW).drop("ran_at")
