@@ -33,11 +33,11 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import itertools
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +60,7 @@ SEED = 20
 
 END = b""
 _LONGEST = 64
-_HELD = 400_000  # words a task counts before it hands them on
+_PIECE = 8 << 20  # bytes of text that are split at a time
 _BUFFER = 1 << 16  # tokens that are shuffled together
 _CHUNK = 4096
 _ROWS = 1024
@@ -85,45 +85,78 @@ def ending(word: bytes) -> str:
     return key(word).decode("utf-8", "replace")[-2:]
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, each token's place among them, each token's text) of a column of texts.
+
+    What :func:`tokens` gives, split and told apart by Arrow, so that only distinct words are ever objects.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    coded = split.flatten().cast(pa.binary()).dictionary_encode()
+    place = coded.indices.to_numpy()
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+    words = coded.dictionary
+    empty = np.flatnonzero(pc.binary_length(words).to_numpy() == 0)  # before leading white space
+    if len(empty):
+        whole = place != empty[0]
+        place, text = place[whole], text[whole]
+    return words, place, text
+
+
+def keys_of(words: pa.Array) -> pa.Array:
+    """:func:`key` of a column of words."""
+    long = pc.greater(pc.binary_length(words), _LONGEST)
+    if not pc.any(long).as_py():
+        return words
+    return pc.replace_with_mask(words, long, pa.array([key(w) for w in words.filter(long).to_pylist()], pa.binary()))
+
+
 # ---- counts ---------------------------------------------------------------------------------
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     kind = F.coalesce(fold(F.col("doc_id")), F.lit(-1)).cast("int")
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), kind.alias("fold"))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), kind.alias("fold"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c, seen): occurrences in training documents and in all, the end being the empty word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learnt, other = Counter(), Counter()
-
-        def rows() -> pa.RecordBatch:
-            words = list(learnt.keys() | other.keys())
-            c = [learnt[w] for w in words]
-            return pa.record_batch({
-                "word": pa.array([key(w) for w in words], pa.binary()), "c": pa.array(c, pa.int64()),
-                "seen": pa.array([a + other[w] for a, w in zip(c, words)], pa.int64()),
+        for piece in _joined(batches):
+            words, place, text = words_of(piece.column("text"))
+            learnt = ~np.isin(piece.column("fold").to_numpy(), (HELD_OUT, -1))
+            held = np.bincount(place, minlength=len(words))
+            c = np.bincount(place[learnt[text]], minlength=len(words))
+            met = np.flatnonzero(held)
+            words = keys_of(words.take(pa.array(met)))
+            yield pa.record_batch({
+                "word": pa.concat_arrays([words, pa.array([END], pa.binary())]),
+                "c": np.append(c[met], learnt.sum()), "seen": np.append(held[met], len(learnt)),
             })
 
-        for piece in slices(batches, "text"):
-            for text, kind in zip(piece.column("text").to_pylist(), piece.column("fold").to_pylist()):
-                held = learnt if kind not in (HELD_OUT, -1) else other
-                held.update(tokens(text))
-                held[END] += 1
-            if len(learnt) + len(other) > _HELD:
-                yield rows()
-                learnt.clear()
-                other.clear()
-        yield rows()
-
     return (
         _texts(docs).mapInArrow(count, "word binary, c long, seen long")
         .groupBy(F.col("word").cast("string").alias("word")).agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
     )
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, about ``_PIECE`` bytes of text at a time: small batches are put together, large ones cut."""
+    held, size = [], 0
+    for piece in slices(batches, "text", _PIECE):
+        held.append(piece)
+        size += piece.column("text").nbytes
+        if size >= _PIECE:
+            yield _one(held)
+            held, size = [], 0
+    if held:
+        yield _one(held)
+
+
+def _one(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.concat_batches(pieces) if len(pieces) > 1 else pieces[0]
+
+
 @dataclasses.dataclass
 class Lexicon:
     """Classes of words, the listed words' counts, and the mass of each class."""
@@ -184,20 +217,6 @@ ENCODED = (
 )
 
 
-def _lists(rows: list, kind: pa.DataType) -> pa.ListArray:
-    """Rows of values as lists; made flat, which is many times faster than row by row."""
-    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(list(itertools.chain.from_iterable(rows)), kind))
-
-
-class _Places(dict):
-    """Listed words' places; a word that isn't listed is noted and stands at -1."""
-
-    def __missing__(self, word: bytes) -> int:
-        self.rest.append(word)
-        return -1
-
-
 def encode(docs: DataFrame, words: Lexicon) -> DataFrame:
     """A row per document with its classes and what its listed words add to either score.
 
@@ -208,36 +227,36 @@ def encode(docs: DataFrame, words: Lexicon) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = sent.value
-        places = _Places(lex.words)
         logs = np.log10(lex.counts + 1.0)
         log_mass = np.where(np.arange(CLASSES) > SINGLES, np.log10(lex.mass), 0.0)
         inside = np.where(lex.classes > SINGLES, logs, 0.0)
-        for piece in slices(batches, "text"):
-            places.rest = []
-            split = [tokens(t) for t in piece.column("text").to_pylist()]
-            sizes = np.array([len(w) for w in split], np.int64)
-            at = np.fromiter(map(places.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
-            doc = np.repeat(np.arange(len(split)), sizes)
+        ends = lex.frequency[0]  # the end is a class of its own
+        for piece in _joined(batches):
+            n = piece.num_rows
+            words, place, doc = words_of(piece.column("text"))
+            names = words.to_pylist()
+            at = np.fromiter((lex.words.get(w, -1) for w in names), np.int64, len(names))
             listed = at >= 0
-            classes = np.empty(len(at), np.int64)
-            classes[listed] = lex.classes[at[listed]]
-            memo: dict[bytes, int] = {}
-            classes[~listed] = [memo[w] if w in memo else memo.setdefault(w, lex.class_of(w)) for w in places.rest]
-            add = lambda values, of: np.bincount(doc[of], weights=values, minlength=len(split)).astype(float)
-            ends = lex.frequency[0]  # the end is a class of its own
-            found = at[listed]
-            stops = np.cumsum(np.bincount(doc[~listed], minlength=len(split))).tolist()
-            rare = [Counter(places.rest[a:b]) for a, b in zip([0, *stops], stops)]
-            ids, cut = classes.astype("<u2"), np.concatenate([[0], np.cumsum(sizes)])
+            # of distinct words; what isn't listed counts later
+            of_class = np.where(listed, lex.classes[at], 0)
+            of_class[~listed] = [lex.class_of(w) for w in itertools.compress(names, ~listed)]
+            known = np.where(listed, lex.counts[at] > 0, False)
+            log = np.where(listed, logs[at], 0.0)
+            within = np.where(listed, inside[at], 0.0) - log_mass[of_class]
+            add = lambda values: np.bincount(doc, weights=values[place], minlength=n).astype(float)
+            sizes = np.bincount(doc, minlength=n)
+            ids, cut = of_class.astype("<u2")[place], np.concatenate([[0], np.cumsum(sizes)])
+            rest = ~listed[place]
+            pairs, times = np.unique(doc[rest] * max(len(names), 1) + place[rest], return_counts=True)
+            of_doc, of_word = np.divmod(pairs, max(len(names), 1))
+            offsets = pa.array(np.searchsorted(of_doc, np.arange(n + 1)).astype(np.int32))
             yield pa.record_batch({
                 "rid": piece.column("rid"), "doc_id": piece.column("doc_id"), "fold": piece.column("fold"),
-                "n_tokens": sizes + 1,
-                "n_known": add(lex.counts[found] > 0, listed).astype(np.int64) + int(ends > 0),
-                "log_counts": add(logs[found], listed) + np.log10(ends + 1),
-                "log_inside": add(inside[found], listed) - add(log_mass[classes], slice(None)),
+                "n_tokens": sizes + 1, "n_known": add(known).astype(np.int64) + int(ends > 0),
+                "log_counts": add(log) + np.log10(ends + 1), "log_inside": add(within),
                 "classes": pa.array([ids[a:b].tobytes() + b"\0\0" for a, b in zip(cut, cut[1:])], pa.binary()),
-                "rare": _lists([[key(w) for w in c] for c in rare], pa.binary()),
-                "times": _lists([c.values() for c in rare], pa.int32()),
+                "rare": pa.ListArray.from_arrays(offsets, keys_of(words.take(pa.array(of_word)))),
+                "times": pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
             })
 
     numbered = _texts(docs).select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "fold", "text")

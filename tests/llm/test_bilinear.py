@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,17 @@ def test_score_is_the_models(spark, docs):
         assert contexts[k].tolist() == contexts[len(classes) + k].tolist() == want
 
 
+def test_arrow_splits_as_the_contract():
+    texts = [t for _, t in ROWS] + ["a\x0bB\x0cc\r\n\td  e", " x", "x ", "İ É", "\x00 \x1c\x1d \x85", "W" * 70 + " y"]
+    words, place, doc = bilinear.words_of(pa.array(texts, pa.string()))
+    split = [[] for _ in texts]
+    for p, d in zip(place, doc):
+        split[d].append(words[int(p)].as_py())
+    assert split == [[w.encode() for w in WORD.findall(lower(t))] for t in texts]
+    assert split == [bilinear.tokens((t or "").encode()) for t in texts]
+    assert bilinear.keys_of(words).to_pylist() == [bilinear.key(w) for w in words.to_pylist()]
+
+
 def test_texts_are_scored_as_their_contexts_are():
     rng = np.random.default_rng(6)
     model = bilinear.Model.fresh(rng.integers(0, 50, bilinear.CLASSES))
