@@ -9,7 +9,13 @@ have it, is template too, inside articles as well; only a first heading stays. O
 slot with the most changing text is kept, with all of the article or main element that it stands
 in, or else all below it. Article and main elements alone decide where a host has too few pages
 for that, and on pages that lack the host's slot. Blocks inside menus, headers, footers, sidebars,
-notices, adverts, forms and comments, by element or by class word, belong to no slot.
+adverts, forms and comments belong to no slot: by element, or by a class, id or role that as a
+whole says so (``comment-list``, not ``comment-policy``). Names of notices, banners, related and
+social parts are doubtful: such a block is left out where the host's pages confirm it, by text
+that is always the same or that stands mostly in links, and kept otherwise.
+
+Elements nested deeper than ``DEPTH`` are told apart by a digest of what they stand in, so that a
+path's length is bounded; they are slots like any other, but count as next to, not below, each other.
 
 A host's vectors are kept as sums, so a host with very many pages needs no more room than one
 with few, and its pages are never brought together.
@@ -20,6 +26,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -33,7 +40,7 @@ from almanack.llm.common import settle, slices
 LEAST_PAGES = 3
 #: Hosts above which decisions are joined by a shuffle, not broadcast.
 MOST_BROADCAST = 20_000
-_DEPTH = 24
+DEPTH = 64
 
 _SCAN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -56,9 +63,16 @@ INLINE = set(
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = set("nav header footer aside form button head menu dialog input".split())
 MARKED = set(
-    "ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert "
-    "sidebar menu nav navbar navigation breadcrumb breadcrumbs header footer masthead comment comments disqus replies respond share sharing "
-    "social related recommended newsletter subscribe signup login popup modal overlay widget toolbar pager pagination".split()
+    "ad ads adv advert advertisement advertising adsense sponsor sponsored cookie cookies consent gdpr sidebar menu nav navbar navigation "
+    "breadcrumb breadcrumbs header footer masthead comment comments disqus replies respond share sharing newsletter subscribe signup login "
+    "popup modal toolbar pager pagination".split()
+)
+#: What the template of the host has to confirm.
+DOUBTFUL = set("notice notices alert banner social related recommended promo promotion overlay widget".split())
+#: What says where or how something stands, not what it is.
+PLACING = set(
+    "site page main top bottom left right primary secondary mobile list section area box container wrapper wrap block bar thread links "
+    "items item inner slot unit form holder panel column col row group".split()
 )
 ARTICLE = {"article", "main"}
 OWN_HEADER = {"header", "masthead"}
@@ -67,15 +81,27 @@ PAGE_PARTS = set("h1 nav header footer main".split())
 CLOSES_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li".split())
 
 
-def _marks(attributes: str, inside: bool = False) -> tuple[str, bool]:
-    """The element's class, id and role words as one name, and whether one of them marks boilerplate.
+def _says(name: list[str], what: set[str], also: set[str] = frozenset()) -> bool:
+    """Whether all words of a name tell what something is or where it stands, and one of them is of ``what``."""
+    return any(w in what for w in name) and all(w in what or w in also or w in PLACING or w.isdigit() for w in name)
+
+
+def _marks(attributes: str, inside: bool = False) -> tuple[str, bool, bool]:
+    """The element's class, id and role words as one name, whether it is boilerplate by them, and whether it may be.
 
     Inside an article a header is the article's own.
     """
-    words: list[str] = []
-    for m in _CLASS.finditer(attributes):
-        words += re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower())
-    return ".".join(w for w in words if w and not w.isdigit()), any(w in MARKED and not (inside and w in OWN_HEADER) for w in words)
+    names = [[w for w in re.split(r"[^a-z0-9]+", n) if w] for m in _CLASS.finditer(attributes) for n in (m[2] or m[3] or m[4] or "").lower().split()]
+    marked = any(_says(n, MARKED, DOUBTFUL) and not (inside and set(n) & OWN_HEADER) for n in names)
+    return ".".join(w for n in names for w in n if not w.isdigit()), marked, any(_says(n, DOUBTFUL) for n in names)
+
+
+class Block(NamedTuple):
+    path: str
+    inside: bool  # an article
+    linked: int  # characters that stand in links
+    doubtful: bool
+    text: str
 
 
 def _scan(page: str) -> Iterator[tuple[re.Match, int]]:
@@ -98,30 +124,33 @@ def _scan(page: str) -> Iterator[tuple[re.Match, int]]:
         yield m, at
 
 
-def parse(page: str) -> tuple[list[str], list[tuple[str, bool, str]]]:
-    """(tokens, blocks) of a page; a block is (path, inside an article, text).
+def parse(page: str) -> tuple[list[str], list[Block]]:
+    """(tokens, blocks) of a page.
 
     Never fails: unknown or unclosed tags are taken as they come, and a closing tag closes what
     is open above its element. Boilerplate left open ends where an article begins. A class word
     marks no element that holds parts of a page and more text than is outside of it.
     """
     tokens: list[str] = []
-    blocks: list[tuple[str, bool, str, int]] = []  # the last: the marked element around it, 0 for none
-    stack: list[tuple[str, str, bool, int]] = []  # name, path, inside an article, inside boilerplate: the marked element or -1
+    blocks: list[tuple[Block, int]] = []  # the last: the marked element around it, 0 for none
+    stack: list[tuple[str, str, bool, int, bool]] = []  # name, path, inside an article, inside boilerplate: the marked element or -1, doubtful
     holds = [False]  # for each marked element, whether it holds parts of a page
     held: list[str] = []
-    at = 0
+    at, linked, in_link = 0, 0, False
 
     def flush() -> None:
+        nonlocal linked
         if held:
-            _, path, inside, skipped = stack[-1] if stack else ("", "", False, 0)
+            _, path, inside, skipped, doubtful = stack[-1] if stack else ("", "", False, 0, False)
             if skipped >= 0 and (text := " ".join(entities.unescape("".join(held)).split())):
-                blocks.append((path, inside, text, skipped))
+                blocks.append((Block(path, inside, min(linked, len(text)), doubtful, text), skipped))
             held.clear()
+        linked = 0
 
     for m, end in _scan(page):
         if m.start() > at:
             held.append(page[at : m.start()])
+            linked += in_link * (m.start() - at)
         at = end
         name = (m["name"] or "").lower()
         if not name:
@@ -129,6 +158,8 @@ def parse(page: str) -> tuple[list[str], list[tuple[str, bool, str]]]:
         if name == "br":
             held.append(" ")
             continue
+        if name == "a":
+            in_link = not m["close"]
         if name in INLINE and name not in VOID:
             continue
         if name == "img" or name == "wbr":
@@ -149,9 +180,9 @@ def parse(page: str) -> tuple[list[str], list[tuple[str, bool, str]]]:
         if name in ARTICLE:
             while stack and stack[-1][3] and not stack[-1][2]:
                 stack.pop()
-        _, above, inside, skipped = stack[-1] if stack else ("", "", False, 0)
+        _, above, inside, skipped, doubtful = stack[-1] if stack else ("", "", False, 0, False)
         inside = inside or name in ARTICLE
-        words, marked = _marks(m["attributes"], inside)
+        words, marked, may_be = _marks(m["attributes"], inside)
         if skipped > 0 and name in PAGE_PARTS:
             holds[skipped] = True
         if name not in ARTICLE and name not in ("html", "body"):
@@ -160,16 +191,22 @@ def parse(page: str) -> tuple[list[str], list[tuple[str, bool, str]]]:
             elif marked:
                 holds.append(False)
                 skipped = len(holds) - 1
-        path = f"{above}/{name}{'.' + words if words else ''}" if len(stack) < _DEPTH else above
-        stack.append((name, path, inside, skipped))
+                doubtful = False
+            elif may_be:
+                doubtful = True
+        path = f"{above}/{name}{'.' + words if words else ''}"
+        if len(stack) >= DEPTH:
+            path = f"{stack[DEPTH - 1][1]}/#{_hash(above):016x}/{name}{'.' + words if words else ''}"
+        stack.append((name, path, inside, skipped, doubtful))
         tokens.append(path)
     held.append(page[at:])
+    linked += in_link * (len(page) - at)
     flush()
     chars = [0] * len(holds)
-    for *_, text, mark in blocks:
-        chars[mark] += len(text)
+    for block, mark in blocks:
+        chars[mark] += len(block.text)
     kept = {0} | {k for k in range(1, len(holds)) if holds[k] and chars[k] > chars[0]}
-    return tokens, [(path, inside, text) for path, inside, text, mark in blocks if mark in kept]
+    return tokens, [block for block, mark in blocks if mark in kept]
 
 
 def host_of(url: str | None) -> str:
@@ -212,12 +249,19 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t, n in counts.items():
                 add(host, "token", t, _hash(own, n), 0, 0)
             slots: dict[str, list] = {}
-            for path, inside, text in blocks:
+            doubts: dict[str, list[int]] = {}
+            for path, inside, linked, doubtful, text in blocks:
                 slot = slots.setdefault(("+" if inside else "-") + path, [0, []])
                 slot[0] += len(text)
                 slot[1].append(text)
+                if doubtful:
+                    doubt = doubts.setdefault(path, [0, 0])
+                    doubt[0] += len(text)
+                    doubt[1] += linked
             for path, (chars, texts) in slots.items():
                 add(host, "slot", path, 0, chars, _hash(*texts) >> 1)
+            for path, (chars, linked) in doubts.items():
+                add(host, "doubt", path, linked, chars, 0)  # the vector's sum counts linked characters
         keys = list(seen)
         sums = list(zip(*seen.values()))
         signed = [x - (1 << 64) if x >> 63 else x for x in sums[1]]
@@ -261,7 +305,9 @@ def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.max_by("token", F.struct(F.coalesce("framed", F.lit(False)), F.col("chars"), F.col("side") == "+", F.col("token"))).alias("container"),
     )
     constant = slots.join(hosts, "host").where((F.col("pages") >= LEAST_PAGES) & (2 * F.col("pages") >= F.col("all_pages")) & (F.col("least") == F.col("most")))
-    fixed = constant.where(~F.col("token").rlike(FIRST_HEADING)).groupBy("host").agg(F.collect_set("token").alias("fixed"))
+    linked = seen.where(F.col("kind") == "doubt").where((F.col("pages") >= LEAST_PAGES) & (2 * F.col("vector_s") >= F.col("chars")))
+    known = constant.where(~F.col("token").rlike(FIRST_HEADING)).select("host", "token").unionByName(linked.select("host", "token"))
+    fixed = known.groupBy("host").agg(F.collect_set("token").alias("fixed"))
     decided = best.join(hosts, "host").where((F.col("all_pages") >= LEAST_PAGES) | ~F.col("_article")).select("host", "container")
     decisions = decided.join(fixed, "host", "left")
     return template, decisions
@@ -282,17 +328,17 @@ def main_blocks(page: str, container: str | None, fixed: list[str] | None = None
     _, blocks = parse(page)
     if container is not None:
         same = set(fixed or ())
-        blocks = [b for b in blocks if b[0] not in same]
+        blocks = [b for b in blocks if b.path not in same]
         # a paragraph's siblings of another kind belong to the same slot, and so does the whole article
         if article := _ARTICLE_PATH.match(container):
             above = article[0]
         else:
             above = container.rsplit("/", 1)[0] if re.search(r"/(p|h[1-6]|li|pre|blockquote)[^/]*$", container) else container
-        if kept := [text for path, _, text in blocks if path == container or path.startswith(above + "/") or path == above]:
+        if kept := [b.text for b in blocks if b.path == container or b.path.startswith(above + "/") or b.path == above]:
             return kept
-    if any(inside for _, inside, _ in blocks):
-        return [text for _, inside, text in blocks if inside]
-    return [text for _, _, text in blocks]
+    if any(b.inside for b in blocks):
+        return [b.text for b in blocks if b.inside]
+    return [b.text for b in blocks]
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

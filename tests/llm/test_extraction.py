@@ -59,7 +59,7 @@ def test_template_classes(spark):
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='ad'>", "</div>", "<article>", "</article>", "<br>", "<b", "'", '"', ">", "<!--", "-->", "<script>", "</script>", "&amp", "x ", "<li>", "</nav>", "<nav>"]), max_size=30).map("".join))
 def test_parse_never_fails(page):
     _, blocks = extraction.parse(page)
-    assert all(t and t == " ".join(t.split()) for _, _, t in blocks)
+    assert all(b.text and b.text == " ".join(b.text.split()) and 0 <= b.linked <= len(b.text) for b in blocks)
 
 
 @pytest.mark.parametrize("page", ["<a " + "'" * 20_000, "<" * 20_000, "<p>" * 5_000, "<!--" * 5_000])
@@ -89,3 +89,90 @@ def test_class_words_take_no_headline_and_no_page():
 @pytest.mark.parametrize("raw", ["<svg viewBox='0 0 1 1'/>", "<object data='x' />", "<select>", "<object data='x'>", "<iframe src='x'>"])
 def test_raw_elements_without_an_end_take_no_text(raw):
     assert [t for *_, t in extraction.parse(f"<p>Before</p>{raw}<p>After</p><svg><text>Drawn</text></svg><p>Last</p><title>t")[1]] == ["Before", "After", "Last"]
+
+
+KEPT = ["<div class='social-policy'>{}</div>", "<div class='related-work'>{}</div>", "<section class='notice-period'>{}</section>", "<p class='alert'>{}</p>", "<p class='comment-quote'>{}</p>", "<div class='notice'>{}</div>", "<div class='has-sidebar'>{}</div>"]
+LEFT = ["<div class='ad'>{}</div>", "<div class='ad-slot'>{}</div>", "<ul class='comment-list'><li>{}</li></ul>", "<div class='cookie-banner'>{}</div>", "<div id='sidebar-right'>{}</div>", "<div class='share_links'>{}</div>"]
+
+
+@pytest.mark.parametrize("pages", [1, 2, 6])
+@pytest.mark.parametrize("marked", KEPT + LEFT)
+def test_marks_are_whole_names(spark, pages, marked):
+    """Text of its own under a name that only holds a boilerplate word stays, on hosts of any size."""
+    body = "<article><h1>Story {n}</h1><p>" + "Text of page {n}. " * 3 + "</p>" + marked.format("<p>A paragraph that only page {n} has</p>" if "<p " not in marked else "A paragraph that only page {n} has") + "</article>"
+    rows = [(n, f"http://m.example/{n}", FRAME.format(n=n, body=body.replace("{n}", str(n)))) for n in range(pages)]
+    own = "\nA paragraph that only page 0 has" if marked in KEPT else ""
+    assert texts(spark, rows)[0] == "Story 0\n" + " ".join(["Text of page 0."] * 3) + own
+
+
+def test_doubtful_marks_go_where_the_host_confirms_them(spark):
+    """Constant, or mostly links: template. Else article."""
+    body = (
+        "<article><h1>Story {n}</h1><div class='notice'>Always the same</div><p>Text of page {n}.</p>"
+        "<div class='related'><a href='/{n}'>Another story {n}</a> <a href='/x{n}'>and one more {n}</a></div><div class='banner'>Only {n} has this</div></article>"
+    )
+    rows = [(n, f"http://d.example/{n}", FRAME.format(n=n, body=body.replace("{n}", str(n)))) for n in range(5)]
+    assert texts(spark, rows)[3] == "Story 3\nText of page 3.\nOnly 3 has this"
+
+
+def test_deep_elements_are_slots_of_their_own(spark):
+    """Below the depth limit a constant slot goes and a changing one next to it stays."""
+    deep = lambda x: "<div>" * 90 + x + "</div>" * 90
+    rows = [(n, f"http://deep.example/{n}", "<article><h1>Head {n}</h1>".replace("{n}", str(n)) + deep(f"<p>Own text {n}</p><section>Same</section>") + "</article>") for n in range(4)]
+    assert texts(spark, rows)[1] == "Head 1\nOwn text 1"
+    tokens, _ = extraction.parse(deep("<p>x</p>"))
+    assert len(set(tokens)) == len(tokens) and max(map(len, tokens)) < 600
+
+
+def plain_decisions(pages):
+    """Container and template slots of one host, with every page's slots at hand."""
+    parsed = [extraction.parse(html) for _, html in pages]
+    vectors = {}
+    for k, (tokens, _) in enumerate(parsed):
+        for t in tokens:
+            vectors.setdefault(t, [0] * len(pages))[k] += 1
+    classes = {}
+    for t, v in vectors.items():
+        classes.setdefault(tuple(v), set()).add(t)
+    template = {t for v, ts in classes.items() if len(ts) > 1 and 2 * sum(map(bool, v)) >= len(pages) for t in ts} if len(pages) >= 3 else set()
+    slots, doubts = {}, {}
+    for k, (_, blocks) in enumerate(parsed):
+        for b in blocks:
+            slots.setdefault((b.path, b.inside), {}).setdefault(k, []).append(b.text)
+            if b.doubtful:
+                d = doubts.setdefault(b.path, [set(), 0, 0])
+                d[0].add(k)
+                d[1] += len(b.text)
+                d[2] += b.linked
+    same = lambda by: len({tuple(x) for x in by.values()}) == 1
+    changing = {k: by for k, by in slots.items() if len(by) < 3 or not same(by)}
+    chars = lambda by: sum(len(t) for x in by.values() for t in x)
+    best = max(changing, key=lambda k: (k[0] in template, chars(changing[k]), k[1], k[0]), default=None)
+    if best is None or len(pages) < 3 and any(inside for _, inside in changing):
+        return None
+    fixed = {p for (p, _), by in slots.items() if len(by) >= 3 and 2 * len(by) >= len(pages) and same(by) and not extraction.re.search(extraction.FIRST_HEADING, p)}
+    fixed |= {p for p, (on, n, linked) in doubts.items() if len(on) >= 3 and 2 * linked >= n}
+    return best[0], frozenset(fixed)
+
+
+def test_decisions_equal_those_with_all_pages_at_hand(spark):
+    import random
+
+    rng = random.Random(3)
+    parts = [
+        "<div class='hint'>Same</div>", "<p>Text {n}</p>", "<p>{n} more text of its own</p>", "<div class='related'><a href='/'>Link {n}</a></div>", "<div class='alert'>Careful {n}</div>",
+        "<ul><li>A {n}</li><li>B</li></ul>", "<section><h2>Part</h2><p>Sub {n}</p></section>", "<div class='ad'>Buy {n}</div>", "<h1>Head {n}</h1>", "<nav><a href='/'>x</a></nav>",
+    ]
+    hosts = {}
+    for h in range(14):
+        own, wrap = rng.sample(parts, rng.randrange(2, 7)), rng.choice(["<article>{}</article>", "<div class='body'>{}</div>", "{}", "<main><div>{}</div></main>"])
+        pages = []
+        for n in range(rng.choice([1, 2, 3, 5, 9])):
+            held = [x for x in own if rng.random() < 0.8] or own[:1]
+            pages.append((f"http://h{h}.example/{n}", "<html><body><header>Site</header>" + wrap.format("".join(held).replace("{n}", str(rng.randrange(4)))) + "</body></html>"))
+        hosts[f"h{h}.example"] = pages
+    rows = [(k, u, p) for k, (u, p) in enumerate(x for ps in hosts.values() for x in ps)]
+    _, decisions = extraction.templates(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    got = {r.host: (r.container, frozenset(r.fixed or ())) for r in decisions.collect()}
+    want = {h: d for h, ps in hosts.items() if (d := plain_decisions(ps))}
+    assert got == want and len(want) > 6
