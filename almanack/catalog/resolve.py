@@ -157,6 +157,15 @@ def _(c):
     return d.select("id", ratio(F.col("a"), F.col("b")).alias("sim"))
 
 
+@query("h4_written_ratio", """
+WITH p AS (SELECT o_orderkey, o_orderkey % 4 AS v, CAST(floor(o_orderkey / 4) AS BIGINT) % 4 AS u, [0, 1, 4, 7] AS a FROM orders)
+SELECT o_orderkey AS id, CASE WHEN v = u THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * (36 - greatest(a[v + 1], a[u + 1])) / 72 END AS sim FROM p""")
+def _(c):
+    other = WRITTEN.replace("o_orderkey % 4", "CAST(floor(o_orderkey / 4) AS BIGINT) % 4")
+    names = c.table("orders").selectExpr("o_orderkey AS id", f"{WRITTEN} AS a", f"{other} AS b")
+    return names.select("id", ratio(F.col("a"), F.col("b")).alias("sim"))
+
+
 OTHER = "'ホール' || CAST(item + 1 AS STRING) || ' 会館' || CAST(CAST(floor(item / 7) AS INT) AS STRING) || ' 中'"
 
 

@@ -142,6 +142,23 @@ def _(c):
     return c.table("pages").select("page_id", markup.html_text(F.col("html"), "lines").alias("text"))
 
 
+# A page with a script, a style, line breaks and character references around a place's name.
+WRITTEN_PAGE = (
+    "'<html><script>var a=''<b>'';</script><style>p{}</style><p>' || coalesce(location_name, '') || '<br>A &amp; B &lt;' || CAST(id AS STRING)"
+    " || '&gt;</p><div>' || chr(10) || chr(10) || ' x&#39;y&nbsp;&#x4e2d;</div></html>'"
+)
+TAIL = "'A & B <' || CAST(id AS STRING) || '>'"
+
+
+@query("h17_written_modes", rf"""
+SELECT id, trim(regexp_replace(coalesce(location_name, '') || ' ' || {TAIL}, '[ 　]+', ' ', 'g')) || ' x''y 中' AS visible,
+ regexp_replace('var a='' ''; p{{}} ' || coalesce(location_name, '') || ' ' || {TAIL}, '[ 　]+', ' ', 'g') || ' x''y 中' AS spaced,
+ 'var a='''';p{{}}' || coalesce(location_name, '') || chr(10) || {TAIL} || chr(10) || 'x''y' || chr(160) || '中' AS lines FROM ev""", "ev")
+def _(c):
+    page = F.expr(WRITTEN_PAGE)
+    return c.events().select("id", *[markup.html_text(page, mode).alias(mode) for mode in ("visible", "spaced", "lines")])
+
+
 @query("h51_html_pairs")
 def _(c):
     return c.table("pages").select("page_id", F.to_json(markup.html_kv(F.col("html"))).alias("pairs"))

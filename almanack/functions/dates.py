@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from almanack.functions.base import let, strip
 
-# Weekday brackets, range marks, body labels, imperial eras, weekday names.
+# Weekday brackets, range marks, body labels, imperial eras, weekday names, and the written forms below.
 BRACKETED_NOTE = r"[（(][^）)\d][^）)]*[）)]"
 WEEKDAY_NOTE = r"[（(][月火水木金土日祝・休]+[）)]"
 RANGE_MARK = r"[～~〜]|(?<=\d)\s*[–—]\s*(?=\d)"
@@ -23,6 +23,37 @@ FULL_WIDTH = "０１２３４５６７８９"
 
 FULL_KANJI = r"(\d{4})年(\d{1,2})月(\d{1,2})日"
 MONTH_DAY = r"(\d{1,2})月(\d{1,2})日"
+FULL_SLASH = r"(\d{4})/(\d{1,2})/(\d{1,2})"
+# Eras: a Western year, an era year with the Western one in brackets, an era year alone.
+WESTERN_DAY = r"(20\d{2})年(\d{1,2})月(\d{1,2})日"
+BRACKETED_YEAR = r"[（(](\d{4})[）)]"
+ERA_NAMES = "|".join(k for k in ERAS if k != "大正")
+ERA_WITH_YEAR = rf"(?:{ERA_NAMES})\d+[（(]\d{{4}}[）)]年(\d{{1,2}})月(\d{{1,2}})日"
+ERA_DAY = rf"({ERA_NAMES})(\d+)年(\d{{1,2}})月(\d{{1,2}})日"
+# Reports: a labelled line and section, a dotted day, a range in prose, days with their weekday.
+LABELLED_LINE = rf"(?Ud)[■●▶◆◇・]?\s*{BODY_LABELS}\s*[：:]\s*(.{{5,120}})"
+LABELLED_SECTION = rf"(?Uds)[■●▶◆◇・]?\s*{BODY_LABELS}\s*[：:]\s*(.{{1,200}})"
+DOTTED_DAY = rf"(?Ui)(\d{{1,2}})\.(\d{{2}})\s*(?:{WEEKDAYS})"
+PROSE_DAY = r"((?:\d{4}年)?\d{1,2}月\d{1,2}日)"
+PROSE_RANGE = PROSE_DAY + r"[^\d年]{0,6}[～~〜][^\d年]{0,6}" + PROSE_DAY
+KANJI_WEEKDAY = MONTH_DAY + r"[（(][月火水木金土日祝・]+[）)]"
+SLASH_WEEKDAY = r"(\d{1,2})/(\d{1,2})[（(][月火水木金土日祝・]+[）)]"
+# Press releases.
+RELEASE_LINE = RELEASE_LABELS + r"[：:]\s*((?:\d{4}年)?\d{1,2}月\d{1,2}日[^\n。]{0,60})"
+CLOCK = r"(\d{1,2})[：:](\d{2})"
+# Schedules, periods, broadcast slots.
+SHOW_TIME = r"\d{1,2}:\d{2}"
+SCHEDULE_TOKEN = r"(?U)\d{1,2}/\d{1,2}|[～~・、]\s*\d{1,2}\b(?!/)"
+PERIOD = r"(?U)(\d{1,2})/(\d{1,2})\s*(?:[～~]\s*(\d{1,2})/(\d{1,2}))?"
+SLOT = r"(?Ud)(\d{1,2})月(\d{1,2})日\s+\S+?\s+(\d{1,2}):(\d{2})\s*(.+)"
+# Ticket pages and store notices.
+ENGLISH_DAY = rf"(?:{WEEKDAYS}),\s+[A-Z][a-z]+\s+\d{{1,2}},\s+\d{{4}}"
+ENGLISH_RANGE = rf"(?U)({ENGLISH_DAY})\s*[-–]\s*({ENGLISH_DAY})"
+ENGLISH_TIMES = r"(?U)(\d{1,2}:\d{2})\s*([AP])M\s*[-–]\s*(\d{1,2}:\d{2})\s*([AP])M"
+JAPANESE_DAY = r"(\d{4}[年/]\d{1,2}[月/]\d{1,2}日?)"
+STORE_DAY = r"(?U)◎\s*(\d{1,2})月(\d{1,2})日"
+STORE_RANGE = STORE_DAY + r"[^～〜]*[～〜]\s*(\d{1,2})月(\d{1,2})日"
+STORE_SAME_MONTH = STORE_DAY + r"[^～〜]*[～〜]\s*(\d{1,2})日"
 
 
 def ascii_digits(c: Column) -> Column:
@@ -89,19 +120,15 @@ def parse_date(c: Column) -> Column:
 
 def parse_era(c: Column) -> Column:
     """First date of a text in Western or imperial years; a bracketed Western year wins."""
-    western = r"(20\d{2})年(\d{1,2})月(\d{1,2})日"
-    names = "|".join(k for k in ERAS if k != "大正")
-    with_year = rf"(?:{names})\d+[（(]\d{{4}}[）)]年(\d{{1,2}})月(\d{{1,2}})日"
-    plain = rf"({names})(\d+)年(\d{{1,2}})月(\d{{1,2}})日"
     table = F.create_map(*[F.lit(x) for kv in ERAS.items() for x in kv])
 
     def read(t: Column) -> Column:
-        bracketed = number(t, r"[（(](\d{4})[）)]", 1)
-        base = F.element_at(table, F.regexp_extract(t, plain, 1))
-        numbers = F.regexp_replace(F.regexp_extract(t, plain, 0), f"^(?:{names})", "")
+        bracketed = number(t, BRACKETED_YEAR, 1)
+        base = F.element_at(table, F.regexp_extract(t, ERA_DAY, 1))
+        numbers = F.regexp_replace(F.regexp_extract(t, ERA_DAY, 0), f"^(?:{ERA_NAMES})", "")
         return F.coalesce(
-            ymd(t, western),
-            month_day(t, with_year, lambda m, d: moment(bracketed, m, d)),
+            ymd(t, WESTERN_DAY),
+            month_day(t, ERA_WITH_YEAR, lambda m, d: moment(bracketed, m, d)),
             let(groups(numbers, r"^(\d+)年(\d{1,2})月(\d{1,2})日", 3), lambda g: moment(base + part(g, 0), part(g, 1), part(g, 2))),
         )
 
@@ -147,24 +174,20 @@ def _labelled(raw: Column) -> Column:
 
 def body_dates(c: Column) -> Column:
     """struct(start, end) of the first date label whose value parses; null when none does."""
-    pattern = rf"(?Ud)[■●▶◆◇・]?\s*{BODY_LABELS}\s*[：:]\s*(.{{5,120}})"
-    values = F.transform(F.regexp_extract_all(ascii_digits(c), F.lit(pattern), F.lit(1)), _labelled)
+    values = F.transform(F.regexp_extract_all(ascii_digits(c), F.lit(LABELLED_LINE), F.lit(1)), _labelled)
     return F.get(F.filter(values, lambda x: x["start"].isNotNull()), F.lit(0))
 
 
 def dotted_day(c: Column, pub: Column) -> Column:
     """``10.11 Sat`` inside a labelled section, within 180 days of publishing."""
-    section = F.regexp_extract(ascii_digits(c), rf"(?Uds)[■●▶◆◇・]?\s*{BODY_LABELS}\s*[：:]\s*(.{{1,200}})", 1)
-    dot = rf"(?Ui)(\d{{1,2}})\.(\d{{2}})\s*(?:{WEEKDAYS})"
+    section = F.regexp_extract(ascii_digits(c), LABELLED_SECTION, 1)
     y = F.year(pub)
-    return month_day(section, dot, lambda m, d: first_of(
+    return month_day(section, DOTTED_DAY, lambda m, d: first_of(
         [moment(y + k, m, d) for k in (0, 1, -1)], lambda x: F.abs(days_between(x, pub)) <= 180))
 
 
 def prose_range(c: Column, pub: Column) -> Column:
     """struct(start, end) of an unlabelled kanji range; years by nearness to publishing."""
-    one = r"((?:\d{4}年)?\d{1,2}月\d{1,2}日)"
-    pattern = one + r"[^\d年]{0,6}[～~〜][^\d年]{0,6}" + one
     y = F.year(pub)
 
     def side(raw: Column) -> Column:
@@ -173,22 +196,20 @@ def prose_range(c: Column, pub: Column) -> Column:
         return F.when(raw.rlike(r"^\d{4}年"), parse_date(raw)).otherwise(near)
 
     return let(ascii_digits(c), lambda t: F.struct(
-        let(F.regexp_extract(t, pattern, 1), side).alias("start"), let(F.regexp_extract(t, pattern, 2), side).alias("end")))
+        let(F.regexp_extract(t, PROSE_RANGE, 1), side).alias("start"), let(F.regexp_extract(t, PROSE_RANGE, 2), side).alias("end")))
 
 
 def prose_day(c: Column, pub: Column) -> Column:
     """First ``10月25日(土)`` of a report, at most 180 days before publishing."""
-    day = MONTH_DAY + r"[（(][月火水木金土日祝・]+[）)]"
     y = F.year(pub)
-    return month_day(ascii_digits(c), day, lambda m, d: first_of(
+    return month_day(ascii_digits(c), KANJI_WEEKDAY, lambda m, d: first_of(
         [moment(y + k, m, d) for k in (0, -1, 1)], lambda x: days_between(pub, x).between(0, 180)))
 
 
 def title_day(c: Column, pub: Column) -> Column:
     """``3/17(火)`` in a title; next year when more than 30 days before publishing."""
-    slash = r"(\d{1,2})/(\d{1,2})[（(][月火水木金土日祝・]+[）)]"
     y = F.year(pub)
-    return month_day(ascii_digits(c), slash, lambda m, d: F.when(
+    return month_day(ascii_digits(c), SLASH_WEEKDAY, lambda m, d: F.when(
         days_between(pub, moment(y, m, d)) > 30, moment(y + 1, m, d)).otherwise(moment(y, m, d)))
 
 
@@ -226,17 +247,14 @@ def anchored_date(c: Column, pub: Column) -> Column:
         return moment(F.year(pub) + F.when(m < F.month(pub) - 6, 1).when(m > F.month(pub) + 6, -1).otherwise(0), m, d)
 
     return let(ascii_digits(c), lambda t: F.coalesce(
-        ymd(t, FULL_KANJI), ymd(t, r"(\d{4})/(\d{1,2})/(\d{1,2})"), month_day(t, MONTH_DAY, near), pub.cast("timestamp_ntz")))
+        ymd(t, FULL_KANJI), ymd(t, FULL_SLASH), month_day(t, MONTH_DAY, near), pub.cast("timestamp_ntz")))
 
 
 def release_date(c: Column, published: Column, ref: Column) -> Column:
     """Event date of a press release: labelled, else a later full date of the last two years."""
-    pattern = RELEASE_LABELS + r"[：:]\s*((?:\d{4}年)?\d{1,2}月\d{1,2}日[^\n。]{0,60})"
-    clock = r"(\d{1,2})[：:](\d{2})"
-
     def timed(label: Column) -> Column:
         rest = F.regexp_extract(label, FULL_KANJI + r"([^\n]*)", 4)
-        day = let(groups(label, FULL_KANJI, 3), lambda g: let(groups(rest, clock, 2), lambda t: moment(
+        day = let(groups(label, FULL_KANJI, 3), lambda g: let(groups(rest, CLOCK, 2), lambda t: moment(
             part(g, 0), part(g, 1), part(g, 2), F.coalesce(part(t, 0), F.lit(0)), F.coalesce(part(t, 1), F.lit(0)))))
         return day
 
@@ -251,7 +269,7 @@ def release_date(c: Column, published: Column, ref: Column) -> Column:
             lambda x: ymd(x, FULL_KANJI),
         )
         recent = F.get(F.filter(later, lambda x: x > ref - F.expr("interval 730 days")), F.lit(0))
-        labelled = let(F.regexp_extract(t, pattern, 1), lambda v: F.coalesce(timed(v), month_day(v, MONTH_DAY, rolled)))
+        labelled = let(F.regexp_extract(t, RELEASE_LINE, 1), lambda v: F.coalesce(timed(v), month_day(v, MONTH_DAY, rolled)))
         return F.coalesce(labelled, recent, published)
 
     return let(ascii_digits(c), read)
@@ -284,8 +302,8 @@ def schedule_span(c: Column, ref: Column) -> Column:
     Bare days belong to the month last named before them, so the tokens are folded left to
     right with that month as state.
     """
-    t = F.regexp_replace(F.regexp_replace(ascii_digits(c), WEEKDAY_NOTE, ""), r"\d{1,2}:\d{2}", "")
-    tokens = F.regexp_extract_all(t, F.lit(r"(?U)\d{1,2}/\d{1,2}|[～~・、]\s*\d{1,2}\b(?!/)"), F.lit(0))
+    t = F.regexp_replace(F.regexp_replace(ascii_digits(c), WEEKDAY_NOTE, ""), SHOW_TIME, "")
+    tokens = F.regexp_extract_all(t, F.lit(SCHEDULE_TOKEN), F.lit(0))
     start = F.struct(F.lit(None).cast("int").alias("m"), F.array().cast("array<timestamp_ntz>").alias("days"))
 
     def step(acc: Column, tok: Column) -> Column:
@@ -302,7 +320,6 @@ def schedule_span(c: Column, ref: Column) -> Column:
 def period_span(c: Column, ref: Column) -> Column:
     """struct(start, end) of ``4/25(土)～5/8(金)`` or one day; a smaller end month is next year's."""
     t = strip(F.regexp_replace(ascii_digits(c), WEEKDAY_NOTE, ""))
-    p = r"(?U)(\d{1,2})/(\d{1,2})\s*(?:[～~]\s*(\d{1,2})/(\d{1,2}))?"
 
     def read(g: Column) -> Column:
         m, d, m2, d2 = (part(g, i) for i in range(4))
@@ -310,13 +327,11 @@ def period_span(c: Column, ref: Column) -> Column:
         end = moment(y + F.when(m2 < m, 1).otherwise(0), m2, d2)
         return let(moment(y, m, d), lambda s: F.struct(s.alias("start"), F.when(s.isNotNull(), F.coalesce(end, s)).alias("end")))
 
-    return let(groups(t, p, 4), read)
+    return let(groups(t, PERIOD, 4), read)
 
 
 def broadcast_slot(c: Column, ref: Column, lookback: int = 7) -> Column:
     """struct(at, channel) of ``4月29日 水曜 25:00　channel``; hours from 24 on roll to next days."""
-    p = r"(?Ud)(\d{1,2})月(\d{1,2})日\s+\S+?\s+(\d{1,2}):(\d{2})\s*(.+)"
-
     def read(raw: Column) -> Column:
         def when(g: Column) -> Column:
             m, d, h, mi = (part(g, i) for i in range(4))
@@ -324,19 +339,16 @@ def broadcast_slot(c: Column, ref: Column, lookback: int = 7) -> Column:
             stale = lambda x: x < ref - F.make_dt_interval(F.lit(lookback))
             return let(at(F.year(ref)), lambda x: F.when(stale(x), at(F.year(ref) + 1)).otherwise(x))
 
-        head = F.regexp_replace(F.regexp_extract(ascii_digits(raw), p, 0), p, "$1月$2日 . $3:$4")
+        head = F.regexp_replace(F.regexp_extract(ascii_digits(raw), SLOT, 0), SLOT, "$1月$2日 . $3:$4")
         slot = let(groups(head, r"^(\d+)月(\d+)日 \. (\d+):(\d+)$", 4), when)
-        channel = F.regexp_extract(raw, p, 5)
-        return F.struct(slot.alias("at"), F.when(raw.rlike(p), strip(channel)).otherwise(raw).alias("channel"))
+        channel = F.regexp_extract(raw, SLOT, 5)
+        return F.struct(slot.alias("at"), F.when(raw.rlike(SLOT), strip(channel)).otherwise(raw).alias("channel"))
 
     return let(strip(c), read)
 
 
 def ticket_span(c: Column) -> Column:
     """struct(start, end) of a ticket page: English range, English day with times, Japanese day."""
-    day = rf"(?:{WEEKDAYS}),\s+[A-Z][a-z]+\s+\d{{1,2}},\s+\d{{4}}"
-    rng = rf"(?U)({day})\s*[-–]\s*({day})"
-    times = r"(?U)(\d{1,2}:\d{2})\s*([AP])M\s*[-–]\s*(\d{1,2}:\d{2})\s*([AP])M"
     pair = lambda s, e: F.struct(s.alias("start"), e.alias("end"))
 
     def to_day(x: Column) -> Column:
@@ -344,29 +356,26 @@ def ticket_span(c: Column) -> Column:
         return F.try_to_date(F.nullif(tidy, F.lit("")), "MMM d, yyyy").cast("timestamp_ntz")
 
     def clock(near: Column, day_: Column, h: int) -> Column:
-        text = F.concat(F.date_format(day_, "yyyy-MM-dd "), F.regexp_extract(near, times, h), F.lit(" "), F.regexp_extract(near, times, h + 1), F.lit("M"))
+        text = F.concat(F.date_format(day_, "yyyy-MM-dd "), F.regexp_extract(near, ENGLISH_TIMES, h), F.lit(" "), F.regexp_extract(near, ENGLISH_TIMES, h + 1), F.lit("M"))
         return F.try_to_timestamp(text, F.lit("yyyy-MM-dd h:mm a")).cast("timestamp_ntz")
 
     def single(one: Column) -> Column:
-        near = F.left(F.regexp_extract(c, rf"(?Us)({day}.*)$", 1), F.lit(200))
+        near = F.left(F.regexp_extract(c, rf"(?Us)({ENGLISH_DAY}.*)$", 1), F.lit(200))
         timed = let(near, lambda n: let(pair(clock(n, one, 1), clock(n, one, 3)), lambda t: F.when(
             t["start"].isNotNull() & t["end"].isNotNull(), t)))
         return F.coalesce(timed, pair(one, one))
 
-    ranged = let(pair(to_day(F.regexp_extract(c, rng, 1)), to_day(F.regexp_extract(c, rng, 2))), lambda r: F.when(
+    ranged = let(pair(to_day(F.regexp_extract(c, ENGLISH_RANGE, 1)), to_day(F.regexp_extract(c, ENGLISH_RANGE, 2))), lambda r: F.when(
         r["start"].isNotNull() & r["end"].isNotNull(), r))
-    jp = F.regexp_extract(c, r"(\d{4}[年/]\d{1,2}[月/]\d{1,2}日?)", 1)
+    jp = F.regexp_extract(c, JAPANESE_DAY, 1)
     jp_day = let(jp, lambda x: F.when(x.rlike(rf"^(?:{FULL_KANJI}|\d{{4}}/\d{{1,2}}/\d{{1,2}})$"), parse_date(x)))
     return F.when(
-        c.rlike(f"(?U){day}"), F.coalesce(ranged, let(to_day(F.regexp_extract(c, rf"(?U)({day})", 1)), single))
+        c.rlike(f"(?U){ENGLISH_DAY}"), F.coalesce(ranged, let(to_day(F.regexp_extract(c, rf"(?U)({ENGLISH_DAY})", 1)), single))
     ).otherwise(let(jp_day, lambda x: pair(x, x)))
 
 
 def store_span(c: Column, ref: Column) -> Column:
     """struct(start, end) of a store notice marked with a double circle."""
-    one = r"(?U)◎\s*(\d{1,2})月(\d{1,2})日"
-    two = one + r"[^～〜]*[～〜]\s*(\d{1,2})月(\d{1,2})日"
-    same = one + r"[^～〜]*[～〜]\s*(\d{1,2})日"
 
     def span(t: Column, p: str, n: int) -> Column:
         def read(g: Column) -> Column:
@@ -378,7 +387,7 @@ def store_span(c: Column, ref: Column) -> Column:
 
         return let(groups(t, p, n), read)
 
-    return let(ascii_digits(c), lambda t: F.coalesce(span(t, two, 4), span(t, same, 3), span(t, one, 2)))
+    return let(ascii_digits(c), lambda t: F.coalesce(span(t, STORE_RANGE, 4), span(t, STORE_SAME_MONTH, 3), span(t, STORE_DAY, 2)))
 
 
 def with_date_hint(desc: Column, start: Column, end: Column, label: str = "開催日時: ", dash: str = " ～ ") -> Column:

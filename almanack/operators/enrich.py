@@ -16,6 +16,7 @@ from almanack.functions.places import strip_label, to_traditional
 from almanack.functions.tags import inject_labels, valid_labels
 from almanack.functions.text import blank_null, cut, cut_at
 from almanack.functions.titles import bracket_title, swap_title
+from almanack.operators.joins import left_by_key
 from almanack.operators.sets import tags_added, tags_union
 
 
@@ -238,8 +239,9 @@ def patch_titles(
 ) -> DataFrame:
     """Overwrite translated titles with official ones and repair quoted titles in the texts.
 
-    ``found`` maps a looked-up title to (title_zh, title_en). News rows are looked up by the
-    bracketed part of their title. Reviewed rows and one exempt source are left alone.
+    ``found`` maps a looked-up title to (title_zh, title_en); of a title that stands there more than
+    once the smallest pair counts. News rows are looked up by the bracketed part of their title.
+    Reviewed rows and one exempt source are left alone.
     """
     news = F.col("source_name").isin(*news_sources)
     raw = F.coalesce(empty_to_null("raw_title"), empty_to_null("name_ja"), F.lit(""))
@@ -249,8 +251,9 @@ def patch_titles(
     if skip_source:
         wanted = wanted & (F.col("source_name") != skip_source)
     keyed = events.withColumn("_title", F.when(wanted, F.when(news, bracket).otherwise(own)))
-    side = found.select(F.col("title").alias("_title"), F.col("title_zh").alias("_zh"), F.col("title_en").alias("_en"))
-    j = keyed.join(side, "_title", "left")
+    pair = F.min(F.struct("title_zh", "title_en"))
+    side = found.where("title IS NOT NULL").groupBy(F.col("title").alias("_title")).agg(pair.alias("_p")).select("_title", F.col("_p.title_zh").alias("_zh"), F.col("_p.title_en").alias("_en"))
+    j = left_by_key(keyed, side, "_title")
     old = lambda f: F.coalesce(F.col(f), F.lit(""))
     news_title = F.when(news, F.col("_title")).otherwise(F.lit(""))
     return j.withColumns(

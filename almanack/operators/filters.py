@@ -209,10 +209,6 @@ def upcoming(df: DataFrame, ref, days: int, n: int) -> DataFrame:
     )
 
 
-def _joined(cols: Sequence[str]) -> Column:
-    return F.concat_ws(" ", *cols)
-
-
 def relevant(df: DataFrame, cols: Sequence[str], words: Sequence[str]) -> DataFrame:
     """Any keyword in any column, case-sensitive; column-wise so ``contains`` can push down."""
     return df.where(any_of(F.coalesce(F.col(c).contains(w), F.lit(False)) for c in cols for w in words))

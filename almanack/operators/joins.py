@@ -24,10 +24,26 @@ def override(df: DataFrame, human: DataFrame, key: str = "id", column: str = "ca
     return df.join(h, key, "left").withColumn(column, F.coalesce("_human", column)).drop("_human")
 
 
+# Partitions' worth of rows without a key are dealt over so many second keys.
+KEYLESS = 1024
+
+
+def left_by_key(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined with ``side`` on ``key``; rows without one are dealt over all tasks.
+
+    In a plain outer join all of them have the same key, null, and meet in one task.
+    """
+    told = ["id"] if "id" in rows.columns else [c for c, t in rows.dtypes if "map<" not in t]
+    own = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*told), F.lit(KEYLESS))).otherwise(F.lit(-1))
+    # of the side's key, not a literal: the optimizer would take a constant out of the join
+    other = F.when(F.col(key).isNull(), F.lit(-2)).otherwise(F.lit(-1)).cast("long")
+    return rows.withColumn("_dealt", own).join(side.withColumn("_dealt", other), [key, "_dealt"], "left").drop("_dealt")
+
+
 def with_parent(rows: DataFrame, events: DataFrame, label: Column, parent: str = "parent_event_id") -> DataFrame:
     """Add ``parent_name``: the label of the parent row, null for top-level rows."""
-    names = events.select(F.col("id").alias("_pid"), label.alias("parent_name"))
-    return rows.join(names, rows[parent] == names["_pid"], "left").drop("_pid")
+    names = events.select(F.col("id").alias(parent), label.alias("parent_name"))
+    return left_by_key(rows, names, parent).select(*rows.columns, "parent_name")
 
 
 def children(df: DataFrame, parent_id=None, parent: str = "parent_event_id") -> DataFrame:
