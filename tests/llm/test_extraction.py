@@ -96,13 +96,16 @@ LEFT = ["<div class='ad'>{}</div>", "<div class='ad-slot'>{}</div>", "<ul class=
 
 
 @pytest.mark.parametrize("pages", [1, 2, 6])
-@pytest.mark.parametrize("marked", KEPT + LEFT)
-def test_marks_are_whole_names(spark, pages, marked):
+def test_marks_are_whole_names(spark, pages):
     """Text of its own under a name that only holds a boilerplate word stays, on hosts of any size."""
-    body = "<article><h1>Story {n}</h1><p>" + "Text of page {n}. " * 3 + "</p>" + marked.format("<p>A paragraph that only page {n} has</p>" if "<p " not in marked else "A paragraph that only page {n} has") + "</article>"
-    rows = [(n, f"http://m.example/{n}", FRAME.format(n=n, body=body.replace("{n}", str(n)))) for n in range(pages)]
-    own = "\nA paragraph that only page 0 has" if marked in KEPT else ""
-    assert texts(spark, rows)[0] == "Story 0\n" + " ".join(["Text of page 0."] * 3) + own
+    rows, want = [], {}
+    for k, marked in enumerate(KEPT + LEFT):
+        own = "A paragraph that only page {n} has"
+        body = "<article><h1>Story {n}</h1><p>" + "Text of page {n}. " * 3 + "</p>" + marked.format(own if "<p " in marked else f"<p>{own}</p>") + "</article>"
+        rows += [(100 * k + n, f"http://m{k}.example/{n}", FRAME.format(n=n, body=body.replace("{n}", str(n)))) for n in range(pages)]
+        want[100 * k] = "Story 0\n" + " ".join(["Text of page 0."] * 3) + ("\nA paragraph that only page 0 has" if marked in KEPT else "")
+    got = texts(spark, rows)
+    assert {k: got[k] for k in want} == want
 
 
 def test_doubtful_marks_go_where_the_host_confirms_them(spark):
