@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from almanack.llm.common import settle, slices
 
 CAPACITY = 2048
 END_OF_TEXT = 0
+#: Starts of ranks (24 bytes per task and length) are broadcast up to so many.
+FEW_STARTS = 500_000
 
 
 # ---- tokens ---------------------------------------------------------------------------------
@@ -89,20 +92,21 @@ def token_pieces(
     last, kind, made = ("ids_crc32", pa.int64(), zlib.crc32) if digests else ("ids", pa.binary(), bytes)
 
     def run(batches):
-        encoder = _encoder(*paths)
+        encoder, part, seen = _encoder(*paths), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in slices(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
                 ids += end
                 for piece, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
-                    rows.append((doc, piece, start, length, made(ids[4 * start : 4 * (start + length)])))
+                    rows.append((doc, piece, start, length, made(ids[4 * start : 4 * (start + length)]), part, seen[length]))
+                    seen[length] += 1
             if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), kind)
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), kind, pa.int32(), pa.int64())
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", last])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", last, "_part", "_rank"])
 
-    layout = f"doc_id long, piece int, start long, length long, {last} {'long' if digests else 'binary'}"
+    layout = f"doc_id long, piece int, start long, length long, {last} {'long' if digests else 'binary'}, _part int, _rank long"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, layout)
 
 
@@ -249,17 +253,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Other columns are carried. Sequences have no gaps and hold at most ``capacity`` tokens. An
     empty table gives an empty result; a length outside 1..capacity is an error. Equal lengths
-    are ranked inside the partition that wrote them, so a frequent length is never gathered.
+    are ranked inside the task that wrote them, so a frequent length is never gathered; pieces that
+    bring their ranks (``_part``, ``_rank``) move no more, as long as the ranks' starts can be broadcast.
     """
-    fixed = settle(pieces.withColumn("_part", F.spark_partition_id()))
-    here = fixed.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = "_rank" in pieces.columns
+    fixed = settle(pieces if ranked else pieces.withColumn("_part", F.spark_partition_id()))
+    here = settle(fixed.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("_n")))
     counts = {r["length"]: r["n"] for r in here.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     places = place_table(plan_patterns(counts, capacity))
 
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = here.select("_part", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    inside = F.row_number().over(Window.partitionBy("_part", "length").orderBy("doc_id", "piece"))
-    ranked = fixed.withColumn("_rank", inside).join(starts, ["_part", "length"])
+    if not ranked:
+        inside = F.row_number().over(Window.partitionBy("_part", "length").orderBy("doc_id", "piece"))
+        fixed = fixed.withColumn("_rank", inside - 1)
+    few = here.count() <= FEW_STARTS
+    ranked_rows = fixed.join(F.broadcast(starts) if few else starts, ["_part", "length"])
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -269,8 +278,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         turn = r - row[:, 1]
         return pd.DataFrame({"sequence_id": row[:, 2] + turn // row[:, 3], "offset": row[:, 4] + turn % row[:, 3] * n})
 
-    placed = ranked.withColumn("_place", place("length", F.col("_from") + F.col("_rank") - 1))
-    return placed.select(*pieces.columns, "_place.sequence_id", "_place.offset")
+    placed = ranked_rows.withColumn("_place", place("length", F.col("_from") + F.col("_rank")))
+    return placed.select(*[c for c in pieces.columns if c not in ("_part", "_rank")], "_place.sequence_id", "_place.offset")
 
 
 def packed_documents(docs: DataFrame, capacity: int = CAPACITY, **tokens) -> DataFrame:

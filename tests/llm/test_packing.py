@@ -45,7 +45,9 @@ def test_plan_is_close_to_the_bound():
     assert sequences <= -(-sum(n * c for n, c in counts.items()) // 2048) * 1.002 + 1
 
 
-def test_pieces_and_places(docs):
+@pytest.mark.parametrize("few", [packing.FEW_STARTS, 0])
+def test_pieces_and_places(docs, monkeypatch, few):
+    monkeypatch.setattr(packing, "FEW_STARTS", few)
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = packing.packed_documents(docs, capacity=64).collect()
     want = Counter()
@@ -90,7 +92,20 @@ def test_ranks_give_the_tokenizers_ids_on_documents(spark, sf):
 
 def test_digests_are_of_the_ids(docs):
     whole = {(r.doc_id, r.piece, r.start, r.length, zlib.crc32(r.ids)) for r in packing.token_pieces(docs, capacity=50).collect()}
-    assert {tuple(r) for r in packing.token_pieces(docs, capacity=50, digests=True).collect()} == whole
+    assert {tuple(r)[:5] for r in packing.token_pieces(docs, capacity=50, digests=True).collect()} == whole
+
+
+def test_pieces_without_ranks_are_ranked(spark):
+    """Lengths from elsewhere: every piece has a place of its own, without gaps."""
+    rng = random.Random(2)
+    rows = [(i, 0, rng.choice([1, 7, 20, 33, 40])) for i in range(400)]
+    placed = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, length long").repartition(4), 40).collect()
+    assert len(placed) == 400
+    parts = {}
+    for r in placed:
+        parts.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in parts.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(held), sorted(held)[1:])) and min(held)[0] == 0 and sum(n for _, n in held) <= 40
 
 
 def test_special_token_text_is_as_the_tokenizer_has_it(spark):
