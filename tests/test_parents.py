@@ -63,3 +63,31 @@ def test_find_parent_takes_the_first_that_is_no_report(spark):
         parents = [i for i, report in held if not report]
         if parents:
             assert got[r.id] == parents[0]
+
+
+def test_rows_without_a_key_are_dealt_over_tasks(spark):
+    """The rows of a plain left join, and no task that has all keyless rows."""
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 10 == 0, F.col("id") % 70).alias("k"), F.lit("x").alias("name"))
+    side = spark.range(50).select(F.col("id").alias("k"), F.concat(F.lit("p"), F.col("id")).alias("label")).unionByName(spark.createDataFrame([(None, "none")], "k long, label string"))
+    plain = rows.join(side, "k", "left").select("id", "k", "label")
+    got = j.left_by_key(rows, side, "k")
+    assert sorted(map(str, got.select("id", "k", "label").collect())) == sorted(map(str, plain.collect()))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(kept, ("-1", "false", "8")):
+            spark.conf.set(k, v)
+        tasks = j.left_by_key(rows, side, "k").where("k IS NULL").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(tasks) == 8 and max(r["count"] for r in tasks) < 800
+
+
+def test_a_doubled_title_multiplies_no_rows(spark):
+    from almanack.operators.enrich import patch_titles
+
+    layout = "id long, source_name string, raw_title string, name_ja string, name_zh string, name_en string, description_zh string, description_en string, category array<string>, annotation_status string"
+    rows = [(1, "a", "T", "T", "old", None, "《old》", None, ["movie"], "pending"), (2, "a", None, None, "z", None, None, None, ["movie"], "pending"), (3, "a", "T", "T", "old", None, None, None, ["art"], "pending")]
+    found = spark.createDataFrame([("T", "B", "e2"), ("T", "A", "e1"), (None, "x", "y")], "title string, title_zh string, title_en string")
+    out = {r.id: (r.name_zh, r.name_en) for r in patch_titles(spark.createDataFrame(rows, layout), found, ["news"], None).collect()}
+    assert out == {1: ("A", "e1"), 2: ("z", None), 3: ("old", None)}
