@@ -276,3 +276,22 @@ def test_long_unlike_names_are_no_candidates(spark):
     classes = r.name_classes(df, F.to_date("start_date")).withColumn("n", F.monotonically_increasing_id())
     assert 10 <= r.candidates(classes, 0.85).count() < 1000  # of 12,720 pairs
     assert r.near_classes(classes.drop("n"), 0.85).count() == 10
+
+
+@pytest.mark.parametrize("days", [0, 2])
+def test_names_in_many_tiles_lose_no_pair(spark, monkeypatch, days):
+    """Tiles of three names: pairs are found in their tiles, and no shared gram or candidate leaves a task."""
+    monkeypatch.setattr(r, "TILE_NAMES", 3)
+    df, rows = table(spark, 21, 120, days=6)
+    norm = norms(spark, rows)
+    keys = sorted({(x[5].date(), norm[x[0]]) for x in rows})
+    want = set()
+    for i, (d, a) in enumerate(keys):
+        for e, b in keys[i + 1:]:
+            if (a != b or d != e) and (e - d).days <= days and a and b and max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= 0.85:
+                want.add(frozenset(((d, a), (e, b))))
+    near = r.near_classes(r.name_classes(df, F.to_date("start_date")), 0.85, days)
+    found = [frozenset(((x["block_a"], x["norm_a"]), (x["block_b"], x["norm_b"]))) for x in near.collect()]
+    assert set(found) == want and len(found) == len(want) > 20
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "gram" not in plan
