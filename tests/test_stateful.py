@@ -91,3 +91,17 @@ def test_rolling_counts_equal_windows(spark, panes, parts):
             if n:
                 want.add((end - dt.timedelta(days=panes), end, e, n))
     assert got == want and want
+
+
+def test_silent_sources_are_windows(spark):
+    """One newest run per source and check time, combined by Spark; check times fall on whole steps."""
+    folder = shared_path(spark, "t", "silent_plain")
+    rows = [("a", START + dt.timedelta(hours=3)), ("a", START + dt.timedelta(hours=30)), ("b", START + dt.timedelta(days=9))]
+    put(spark, folder, rows, "source string, ran_at timestamp")
+    stream = sf.stream_silent(st.read_feed(spark, folder, "source string, ran_at timestamp"), hours=24, memory=2.5, step=2)
+    assert "Python" not in stream._jdf.queryExecution().analyzed().toString()
+    got = [(r.checked_at, r.source, r.last_run) for r in st.drain(spark, stream, "silent_plain").collect()]
+    step = dt.timedelta(days=2)
+    ends = [dt.datetime(1970, 1, 1) + k * step for k in range(9850, 9880)]
+    want = [(e, s, max(t for x, t in rows if x == s and t < e)) for e in ends for s in "ab" if e <= rows[-1][1] - dt.timedelta(hours=1) and any(x == s and t < e for x, t in rows)]
+    assert got == [w for w in want if dt.timedelta(days=1) < w[0] - w[2] <= dt.timedelta(days=2.5)] and len(got) == 1
