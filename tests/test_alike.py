@@ -77,3 +77,15 @@ def test_pairs_of_tiles_are_dealt_out(spark):
     df = spark.createDataFrame([(i, f"name {i}", i % 40) for i in range(400)], "id long, name_ja string, b int")
     classes = r.name_classes(df, F.col("b")).withColumn("n", F.monotonically_increasing_id())
     assert r.candidates(classes, 0.8).rdd.getNumPartitions() >= r.TASKS * spark.sparkContext.defaultParallelism
+
+
+def test_ratios_of_a_tile_are_dealt_out(spark):
+    """A tile whose names are all similar: its pairs get their ratios in many tasks."""
+    names = [f"one name of very many, number {k:02d}" for k in range(30)]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name_ja string")
+    near = r.near_classes(r.name_classes(df, F.lit("x")), 0.85)
+    assert near.count() == 435
+    numbered = r.name_classes(df, F.lit("x")).withColumn("n", F.monotonically_increasing_id())
+    side = lambda s: numbered.select(F.col("n").alias(f"n_{s}"), F.col("norm").alias(f"norm_{s}"))
+    scored = r._scored(r.candidates(numbered, 0.85).join(side("a"), "n_a").join(side("b"), "n_b"), 0.85)
+    assert scored.select(F.spark_partition_id()).distinct().count() > 8
